@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftnet.llm import quality, sharding, token_count, url_trust
+from driftnet.llm import license_scan, quality, sharding, token_count, url_trust
 from driftnet.llm.common import table
 
 
@@ -20,12 +20,16 @@ def op4_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), limit=512)
 
 
 def queries() -> dict:
-    own = {f.__name__: f for f in (op1_url_trust, op3_uniform_shards, op4_fertility_rules, op8_token_counts)}
+    own = {f.__name__: f for f in (op1_url_trust, op3_uniform_shards, op4_fertility_rules, op6_license_scan, op8_token_counts)}
     return own
 
 
