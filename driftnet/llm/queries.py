@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftnet.llm import license_scan, near_dup, quality, sharding, token_count, toxicity, url_trust
+from driftnet.llm import bpe, license_scan, near_dup, quality, sharding, token_count, toxicity, url_trust
 from driftnet.llm.common import table
 
 
@@ -45,12 +45,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op9_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_documents(spark, sf_dir)
 
 
 def queries() -> dict:
-    own = {f.__name__: f for f in (op1_url_trust, op3_uniform_shards, op4_fertility_rules, op5_near_duplicates, op6_license_scan, op8_token_counts, op10_toxic_severity)}
+    own = {f.__name__: f for f in (op1_url_trust, op3_uniform_shards, op4_fertility_rules, op5_near_duplicates, op6_license_scan, op8_token_counts, op9_word_table_bpe, op10_toxic_severity)}
     return own
 
 
