@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftnet.llm import bpe, license_scan, near_dup, quality, sharding, token_count, toxicity, url_trust
+from driftnet.llm import bpe, decontaminate, license_scan, near_dup, quality, sharding, token_count, toxicity, url_trust
 from driftnet.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), limit=512)
 
@@ -54,7 +58,7 @@ def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = {f.__name__: f for f in (op1_url_trust, op3_uniform_shards, op4_fertility_rules, op5_near_duplicates, op6_license_scan, op8_token_counts, op9_word_table_bpe, op10_toxic_severity)}
+    own = {f.__name__: f for f in (op1_url_trust, op3_uniform_shards, op4_fertility_rules, op5_near_duplicates, op6_license_scan, op7_template_leaks, op8_token_counts, op9_word_table_bpe, op10_toxic_severity)}
     return own
 
 
