@@ -1 +1,81 @@
-"""To be filled."""
+"""Registered decoders of wire data."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftnet.functions import binary as B
+from driftnet.plans.registry import query
+from driftnet.sources import wire as W
+from driftnet.sources.derived import view
+
+INT = "CAST(concat('0x', {0}) AS INTEGER)"
+
+
+@query(f"""WITH h AS (SELECT c_custkey, concat(md5(CAST(c_custkey AS VARCHAR)), 'abcd') AS h FROM customer), e AS (SELECT c_custkey, i, substr(h, CAST(i * 12 + 1 AS BIGINT), 12) AS e FROM h, range(0, 3) t(i))
+SELECT c_custkey, CAST(i AS INTEGER) AS i, concat_ws('.', {INT.format('substr(e, 1, 2)')}, {INT.format('substr(e, 3, 2)')}, {INT.format('substr(e, 5, 2)')}, {INT.format('substr(e, 7, 2)')}) AS ip, {INT.format('substr(e, 9, 4)')} AS port FROM e""")
+def compact_peers(spark, d):
+    rows = view(spark, d, "customer").select("c_custkey", F.concat(F.md5(F.col("c_custkey").cast("string")), F.lit("abcd")).alias("h"))
+    return rows.select("c_custkey", F.posexplode(B.compact_peers(F.col("h"))).alias("i", "p")).select("c_custkey", "i", "p.ip", "p.port")
+
+
+@query(f"""WITH h AS (SELECT c_custkey, concat(sha1(CAST(c_custkey AS VARCHAR)), 'c0a80001', lpad(lower(hex(c_custkey % 65536)), 4, '0')) AS h FROM customer)
+SELECT c_custkey, substr(h, 1, 40) AS id, '192.168.0.1' AS ip, CAST(c_custkey % 65536 AS INTEGER) AS port FROM h""")
+def compact_nodes(spark, d):
+    k = F.col("c_custkey")
+    hexed = F.concat(F.sha1(k.cast("string")), F.lit("c0a80001"), F.lpad(F.lower(F.hex(k % 65536)), 4, "0"))
+    return view(spark, d, "customer").select("c_custkey", F.explode(B.compact_nodes(hexed)).alias("n")).select("c_custkey", "n.id", "n.ip", "n.port")
+
+
+@query("SELECT c_custkey, sha1(CAST(c_custkey AS VARCHAR)) AS id, repeat('ab', 16) AS ip, CAST(c_custkey % 65536 AS INTEGER) AS port FROM customer")
+def compact_nodes_ipv6(spark, d):
+    k = F.col("c_custkey")
+    hexed = F.concat(F.sha1(k.cast("string")), F.repeat(F.lit("ab"), 16), F.lpad(F.lower(F.hex(k % 65536)), 4, "0"))
+    return view(spark, d, "customer").select("c_custkey", F.explode(B.compact_nodes_ipv6(hexed)).alias("n")).select("c_custkey", "n.id", "n.ip", "n.port")
+
+
+@query("SELECT c_custkey, CAST(i AS INTEGER) AS i, CAST(c_custkey % 1000 + i AS INTEGER) AS seeders, 0 AS completed, CAST(c_custkey % 77 AS INTEGER) AS leechers FROM customer, range(0, 2) t(i)")
+def scrape_datagram(spark, d):
+    k = F.col("c_custkey")
+    word = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    entry = lambda i: F.concat(word(k % 1000 + i), F.lit("00000000"), word(k % 77))
+    reply = F.concat(F.lit("00000002deadbeef"), entry(0), entry(1), F.lit("0000"))
+    return view(spark, d, "customer").select("c_custkey", F.posexplode(B.scrape_entries(reply)).alias("i", "e")).select("c_custkey", "i", "e.*")
+
+
+@query("SELECT s_suppkey, sha1(CAST(s_suppkey AS VARCHAR)) AS info_hash, CAST(s_suppkey % 90 AS BIGINT) AS complete, CAST(s_suppkey % 7 AS BIGINT) AS incomplete FROM supplier WHERE s_suppkey % 10 != 3")
+def bencode_scrape(spark, d):
+    k = F.col("s_suppkey")
+    text = lambda s: F.encode(s, "UTF-8")
+    body = F.concat(text(F.lit("d5:filesd20:")), F.unhex(F.sha1(k.cast("string"))), text(F.concat(F.lit("d8:completei"), (k % 90).cast("string"), F.lit("e10:incompletei"), (k % 7).cast("string"), F.lit("e4:spaml1:ai-2eee3:abcdeee"))))
+    broken = F.when(k % 10 == 3, F.substring(body, 1, 30)).otherwise(body)
+    return W.scrape_replies(view(spark, d, "supplier").select("s_suppkey", broken.alias("raw")), "s_suppkey", "raw")
+
+
+@query("SELECT doc_id, sha1(text) AS info_hash FROM documents WHERE doc_id % 3 != 0")
+def metainfo_verify(spark, d):
+    docs = view(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("metadata"), F.when(F.col("doc_id") % 3 != 0, F.sha1("text")).otherwise(F.repeat(F.lit("0"), 40)).alias("info_hash"))
+    return W.verified_metadata(docs).select("doc_id", "info_hash")
+
+
+@query()
+def krpc_errors(spark, d):
+    rows = [(code, W.krpc_error(raw)) for code, raw in enumerate((b"li201e7:generice", b"5:plain", W.encode([203, b"protocol"])))]
+    return spark.createDataFrame([(k, c, m) for k, (c, m) in rows], "k int, code int, message string")
+
+
+PLACES = "(CAST(concat('0x', substr({0}, 1, 2)) AS INTEGER) + 256 * CAST(concat('0x', substr({0}, 3, 2)) AS INTEGER)) % 2048"
+
+
+@query(f"""WITH a AS (SELECT c_nationkey, sha1(unhex(lpad(lower(hex(c_custkey)), 8, '0'))) AS s FROM customer), p AS (SELECT c_nationkey, unnest([{PLACES.format('s')}, {PLACES.format('substr(s, 5)')}]) AS p FROM a), n AS (SELECT c_nationkey, count(DISTINCT p) AS bits FROM p GROUP BY 1)
+SELECT c_nationkey, bits, round(ln(least(2048 - bits, 2047) / 2048) / (2 * ln(1 - 1.0::DOUBLE / 2048)), 6) AS estimate FROM n""")
+def bloom_estimates(spark, d):
+    rows = view(spark, d, "customer").select("c_nationkey", F.explode(B.bloom_places(F.lpad(F.lower(F.hex("c_custkey")), 8, "0"))).alias("p"))
+    bits = rows.groupBy("c_nationkey").agg(F.countDistinct("p").alias("bits"))
+    return bits.select("c_nationkey", "bits", F.round(B.bloom_estimate(F.col("bits")), 6).alias("estimate"))
+
+
+@query("SELECT c_custkey, md5('s3cret'::BLOB || unhex(sha1(CAST(c_custkey AS VARCHAR))) || unhex(sha1('h')) || unhex(sha1('p')) || '10.0.0.1:80'::BLOB) AS token FROM customer")
+def announce_tokens(spark, d):
+    fixed = lambda s: F.sha1(F.lit(s).cast("binary"))
+    return view(spark, d, "customer").select("c_custkey", B.announce_token("s3cret", F.sha1(F.col("c_custkey").cast("string")), fixed("h"), fixed("p"), F.lit("10.0.0.1:80")).alias("token"))
