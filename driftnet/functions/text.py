@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EPOCH = F.lit("1970-01-01 00:00:00")
+EPOCH = "1970-01-01 00:00:00"
 
 
 def tracker_protocol(url: Column) -> Column:
@@ -28,7 +28,7 @@ def scrape_url(url: Column) -> Column:
 
 def moment(epoch: Column) -> Column:
     """A timestamp without zone, so that formats do not depend on the session."""
-    return F.timestamp_add("SECOND", epoch, F.to_timestamp_ntz(EPOCH))
+    return F.timestamp_add("SECOND", epoch, F.to_timestamp_ntz(F.lit(EPOCH)))
 
 
 def rfc1123(epoch: Column) -> Column:

@@ -36,10 +36,9 @@ def parse_dump(rows: DataFrame, column: str = "value") -> DataFrame:
     entry = rows.select(F.explode(F.from_json(column, DUMP)["data"]).alias("e"))
     ids = {}
     for name in dict.fromkeys(n for _, n in ID_LINKS):
-        found = F.lit(None).cast("array<int>")
-        own = [p for p, n in ID_LINKS if n == name]
-        number = lambda s, own=own: F.regexp_extract(s, "^(?:" + "|".join(p.replace(".", r"\.") for p in own) + r")(\d+)\z", 1).try_cast("int")
-        found = F.filter(F.transform(F.coalesce("e.sources", F.array().cast("array<string>")), number), lambda i: i > 0)
+        links = "^(?:" + "|".join(p.replace(".", r"\.") for p, n in ID_LINKS if n == name) + r")(\d+)\z"
+        numbers = F.transform(F.coalesce("e.sources", F.array().cast("array<string>")), lambda s: F.regexp_extract(s, links, 1).try_cast("int"))  # noqa: B023
+        found = F.filter(numbers, lambda i: i > 0)
         ids[name] = F.try_element_at(found, F.lit(-1))
     titles = F.filter(F.concat(F.array("e.title"), F.coalesce("e.synonyms", F.array().cast("array<string>"))), lambda t: t.isNotNull() & (t != ""))
     return entry.select(*[c.alias(n) for n, c in ids.items()], titles.alias("titles"), F.coalesce("e.animeSeason.year", F.lit(0)).alias("year"))

@@ -108,7 +108,7 @@ def purge_rejects(spark, d):
     return M.purge_rejects(rows, 1704153600 + 7776000)
 
 
-@query("SELECT info_hash, match_after + CASE WHEN k % 9 = 0 THEN 3153600000 ELSE 0 END AS match_after FROM catalog WHERE match_after + CASE WHEN k % 9 = 0 THEN 3153600000 ELSE 0 END <= 1000000000 + 50 * 365 * 86400", "catalog")
+@query("SELECT info_hash, match_after + CASE WHEN k % 9 = 0 THEN 3153600000 ELSE 0 END AS match_after FROM catalog WHERE match_after + CASE WHEN k % 9 = 0 THEN 3153600000 ELSE 0 END <= 1000000000::BIGINT + 50 * 365 * 86400", "catalog")
 def purge_junk_marked(spark, d):
     rows = view(spark, d, "catalog").select("info_hash", F.expr("match_after + CASE WHEN k % 9 = 0 THEN 3153600000 ELSE 0 END").alias("match_after"))
     return M.purge_junk_marked(rows, NOW)
