@@ -181,6 +181,11 @@ def flags(name: Column) -> dict[str, Column]:
     }
 
 
+def once(value: Column) -> Column:
+    """A generator of just this value: what stands above uses the result and does not repeat the expression."""
+    return F.explode(F.array(value))
+
+
 def parse(name: Column) -> Column:
     """All parts of a release name as one struct. A null name gives null parts."""
     numbers = season_episode(name)

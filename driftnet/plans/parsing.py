@@ -50,7 +50,7 @@ def parse_flags(spark, d):
 def filed(spark, d):
     """Catalog names with their file lists."""
     files = view(spark, d, "files").groupBy("k").agg(F.collect_list(F.struct("path", "size")).alias("files"))
-    return names(spark, d).join(files, "k", "left").withColumn("sums", K.file_sums(F.col("files")))
+    return names(spark, d).join(files, "k", "left").select("k", "name", N.once(K.file_sums(F.col("files"))).alias("sums"))
 
 
 FILED = f"WITH slim AS (SELECT k, name FROM catalog), {Q.parsed_cte('slim')}, {SUMS}, filed AS MATERIALIZED (SELECT parsed.*, coalesce(n_files, 0) AS n_files, coalesce(n_video, 0) AS n_video, coalesce(total, 0) AS total, coalesce(video, 0) AS video, coalesce(junk, 0) AS junk, coalesce(audio_size, 0) AS audio_size, coalesce(has_subtitles, FALSE) AS has_subtitles, coalesce(n_episodes, 0) AS n_episodes FROM parsed LEFT JOIN sums USING (k))"

@@ -89,7 +89,7 @@ def build_rows(metadata: DataFrame, filters: K.Filters = K.Filters()) -> DataFra
     """
     rows = metadata.withColumn("files", F.slice("files", 1, MOST_FILES))
     name, sums = F.col("name"), F.col("sums")
-    rows = rows.withColumn("sums", K.file_sums(F.col("files")))
+    rows = rows.select("*", N.once(K.file_sums(F.col("files"))).alias("sums"))
     rows = rows.select("*", K.is_junk(name, sums, filters).alias("junk"), K.category(name, sums).alias("category"), N.quality_by_words(name).alias("quality"), N.title(name).alias("title"), N.year(name).alias("year"), N.imdb_id(name).alias("imdb_id"))
     verdict = F.when(F.col("junk"), "junk").when((F.col("category") == "unknown") & ~F.coalesce(K.has_media_files(sums), F.lit(False)), "no media").otherwise("keep")
     return rows.withColumn("verdict", verdict).drop("junk")
