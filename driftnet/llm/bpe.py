@@ -1,16 +1,17 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are cut into words (the vocabulary's own pre-tokens) and the words counted; each distinct word is encoded once, and decoded once
-   through the vocabulary's table of ids and pieces.
+1. Texts are cut into words (the vocabulary's own pre-tokens) and the words counted; each distinct word is encoded once.
 2. The commonest words, HOT_WORDS at most and none longer than LONG bytes, go to all executors. Each text becomes a line of
    numbers of such words, with gaps for the others.
 3. The others are joined to the word table by a shuffle, as (text, word) pairs, and meet their text's line.
-4. Ids and pieces are put together by position.
+4. Ids are put together by position, and pieces by a join of the ids to the vocabulary's table of ids and pieces.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -41,7 +43,7 @@ class Splitter:
         spec = json.load(open(path, encoding="utf-8"))
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
-        self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.word = regex.compile(r"\n|" + spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
     def parts(self, text: str) -> list[str]:
         """Special strings, and what stands between them cut at spaces."""
@@ -49,12 +51,18 @@ class Splitter:
             return text.split(" ")
         return [p for s in self.special.split(text) for p in ([s] if s in self.specials else s.split(" "))]
 
-    def words(self, part: str) -> list[str]:
-        if part in self.specials:
-            return [part]
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case letter by letter, without a final form
-        return self.word.findall(part.lower())
+    def words(self, parts: list[str]) -> list[str]:
+        """The words of all parts, a newline behind those of each part."""
+        lines = []
+        for special, run in itertools.groupby(parts, self.specials.__contains__):
+            if special:
+                lines += [w for p in run for w in (p, "\n")]
+                continue
+            text = "\n".join([p.replace("\n", " ") if "\n" in p else p for p in run]) + "\n"  # white space parts words and is dropped
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without a final form
+            lines += self.word.findall(text.lower())
+        return lines
 
 
 class Lines:
@@ -63,25 +71,38 @@ class Lines:
     def __init__(self, splitter: Splitter) -> None:
         self.splitter = splitter
         self.parts: dict[str, int] = {}
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[str, int] = {"\n": -1}
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.splitter.parts(t) for t in texts]
-        new = list(set().union(*cut).difference(self.parts))
+    def words(self) -> list[str]:
+        """All words in the order of their numbers, 0 upwards."""
+        return list(itertools.islice(self.numbers, 1, None))
+
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """The parts of each text; parts that are new are learnt."""
+        out = [self.splitter.parts(t) for t in texts]
+        new = list(set().union(*out).difference(self.parts))
         if new:
-            found = [self.splitter.words(p) for p in new]
             self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
-            put = self.numbers.setdefault
-            self.flat = np.concatenate([self.flat, np.array([put(w, len(self.numbers)) for ws in found for w in ws], dtype=np.int32)])
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
-        starts = np.cumsum(self.sizes) - self.sizes
-        out = []
-        for own in cut:
-            a = np.fromiter(map(self.parts.__getitem__, own), np.int64, len(own))
-            out.append(self.flat[ragged(starts[a], self.sizes[a])])
+            known, put = self.numbers, self.numbers.setdefault
+            found = np.array([put(w, len(known) - 1) for w in self.splitter.words(new)], dtype=np.int32)
+            ends = np.flatnonzero(found < 0)
+            self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=-1) - 1])
+            self.flat = np.concatenate([self.flat, found[found >= 0]])
         return out
 
+    def numbered(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The word numbers of all texts one after the other, and how many belong to each text."""
+        cut = self.cut(texts)
+        a = self.numbered(list(itertools.chain.from_iterable(cut)))
+        sizes = self.sizes[a]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ends = before[np.cumsum([len(c) for c in cut])]
+        return self.flat[ragged((np.cumsum(self.sizes) - self.sizes)[a], sizes)], np.diff(ends, prepend=0)
+
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places starts[k], starts[k] + 1, ... of each run k, run after run."""
@@ -91,55 +112,60 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def counting(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(path)
-        lines, counts = Lines(splitter), np.zeros(0, np.int64)
+        lines, seen = Lines(splitter), np.zeros(0, np.int64)
 
         def told() -> pa.RecordBatch:
-            words = list(lines.numbers)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
+            counts = np.bincount(lines.flat, weights=np.repeat(seen, lines.sizes), minlength=len(lines.numbers) - 1).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(lines.words(), pa.string()), pa.array(counts)], names=["word", "n"])
 
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a in range(0, len(texts), GROUP):
-                found = np.concatenate(lines.of(texts[a : a + GROUP]))
-                own = np.bincount(found, minlength=len(lines.numbers))
-                own[: len(counts)] += counts
-                counts = own
-                if len(counts) > HELD_WORDS:
+                parts = list(itertools.chain.from_iterable(lines.cut(texts[a : a + GROUP])))
+                own = np.bincount(lines.numbered(parts), minlength=len(lines.parts))
+                own[: len(seen)] += seen
+                seen = own
+                if len(lines.numbers) > HELD_WORDS:
                     yield told()
-                    lines, counts = Lines(splitter), np.zeros(0, np.int64)
+                    lines, seen = Lines(splitter), np.zeros(0, np.int64)
         yield told()
 
     return run
 
 
 def encoding(path: str):
-    """Each distinct word with its ids and, by the vocabulary's id-to-piece table, its decoded pieces."""
+    """Each distinct word with its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, symbols = Tokenizer.from_file(path).model, byte_symbols()
-        spec = json.load(open(path, encoding="utf-8"))
-        specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        pieces = {i: p for p, i in spec["model"]["vocab"].items()} | {i: p for p, i in specials.items()}
+        specials = Splitter(path).specials
         for batch in batches:
             ids = []
             for word in batch.column(0).to_pylist():
                 ids.append([specials[word]] if word in specials else [t.id for t in model.tokenize("".join([symbols[b] for b in word.encode()]))])
-            decoded = [" ".join([pieces[i] for i in own]) for own in ids]
             packed = [np.array(own, dtype="<u4").tobytes() for own in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], names=["word", "n", "ids", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["word", "n", "ids"])
 
     return run
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**21 in one to three bytes of seven bits, the lowest first; the last byte has no high bit."""
+def piece_table(path: str) -> list[str]:
+    """The vocabulary's pieces in the order of their ids."""
+    spec = json.load(open(path, encoding="utf-8"))
+    pieces = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [pieces[i] for i in range(len(pieces))]
+
+
+def pack(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers below 2**21 in one to three bytes of seven bits, the lowest first; the last byte has no high bit. Also the end of each."""
     size = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14)
-    at = np.cumsum(size) - size
+    ends = np.cumsum(size)
+    at = ends - size
     out = np.zeros(int(size.sum()), dtype=np.uint8)
     for k in range(3):
         own = size > k
         out[at[own] + k] = ((numbers[own] >> (7 * k)) & 127) | ((size[own] > k + 1) << 7)
-    return out.tobytes()
+    return out.tobytes(), ends
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -154,14 +180,26 @@ def unpack(packed: bytes) -> np.ndarray:
 
 
 class HotWords:
-    """The broadcast words in the order of their numbers, 1 upwards; 0 stands for a word that is not among them."""
+    """The broadcast words; their numbers run from 1 upwards, 0 stands for a word that is not among them."""
 
-    def __init__(self, rows: list[tuple[str, bytes, str]]) -> None:
-        self.numbers = {w: k + 1 for k, (w, _, _) in enumerate(rows)}
-        self.ids = np.frombuffer(b"".join(i for _, i, _ in rows), dtype="<u4")
-        self.sizes = np.array([0] + [len(i) // 4 for _, i, _ in rows], dtype=np.int64)
+    def __init__(self, held: tuple[bytes, bytes, bytes]) -> None:
+        self.words, ids, sizes = held
+        self.ids = np.frombuffer(ids, dtype="<u4")
+        self.sizes = np.concatenate([[0], np.frombuffer(sizes, dtype="<u2").astype(np.int64)])
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.pieces = ["", *(p for _, _, p in rows)]
+        self.pieces: list[str] | None = None
+
+    @functools.cached_property
+    def numbers(self) -> dict[str, int]:
+        own = self.words.decode().split("\n") if self.words else []
+        return dict(zip(own, range(1, len(own) + 1), strict=True))
+
+    def decoded(self, table: list[str]) -> list[str]:
+        """The pieces of each word by the id-to-piece table, joined once for a worker."""
+        if self.pieces is None:
+            flat = [table[i] for i in self.ids.tolist()]
+            self.pieces = [" ".join(flat[a : a + n]) for a, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True)]
+        return self.pieces
 
 
 LIVING: dict[int, HotWords] = {}
@@ -187,38 +225,74 @@ def lining(path: str, held: Broadcast, name: int):
             for a in range(0, len(texts), GROUP):
                 if len(words) > HELD_WORDS:
                     lines, number, words = Lines(splitter), np.zeros(0, np.int64), []
-                found = lines.of(texts[a : a + GROUP])
-                if len(lines.numbers) > len(words):
-                    more = list(lines.numbers)[len(words) :]
+                found, n = lines.of(texts[a : a + GROUP])
+                if len(lines.numbers) - 1 > len(words):
+                    more = lines.words()[len(words) :]
                     words += more
                     number = np.concatenate([number, np.array([hot.numbers.get(w, 0) for w in more], dtype=np.int64)])
-                own = [number[f] for f in found]
-                rare = [[words[k] for k in f[o == 0].tolist()] for f, o in zip(found, own, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + GROUP], batch.column(1)[a : a + GROUP], pa.array(map(pack, own), pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "key", "line", "rare"])
+                own = number[found]
+                packed, byte_ends = pack(own)
+                gaps = np.flatnonzero(own == 0)
+                behind = np.cumsum(n)
+                line = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], byte_ends])[np.concatenate([[0], behind])].astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(gaps, np.concatenate([[0], behind])), pa.int32()), pa.array([words[k] for k in found[gaps].tolist()], pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + GROUP], batch.column(1)[a : a + GROUP], line, rare], names=["doc_id", "key", "line", "rare"])
+
+    return run
+
+
+def rare_words(path: str, held: Broadcast, name: int):
+    """(key, text) to (key, word) for each distinct word of a text that is not hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, hot = Splitter(path), hot_words(held, name).numbers
+        known: set[str] = set()
+        rare: dict[str, list[str]] = {}
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            out_keys, out_words = [], []
+            for a in range(0, len(texts), GROUP):
+                if len(known) > HELD_WORDS:
+                    known, rare = set(), {}
+                cut = [splitter.parts(t) for t in texts[a : a + GROUP]]
+                new = list(set().union(*cut).difference(known))
+                known.update(new)
+                part = iter(new)
+                own = next(part, None)
+                for w in splitter.words(new):
+                    if w == "\n":
+                        own = next(part, None)
+                    elif w not in hot:
+                        rare.setdefault(own, []).append(w)
+                for key, parts in zip(keys[a : a + GROUP], cut, strict=True):
+                    found = {w for p in filter(rare.__contains__, parts) for w in rare[p]}
+                    out_words += found
+                    out_keys += [key] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_words, pa.string())], names=["key", "word"])
 
     return run
 
 
-def joining(held: Broadcast, name: int, digests: bool):
-    """(doc_id, line, rare, table) to the result; table has a row for each of the text's rare words."""
+def joining(path: str, held: Broadcast, name: int, digests: bool):
+    """(doc_id, line, rare, table) to the result; table has a row for each of the text's rare words. Ids become pieces by the vocabulary's table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_words(held, name)
-        first = len(hot.pieces)
+        hot, vocabulary = hot_words(held, name), piece_table(path)
+        decoded = hot.decoded(vocabulary)
         for batch in batches:
             rows = []
             for packed, rare, table in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 numbers = unpack(packed)
                 gaps = np.flatnonzero(numbers == 0)
                 ids = hot.ids[ragged(hot.starts[numbers], hot.sizes[numbers])]
-                pieces = [hot.pieces[k] for k in numbers.tolist()]
+                pieces = [decoded[k] for k in numbers.tolist()]
                 if len(gaps):
-                    known = {r["word"]: (np.frombuffer(r["ids"], dtype="<u4"), r["pieces"]) for r in table}
+                    known = {r["word"]: np.frombuffer(r["ids"], dtype="<u4") for r in table}
                     before = (np.cumsum(hot.sizes[numbers]) - hot.sizes[numbers])[gaps]
                     put = [known[w] for w in rare]
-                    for k, (_, p) in zip(gaps.tolist(), put, strict=True):
-                        pieces[k] = p
-                    ids = np.insert(ids, np.repeat(before, [len(i) for i, _ in put]), np.concatenate([i for i, _ in put]))
+                    for k, own in zip(gaps.tolist(), put, strict=True):
+                        pieces[k] = " ".join([vocabulary[i] for i in own.tolist()])
+                    ids = np.insert(ids, np.repeat(before, [len(i) for i in put]), np.concatenate(put))
                 text = " ".join(pieces)
                 rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (len(ids), ids.tolist(), text))
             kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int64()), pa.string())
@@ -230,9 +304,9 @@ def joining(held: Broadcast, name: int, digests: bool):
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, n, ids, pieces: every distinct word of all texts, encoded and decoded once."""
+    """word, n, ids: every distinct word of all texts, encoded once."""
     counted = docs.select("text").mapInArrow(counting(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return spool(counted.mapInArrow(encoding(path), "word string, n long, ids binary, pieces string"), "words")
+    return spool(counted.mapInArrow(encoding(path), "word string, n long, ids binary"), "words")
 
 
 def encode_decode(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT_WORDS, digests: bool = True) -> DataFrame:
@@ -254,17 +328,19 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT
             break
         least = r["n"]
     common = short & (F.col("n") >= F.lit(least)) if least is not None else F.lit(False)
-    top = table.filter(common).select("n", "word", "ids", "pieces").toArrow()
-    order = sorted(zip(*(top.column(c).to_pylist() for c in top.column_names), strict=True), key=lambda r: (-r[0], r[1]))
-    held = spark.sparkContext.broadcast([r[1:] for r in order])
+    top = table.filter(common).select("n", "word", "ids").toArrow()
+    order = pa.compute.sort_indices(top, [("n", "descending"), ("word", "ascending")])
+    top = top.take(order)
+    ids = top.column("ids").to_pylist()
+    held = spark.sparkContext.broadcast(("\n".join(top.column("word").to_pylist()).encode(), b"".join(ids), np.array([len(i) // 4 for i in ids], dtype="<u2").tobytes()))
     name = held._jbroadcast.id()
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     lines = keyed.mapInArrow(lining(path, held, name), f"doc_id {kind}, key long, line binary, rare array<string>")
-    # Texts whose keys collide share a list of words, which does no harm.
-    pairs = lines.select("key", F.explode("rare").alias("word")).distinct()
-    other = table.filter(~common).select("word", "ids", "pieces")
-    tables = pairs.join(other, "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids", "pieces")).alias("table"))
+    # Texts whose keys collide share a set of words, which does no harm.
+    pairs = keyed.select("key", "text").mapInArrow(rare_words(path, held, name), "key long, word string")
+    other = table.filter(~common).select("word", "ids")
+    tables = pairs.join(other, "word").groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("table"))
     whole = lines.join(tables, "key", "left").select("doc_id", "line", "rare", "table")
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<long>, decoded string"
-    return whole.mapInArrow(joining(held, name, digests), f"doc_id {kind}, {made}")
+    return whole.mapInArrow(joining(path, held, name, digests), f"doc_id {kind}, {made}")
