@@ -116,7 +116,12 @@ def topological_places(calls: DataFrame, edges: DataFrame) -> DataFrame:
             break
         joined = nodes.join(moved, ["conv_id", "call_id"], "left")
         nodes = spool(joined.select("conv_id", "call_id", F.coalesce("after.base", "base").alias("base"), F.coalesce(F.col("after.hops") + 1, "hops").alias("hops")), "placed-calls")
-    return nodes.join(moved.select("conv_id", "call_id", F.lit(True).alias("cyclic")), ["conv_id", "call_id"], "left")
+    lost, n, before = moved.select("conv_id", "call_id"), int(n > 0), 0
+    while n > before:  # all that needs a call on a cycle, the rest of the cycle included
+        behind = edges.join(lost.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).select("conv_id", "call_id")
+        lost = spool(lost.unionByName(behind).distinct(), "cyclic-calls")
+        before, n = n, lost.count()
+    return nodes.join(lost.withColumn("cyclic", F.lit(True)), ["conv_id", "call_id"], "left")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
