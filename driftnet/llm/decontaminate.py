@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftnet.llm.common import spool
+
 #: Template tokens of a window, literal tokens that it must have, and windows that make a leak (all of a shorter item).
 WINDOW, LITERALS, HITS = 8, 4, 6
 #: Items with fewer tokens are no questions and match nothing.
@@ -22,15 +24,19 @@ NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 
 
 def plain_tokens(text: Column) -> Column:
-    """Lower-case tokens parted by one space; a capitalised word within a sentence has the name mark before it."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu})", NAME)
-    return F.trim(F.regexp_replace(F.lower(marked), rf"(?:[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+", " "))
+    """Lower-case tokens parted by one space; a capitalised word within a sentence has the name mark before it.
+
+    Every pattern begins with the character that it is about and looks behind afterwards, so that a text is passed at the cost of one test a character.
+    """
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r" (?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", f" {NAME}")
+    loose = F.regexp_replace(F.lower(marked), r"[.,](?:(?!\p{N})|(?<!\p{N}[.,]))", " ")  # points and commas that stand in no number
+    return F.trim(F.regexp_replace(loose, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}]+", " "))
 
 
 def template(plain: Column) -> Column:
     """The same tokens with placeholders for numbers, units after numbers, and names."""
-    numbers = F.regexp_replace(plain, r"(?<![^ ])\p{N}+(?:[.,]\p{N}+)*(?![^ ])", NUMBER)
-    units = F.regexp_replace(numbers, rf"(?<={NUMBER} )(?:{UNITS})(?![^ ])", UNIT)
+    numbers = F.regexp_replace(plain, r"\p{N}(?<=(?:^| )\p{N})\p{N}*(?:[.,]\p{N}+)*(?![^ ])", NUMBER)
+    units = F.regexp_replace(numbers, rf"{NUMBER} (?:{UNITS})(?![^ ])", f"{NUMBER} {UNIT}")
     return F.regexp_replace(units, rf"{NAME}[^ ]*", NAME)
 
 
@@ -38,10 +44,14 @@ def tokens(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " ", -1))
 
 
-def window_hashes(of: Column, width: int) -> Column:
-    """The hash of each run of width tokens, in their order."""
-    spots = F.when(F.size(of) >= width, F.sequence(F.lit(1), F.size(of) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.xxhash64(F.slice(of, i, F.lit(width))))
+def windows(of: Column, width: int) -> Column:
+    """For posexplode: structs of the width tokens from each place on. Zipped slices and the hash of their fields stay in generated code."""
+    n = F.greatest(F.size(of) - (width - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(of, F.lit(k + 1), n).alias(f"t{k}") for k in range(width)])
+
+
+def window_tokens(of: str, width: int) -> list[Column]:
+    return [F.col(f"{of}.t{k}") for k in range(width)]
 
 
 def is_slot(token: Column) -> Column:
@@ -50,15 +60,17 @@ def is_slot(token: Column) -> Column:
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, width, need, spot, h: the first place of each distinct window of an item that has enough literal tokens."""
-    split = items.select("item_id", tokens(template(plain_tokens(F.col("text")))).alias("t")).filter(F.size("t") >= LEAST_TOKENS)
-    sized = split.withColumn("width", F.least(F.lit(WINDOW), F.size("t")))
-    at = sized.withColumn("spot", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("width") + 1)))
-    own = F.slice("t", F.col("spot"), F.col("width"))
-    literal = F.size(F.filter(own, lambda x: ~is_slot(x)))
-    kept = at.filter(literal >= F.lit(LITERALS)).select("item_id", "width", F.xxhash64(own).alias("h"), F.col("spot").cast("long").alias("spot"))
-    first = kept.groupBy("item_id", "width", "h").agg(F.min("spot").alias("spot"))
+    split = items.select("item_id", tokens(template(plain_tokens(F.col("text")))).alias("t"))
+    every = None
+    for width in range(LEAST_TOKENS, WINDOW + 1):
+        own = split.filter(F.size("t") >= WINDOW if width == WINDOW else F.size("t") == width)
+        at = own.select("item_id", F.posexplode(windows(F.col("t"), width)).alias("p", "w"))
+        literal = sum((F.when(is_slot(c), 0).otherwise(1) for c in window_tokens("w", width)), F.lit(0))
+        kept = at.filter(literal >= LITERALS).select("item_id", F.lit(width).alias("width"), F.xxhash64(*window_tokens("w", width)).alias("h"), (F.col("p") + 1).cast("long").alias("spot"))
+        every = kept if every is None else every.unionByName(kept)
+    first = every.groupBy("item_id", "width", "h").agg(F.min("spot").alias("spot"))
     need = first.groupBy("item_id").agg(F.least(F.lit(HITS), F.count("*")).cast("long").alias("need"))
-    return first.join(need, "item_id")
+    return first.join(need.withColumnRenamed("item_id", "own_item"), F.col("item_id").eqNullSafe(F.col("own_item"))).drop("own_item")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -70,7 +82,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     carried along as null. Whole texts of any length are compared; among equally good alignments the one with fewer changed slots, then the first, is shown.
     """
     items = items.select("item_id", "text").dropDuplicates()
-    bench = benchmark_windows(items)
+    bench = spool(benchmark_windows(items), "benchmark-windows")
     widths = [r["width"] for r in bench.select("width").distinct().collect()]  # WINDOW - LEAST_TOKENS + 1 values at most
     small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     near = F.broadcast(bench) if small else bench
@@ -78,7 +90,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     split = keyed.select("doc_id", "text_key", tokens(template(plain_tokens(F.col("text")))).alias("t"))
     hits = None
     for width in sorted(widths) or [WINDOW]:
-        own = split.select("doc_id", "text_key", F.posexplode(window_hashes(F.col("t"), width)).alias("p", "h")).withColumn("width", F.lit(width))
+        placed = split.select("doc_id", "text_key", F.posexplode(windows(F.col("t"), width)).alias("p", "w"))
+        own = placed.select("doc_id", "text_key", "p", F.xxhash64(*window_tokens("w", width)).alias("h"), F.lit(width).alias("width"))
         met = own.join(near, ["h", "width"]).select("doc_id", "text_key", "item_id", "need", (F.col("p") + 1 - F.col("spot")).alias("offset"), "spot", "width")
         hits = met if hits is None else hits.unionByName(met)
     aligned = hits.groupBy("doc_id", "text_key", "item_id", "offset").agg(F.countDistinct("spot").alias("n_windows"), F.min("spot").alias("first"), F.max(F.col("spot") + F.col("width")).alias("behind"), F.max("need").alias("need"))
