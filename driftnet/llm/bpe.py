@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftnet.llm.common import spool
+from driftnet.llm.common import living, spool
 from driftnet.llm.token_count import byte_symbols
 
 VOCABULARY = "word_bpe_49k.json"
@@ -74,9 +74,9 @@ class Lines:
         self.numbers: dict[str, int] = {"\n": -1}
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def words(self) -> list[str]:
-        """All words in the order of their numbers, 0 upwards."""
-        return list(itertools.islice(self.numbers, 1, None))
+    def words(self, first: int = 0) -> list[str]:
+        """The words in the order of their numbers, from the first given on."""
+        return list(itertools.islice(self.numbers, 1 + first, None))
 
     def cut(self, texts: list[str]) -> list[list[str]]:
         """The parts of each text; parts that are new are learnt."""
@@ -202,15 +202,9 @@ class HotWords:
         return self.pieces
 
 
-LIVING: dict[int, HotWords] = {}
-
-
 def hot_words(held: Broadcast, name: int) -> HotWords:
     """The worker's own HotWords of a broadcast, kept from task to task."""
-    if name not in LIVING:
-        LIVING.clear()
-        LIVING[name] = HotWords(held.value)
-    return LIVING[name]
+    return living(("hot words", name), lambda: HotWords(held.value))
 
 
 def lining(path: str, held: Broadcast, name: int):
@@ -227,7 +221,7 @@ def lining(path: str, held: Broadcast, name: int):
                     lines, number, words = Lines(splitter), np.zeros(0, np.int64), []
                 found, n = lines.of(texts[a : a + GROUP])
                 if len(lines.numbers) - 1 > len(words):
-                    more = lines.words()[len(words) :]
+                    more = lines.words(len(words))
                     words += more
                     number = np.concatenate([number, np.array([hot.numbers.get(w, 0) for w in more], dtype=np.int64)])
                 own = number[found]

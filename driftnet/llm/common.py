@@ -44,3 +44,15 @@ def text_bytes(col) -> object:
 def words_of(text: str) -> list[bytes]:
     """Runs of bytes other than space and 0x09-0x0D, A-Z lower-cased; all else is left as it is."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+LIVING: dict = {}
+
+
+def living(key, make):
+    """What a Python worker keeps from task to task under a key. Only the last key is kept: workers outlive the
+    operators of a pipeline, and their tables must not add up."""
+    if key not in LIVING:
+        LIVING.clear()
+        LIVING[key] = make()
+    return LIVING[key]

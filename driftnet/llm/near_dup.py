@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import spool, words_of
+from driftnet.llm.common import living, spool, words_of
 
 COORDINATES, AGREE, HEAD = 128, 77, 64
 #: Shingles of one block of a leader's group; a task holds two blocks.
 BLOCK = 3_000_000
 #: Distinct words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 SEED = 7
 ONE = np.uint64(1)
 
@@ -49,17 +49,15 @@ class WordHashes(dict):
         return h
 
 
-LIVING = WordHashes()
-
-
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the text's word shingles; of a shorter text, the hash of all its words; empty without words."""
     words = words_of(text or "")
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(LIVING) > REMEMBERED:
-        LIVING.clear()
-    a = np.fromiter(map(LIVING.__getitem__, words), dtype=np.uint64, count=len(words))
+    hashes = living("word hashes", WordHashes)
+    if len(hashes) > REMEMBERED:
+        hashes.clear()
+    a = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(width, len(a))
     n = len(a) - k + 1
     h = np.full(n, np.uint64(k), dtype=np.uint64)

@@ -17,6 +17,8 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from driftnet.llm.common import living
+
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "[#*$%&|<>]"[1:-1]
@@ -57,7 +59,7 @@ def script_of(text: str) -> str:
 
 
 #: Distinct words whose pieces a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 GROUP = 128
 
 
@@ -133,14 +135,9 @@ def repeat_words(a: np.ndarray) -> int:
     return int(covered.sum())
 
 
-LIVING: dict[str, WordPieces] = {}
-
-
 def word_pieces(path: str) -> WordPieces:
     """The worker's own WordPieces, kept from task to task."""
-    if path not in LIVING:
-        LIVING[path] = WordPieces(path)
-    return LIVING[path]
+    return living(("word pieces", path), lambda: WordPieces(path))
 
 
 def within(band: Band, n_tokens: int, chars: float, byte_share: float, entropy: float) -> bool:

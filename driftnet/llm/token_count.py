@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import text_bytes
+from driftnet.llm.common import living, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of pieces whose counts a worker remembers; beyond that it forgets all and starts anew.
@@ -131,14 +131,9 @@ class PieceCounts:
         return [sum(map(spaced, p)) + sum(map(bare, f)) + e for p, f, e in zip(later, first, extra, strict=True)]
 
 
-LIVING: dict[tuple[str, str], PieceCounts] = {}
-
-
 def piece_counts(path: str, pattern: str) -> PieceCounts:
     """The worker's own PieceCounts, kept from task to task."""
-    if (path, pattern) not in LIVING:
-        LIVING[path, pattern] = PieceCounts(path, pattern)
-    return LIVING[path, pattern]
+    return living(("piece counts", path, pattern), lambda: PieceCounts(path, pattern))
 
 
 def counting(path: str, pattern: str):
