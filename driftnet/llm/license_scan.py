@@ -1,8 +1,8 @@
 """Licence scans by a positional rare-token index.
 
-Licence templates are indexed by word and position. Of each file only its licence words of highest inverse document
-frequency are looked up; postings vote for (template, offset), so that words count only where they stand at the same
-relative positions as in the template. The best alignments are scored over the whole template, and a label is given
+Licence templates are indexed by word and position. Of each file all licence words that are rare in the corpus are
+looked up, so that no template depends on what else the file holds; postings vote for (template, offset), so that words
+count only where they stand at the same relative positions as in the template. The best alignments are scored over the whole template, and a label is given
 when the score reaches a threshold and the template's mandatory phrases stand in the file.
 """
 
@@ -41,8 +41,6 @@ TEMPLATES = [
 THRESHOLD = 0.6
 #: A licence word is rare that stands in fewer than this share of all documents; each template's two rarest words count as rare always.
 RARE_SHARE = 0.2
-#: Distinct rare words of a file that are looked up, rarest first.
-LOOKED_UP = 24
 
 #: ASCII bytes that are neither letters nor digits part words, A-Z become a-z; all other characters belong to words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -105,9 +103,8 @@ class TemplateIndex:
 
     def aligned(self, words: list[bytes], where: dict[bytes, list[int]]) -> list[tuple[int, float]]:
         """Templates with their best share of words in place, among the offsets that two or more rare words vote for (or all of a shorter template)."""
-        rare = sorted((w for w in where if w in self.rare), key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
         votes: Counter = Counter()
-        for w in rare:
+        for w in self.rare.intersection(where):
             for t, k in self.postings[w]:
                 votes.update((t, p - k) for p in where[w])
         best: dict[int, float] = {}

@@ -132,6 +132,15 @@ def test_license_scan(spark, docs, small):
     assert out[5002]["labels"] == "bsd" and out[5002]["score"] == 1 and out[5003]["labels"] == ""
 
 
+def test_short_license_beside_a_long_notice():
+    common = {w: 600 for w in license_scan.split_words("Licensed under CC BY 4.0")}
+    every = {w for _, _, text in license_scan.TEMPLATES for w in license_scan.split_words(text)}
+    index = license_scan.TemplateIndex(frequency={w: 5 for w in every} | common, documents=10_000)
+    mit = license_scan.TEMPLATES[0][2]
+    assert index.scan(f"{mit}\nLicensed under CC BY 4.0")[5] == "cc-by,mit"
+    assert index.scan("\n".join(text for _, _, text in license_scan.TEMPLATES))[5] == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES}))
+
+
 def test_ordinal_regression_holds_out():
     rng = np.random.default_rng(5)
     x = rng.poisson(0.6, (3000, 12)).astype(float)
