@@ -3,6 +3,9 @@
 Numbers, units and names become typed placeholders, so that a re-parameterised question keeps its template. Windows of
 template tokens are joined by hash to those of the benchmark; hits are put together by benchmark item and relative offset, and an
 alignment counts only if its slots are consistent: each value of the item stands for one value of the document, and no two for the same.
+
+Windows of the plain lower-case tokens are posted too, with their values and without marks. They find verbatim text whatever its case, line
+breaks or left neighbour, items without enough literal tokens, and long verbatim stretches of an alignment that is not consistent as a whole.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ def template(plain: Column) -> Column:
     return F.regexp_replace(units, rf"{NAME}[^ ]*", NAME)
 
 
+def unmarked(plain: Column) -> Column:
+    return F.translate(plain, NAME, "")
+
+
 def tokens(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " ", -1))
 
@@ -58,24 +65,50 @@ def is_slot(token: Column) -> Column:
     return token.isin(NAME, NUMBER, UNIT)
 
 
+def best_run(spots: Column, width: Column) -> Column:
+    """n, first, last of the longest run of spots (the first of equals) between which no token is left out, as each window reaches up to the next."""
+    kind = "struct<n: long, first: long, last: long, best_n: long, best_first: long, best_last: long>"
+    start = F.from_json(F.lit('{"n": 0, "first": 0, "last": 0, "best_n": 0, "best_first": 0, "best_last": 0}'), kind)
+
+    def step(a, s):
+        goes_on = (a["n"] > 0) & (s - a["last"] <= width)
+        n, first = F.when(goes_on, a["n"] + 1).otherwise(F.lit(1).cast("long")), F.when(goes_on, a["first"]).otherwise(s)
+        more = n > a["best_n"]
+        pick = lambda new, old: F.when(more, new).otherwise(a[old])
+        return F.struct(n.alias("n"), first.alias("first"), s.alias("last"), pick(n, "best_n").alias("best_n"), pick(first, "best_first").alias("best_first"), pick(s, "best_last").alias("best_last"))
+
+    return F.aggregate(F.array_sort(spots), start, step, lambda a: F.struct(a["best_n"].alias("n"), a["best_first"].alias("first"), a["best_last"].alias("last")))
+
+
+def both_kinds(text: Column) -> list[Column]:
+    plain = plain_tokens(text)
+    return [tokens(template(plain)).alias("t"), tokens(unmarked(plain)).alias("v")]
+
+
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, width, need, spot, h: the first place of each distinct window of an item that has enough literal tokens."""
-    split = items.select("item_id", tokens(template(plain_tokens(F.col("text")))).alias("t"))
+    """item_id, plain, width, need, spot, h: the first place of each distinct window of an item, of its template (with enough literal tokens) and of its plain tokens."""
+    split = items.select("item_id", *both_kinds(F.col("text")))
     every = None
     for width in range(LEAST_TOKENS, WINDOW + 1):
         own = split.filter(F.size("t") >= WINDOW if width == WINDOW else F.size("t") == width)
-        at = own.select("item_id", F.posexplode(windows(F.col("t"), width)).alias("p", "w"))
-        literal = sum((F.when(is_slot(c), 0).otherwise(1) for c in window_tokens("w", width)), F.lit(0))
-        kept = at.filter(literal >= LITERALS).select("item_id", F.lit(width).alias("width"), F.xxhash64(*window_tokens("w", width)).alias("h"), (F.col("p") + 1).cast("long").alias("spot"))
-        every = kept if every is None else every.unionByName(kept)
-    first = every.groupBy("item_id", "width", "h").agg(F.min("spot").alias("spot"))
-    need = first.groupBy("item_id").agg(F.least(F.lit(HITS), F.count("*")).cast("long").alias("need"))
-    return first.join(need.withColumnRenamed("item_id", "own_item"), F.col("item_id").eqNullSafe(F.col("own_item"))).drop("own_item")
+        for plain in (False, True) if width >= LEAST_TOKENS else (True,):
+            at = own.select("item_id", F.posexplode(windows(F.col("v" if plain else "t"), width)).alias("p", "w"))
+            literal = sum((F.when(is_slot(c), 0).otherwise(1) for c in window_tokens("w", width)), F.lit(0))
+            kept = at if plain else at.filter(literal >= LITERALS)
+            kept = kept.select("item_id", F.lit(plain).alias("plain"), F.lit(width).alias("width"), F.xxhash64(*window_tokens("w", width)).alias("h"), (F.col("p") + 1).cast("long").alias("spot"))
+            every = kept if every is None else every.unionByName(kept)
+    first = every.groupBy("item_id", "plain", "width", "h").agg(F.min("spot").alias("spot"))
+    told = first.groupBy("item_id", "plain", "width").agg(F.count("*").alias("n"), F.collect_set("spot").alias("spots"))
+    most = F.when(F.col("plain"), best_run(F.col("spots"), F.col("width"))["n"]).otherwise(F.col("n"))
+    need = told.select(F.col("item_id").alias("own_item"), F.col("plain").alias("own_kind"), F.least(F.lit(HITS), most).cast("long").alias("need"))
+    return first.join(need, F.col("item_id").eqNullSafe(F.col("own_item")) & (F.col("plain") == F.col("own_kind"))).drop("own_item", "own_kind")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, n_windows, n_slots, n_changed for each document that holds a benchmark item or a good part of it.
 
+    A good part is an alignment of enough template windows with consistent slots, or a run of enough plain windows without a gap.
+
     n_windows: windows in the best alignment; n_slots: placeholders there; n_changed: those whose value differs from the item's.
     docs needs doc_id and text, items item_id and text; other columns are ignored, whatever their names. Null and empty texts match
     nothing. Repeated rows give one row; repeated items count as one if their ids are equal. A null doc_id or item_id is
@@ -87,16 +120,21 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     near = F.broadcast(bench) if small else bench
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    split = keyed.select("doc_id", "text_key", tokens(template(plain_tokens(F.col("text")))).alias("t"))
+    split = keyed.select("doc_id", "text_key", *both_kinds(F.col("text")))
     hits = None
     for width in sorted(widths) or [WINDOW]:
-        placed = split.select("doc_id", "text_key", F.posexplode(windows(F.col("t"), width)).alias("p", "w"))
-        own = placed.select("doc_id", "text_key", "p", F.xxhash64(*window_tokens("w", width)).alias("h"), F.lit(width).alias("width"))
-        met = own.join(near, ["h", "width"]).select("doc_id", "text_key", "item_id", "need", (F.col("p") + 1 - F.col("spot")).alias("offset"), "spot", "width")
+        kinds = F.array(F.struct(F.lit(False).alias("plain"), F.col("t").alias("of")), F.struct(F.lit(True).alias("plain"), F.col("v").alias("of")))
+        sides = split.select("doc_id", "text_key", F.explode(kinds).alias("k")).select("doc_id", "text_key", "k.plain", "k.of")
+        placed = sides.select("doc_id", "text_key", "plain", F.posexplode(windows(F.col("of"), width)).alias("p", "w"))
+        own = placed.select("doc_id", "text_key", "plain", "p", F.xxhash64(*window_tokens("w", width)).alias("h"), F.lit(width).alias("width"))
+        met = own.join(near, ["h", "width", "plain"]).select("doc_id", "text_key", "item_id", "plain", "need", (F.col("p") + 1 - F.col("spot")).alias("offset"), "spot", "width")
         hits = met if hits is None else hits.unionByName(met)
-    aligned = hits.groupBy("doc_id", "text_key", "item_id", "offset").agg(F.countDistinct("spot").alias("n_windows"), F.min("spot").alias("first"), F.max(F.col("spot") + F.col("width")).alias("behind"), F.max("need").alias("need"))
-    enough = aligned.filter("n_windows >= need")
-    value = tokens(plain_tokens(F.col("text")))
+    aligned = hits.groupBy("doc_id", "text_key", "item_id", "plain", "offset", "width").agg(F.collect_set("spot").alias("spots"), F.max("need").alias("need"))
+    aligned = aligned.filter(F.size("spots") >= F.col("need"))
+    whole = F.struct(F.size("spots").cast("long").alias("n"), F.array_min("spots").alias("first"), F.array_max("spots").alias("last"))
+    told = aligned.withColumn("run", F.when(F.col("plain"), best_run(F.col("spots"), F.col("width"))).otherwise(whole)).filter("run.n >= need")
+    enough = told.select("doc_id", "text_key", "item_id", "offset", F.col("run.n").alias("n_windows"), F.col("run.first").alias("first"), (F.col("run.last") + F.col("width")).alias("behind"))
+    value = tokens(unmarked(plain_tokens(F.col("text"))))
     item_side = items.select(F.col("item_id").alias("own_item"), value.alias("item_values"), tokens(template(plain_tokens(F.col("text")))).alias("item_template"))
     doc_side = keyed.withColumnRenamed("doc_id", "own_doc").withColumnRenamed("text_key", "own_key")
     both = doc_side.join(enough, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")))

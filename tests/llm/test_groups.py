@@ -95,6 +95,17 @@ def test_reparameterised_questions(spark):
     assert decontaminate.leaks(frame, items.limit(0)).count() == 0
 
 
+def found(spark, docs, items):
+    frames = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(*frames).collect()}
+
+
+def test_verbatim_copies_whatever_stands_before(spark):
+    items = ["What is the boiling point of water at sea level", "In which city did Marie Curie study physics"]
+    docs = ["He asked me What is the boiling point of water at sea level today", "In which city did\nMarie Curie study physics", items[1].lower(), items[1].upper(), "What is the boiling point of oil at sea level"]
+    assert found(spark, docs, items) == {(0, 0), (1, 1), (2, 1), (3, 1)}
+
+
 def test_planted_items_are_found(spark, small):
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     want = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if i["text"] in d["text"]}
