@@ -17,13 +17,15 @@ from driftnet.llm.common import spool
 
 #: Template tokens of a window, literal tokens that it must have, and windows that make a leak (all of a shorter item).
 WINDOW, LITERALS, HITS = 8, 4, 6
-#: Items with fewer tokens are no questions and match nothing.
+#: Items with fewer tokens are no questions; they have no template and match by their plain tokens only.
 LEAST_TOKENS = 5
 #: Benchmark windows that are broadcast at most; a larger benchmark is joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|mi|miles|mile|ft|feet|inch|inches|kg|g|mg|lb|lbs|oz|tons|l|ml|litres|liters|gallons|s|sec|seconds|min|minutes|h|hours|hour|days|day|weeks|months|years|year|mph|kmh|hz|khz|mhz|ghz|w|kw|v|j|kj|cal|usd|eur|gbp|dollars|euros|pounds|cents|percent|degrees"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+#: Characters of scripts that part no words by spaces; each is a token.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def plain_tokens(text: Column) -> Column:
@@ -33,7 +35,8 @@ def plain_tokens(text: Column) -> Column:
     """
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r" (?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", f" {NAME}")
     loose = F.regexp_replace(F.lower(marked), r"[.,](?:(?!\p{N})|(?<!\p{N}[.,]))", " ")  # points and commas that stand in no number
-    return F.trim(F.regexp_replace(loose, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}]+", " "))
+    parted = F.regexp_replace(loose, rf"{UNSPACED}", " $0 ")
+    return F.trim(F.regexp_replace(parted, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}]+", " "))
 
 
 def template(plain: Column) -> Column:
@@ -89,7 +92,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, plain, width, need, spot, h: the first place of each distinct window of an item, of its template (with enough literal tokens) and of its plain tokens."""
     split = items.select("item_id", *both_kinds(F.col("text")))
     every = None
-    for width in range(LEAST_TOKENS, WINDOW + 1):
+    for width in range(1, WINDOW + 1):
         own = split.filter(F.size("t") >= WINDOW if width == WINDOW else F.size("t") == width)
         for plain in (False, True) if width >= LEAST_TOKENS else (True,):
             at = own.select("item_id", F.posexplode(windows(F.col("v" if plain else "t"), width)).alias("p", "w"))

@@ -100,6 +100,12 @@ def found(spark, docs, items):
     return {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(*frames).collect()}
 
 
+def test_items_without_template_windows(spark):
+    items = ["What is 12 + 7 * 3 - 4 / 2?", "小明有12个苹果，吃了3个，还剩几个？", "Capital of Peru?", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "日本の首都はどこですか", "?!"]
+    docs = [f"He wrote: {i} And so on." for i in items] + ["What is 12 + 7 * 3 - 5 / 2?", "capital in peru", "日本の首都はとても大きいです", None, ""]
+    assert found(spark, docs, items) == {(k, k) for k in range(5)}
+
+
 def test_verbatim_copies_whatever_stands_before(spark):
     items = ["What is the boiling point of water at sea level", "In which city did Marie Curie study physics"]
     docs = ["He asked me What is the boiling point of water at sea level today", "In which city did\nMarie Curie study physics", items[1].lower(), items[1].upper(), "What is the boiling point of oil at sea level"]
