@@ -2,7 +2,7 @@
 
 Numbers, units and names become typed placeholders, so that a re-parameterised question keeps its template. Windows of
 template tokens are joined by hash to those of the benchmark; hits are put together by benchmark item and relative offset, and an
-alignment counts only if its slots are consistent: each value of the item stands for one value of the document, and no two for the same.
+alignment counts only if its slots are consistent: each value of the item stands for one value of the document.
 
 Windows of the plain lower-case tokens are posted too, with their values and without marks. They find verbatim text whatever its case, line
 breaks or left neighbour, items without enough literal tokens, and long verbatim stretches of an alignment that is not consistent as a whole.
@@ -149,9 +149,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     slots = both.withColumn("slots", F.filter(zipped, lambda s: is_slot(s["kind"])))
     pairs = F.array_distinct("slots")
     one_way = F.size(pairs) == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
-    other_way = F.size(pairs) == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["doc"]))))
     changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
-    consistent = slots.filter((one_way & other_way) | (changed == 0))
+    consistent = slots.filter(one_way | (changed == 0))
     best = F.max_by(F.struct("n_windows", F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed")), F.struct("n_windows", -changed, -F.col("offset"))).alias("best")
     return consistent.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "best.*")
 

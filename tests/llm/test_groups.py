@@ -112,6 +112,12 @@ def test_verbatim_copies_whatever_stands_before(spark):
     assert found(spark, docs, items) == {(0, 0), (1, 1), (2, 1), (3, 1)}
 
 
+def test_one_slot_does_not_undo_a_leak(spark):
+    item = "On a bright morning in the village Alice " + " ".join(f"walks{chr(97 + k)}" for k in range(20)) + " and then Alice " + " ".join(f"sings{chr(97 + k)}" for k in range(20)) + "."
+    same_number = ITEM.replace("12", "9").replace("30", "9").replace("Alice", "Bob")
+    assert found(spark, [item.replace("then Alice", "then Bob"), same_number], [item, ITEM]) == {(0, 0), (1, 1)}
+
+
 def test_planted_items_are_found(spark, small):
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     want = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if i["text"] in d["text"]}
