@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftnet.llm.common import living, spool, words_of
@@ -92,7 +92,7 @@ def signing(width: int):
                 sets = [shingle_set(t, width) for t in texts[a : a + 1024]]
                 marks = [fingerprint(s) if len(s) else None for s in sets]
                 signs = [signature(s, by) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[a : a + 1024], pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(signs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "mark", "sig"])
+                yield pa.RecordBatch.from_arrays([ids[a : a + 1024], pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(signs, pa.list_(pa.int32())), *(c[a : a + 1024] for c in batch.columns[2:])], names=["doc_id", "n_shingles", "mark", "sig", *batch.schema.names[2:]])
 
     return run
 
@@ -209,6 +209,16 @@ def class_links(docs: DataFrame, signed: DataFrame, width: int, percent: int, ag
     return held.groupBy("leader", "lo", "hi").applyInArrow(link_groups(agree, percent), "a binary, b binary")
 
 
+def signed_and_rooted(docs: DataFrame, width: int, percent: int, agree: int, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, mark, sig and, if keyed, text_key of every row; mark, root, least_id of every class."""
+    key = [F.xxhash64("text").alias("text_key")] if keyed else []
+    signed = spool(docs.select("doc_id", "text", *key).mapInArrow(signing(width), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, mark binary, sig array<int>" + (", text_key long" if keyed else "")), "signed")
+    links = class_links(docs, signed, width, percent, agree)
+    roots = spool(components(links), "roots")
+    least = signed.filter("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("least_id"))
+    return signed, least.join(roots, F.col("mark") == F.col("node"), "left").select("mark", F.coalesce("root", "mark").alias("root"), "least_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -218,11 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, agree: i
     and so a component; of repeated ids all rows count as the same document. A null id never is a component_id unless its
     component has no other; such rows are kept.
     """
-    signed = spool(docs.select("doc_id", "text").mapInArrow(signing(width), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, mark binary, sig array<int>"), "signed")
-    links = class_links(docs, signed, width, percent, agree)
-    roots = spool(components(links), "roots")
-    least = signed.filter("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("least_id"))
-    whole = least.join(roots, F.col("mark") == F.col("node"), "left").select("mark", F.coalesce("root", "mark").alias("root"), "least_id")
+    signed, whole = signed_and_rooted(docs, width, percent, agree)
     per_root = whole.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = spool(whole.join(per_root, "root").select("mark", "component_id"), "component-ids")
     out = signed.select("doc_id", "n_shingles", "mark").join(found, "mark", "left")
@@ -230,20 +236,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, agree: i
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; one row of each component, wordless rows all."""
-    told = near_duplicates(docs, width, percent)
-    gone = spool(told.filter("NOT kept").select("doc_id").distinct(), "dropped")
-    left = docs.join(gone, "doc_id", "left_anti")
-    named = told.filter("kept AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return left if named.limit(1).count() == 0 else first_of_equal(left, width)
-
-
-def first_of_equal(docs: DataFrame, width: int) -> DataFrame:
-    """Leaves one of the rows that share a doc_id, where ids repeat; rows without words all stay."""
-    from pyspark.sql import Window
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, agree: int = AGREE) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; one row of each component, wordless rows all.
 
+    The row of the least doc_id stays, one with a null id only where no other has an id. Rows are told apart by doc_id and text: null ids
+    and repeated ids alone join nothing.
+    """
+    signed, whole = signed_and_rooted(docs, width, percent, agree, keyed=True)
+    marked = signed.filter("mark IS NOT NULL").select(F.col("doc_id").alias("own_id"), "text_key", "mark")
+    rows = spool(marked.join(whole.select("mark", "root"), "mark").select("own_id", "text_key", "root"), "rows")
+    rank = F.struct(F.col("own_id").isNull(), F.col("own_id"), F.col("text_key"))
+    first = rows.groupBy("root").agg(F.min(rank).alias("rank")).select("root", "rank.own_id", "rank.text_key")
+    keepers = first.select(F.col("root").alias("own_root"), F.col("own_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    told = spool(rows.join(keepers, F.col("root") == F.col("own_root")).select("own_id", "text_key", same.alias("stays")).groupBy("own_id", "text_key", "stays").agg(F.count("*").alias("n")), "told")
+    pick = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("text_key"))
+    left = docs.join(told.filter("NOT stays").select("own_id", "text_key"), pick, "left_anti")
+    again = told.filter("stays AND n > 1").select("own_id", "text_key")
+    return left if again.limit(1).count() == 0 else first_of_equal(left, again, pick)
+
+
+def first_of_equal(docs: DataFrame, again: DataFrame, pick: Column) -> DataFrame:
+    """Leaves one of the rows that share a doc_id and a text, where again lists them."""
     columns = docs.columns
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns))
-    worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    return docs.withColumn("own_row", F.row_number().over(order)).filter((F.col("own_row") == 1) | ~worded).select(*columns)
+    row = F.struct(*columns)
+    one = docs.join(again, pick, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("own_key")).agg(F.min_by(row, F.xxhash64(*columns)).alias("row"))
+    return docs.join(again, pick, "left_anti").unionByName(one.select("row.*"))

@@ -72,6 +72,14 @@ def test_repeated_and_null_ids(spark):
     assert near_dup.keep_one(docs.filter("doc_id IS NOT NULL"), width=4).count() == 2
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    texts = ["one two three four five", "six seven eight nine ten", "red green blue black white"]
+    rows = [(None, t) for t in [*texts, texts[0], "", None]] + [(5, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "north south east west up"), (7, texts[2])]
+    left = [tuple(r) for r in near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (None, ""), (None, None), (5, rows[6][1]), (5, rows[8][1])]
+    assert sorted(map(repr, left)) == sorted(map(repr, want))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(f"{k:03}", f"{k + 1:03}") for k in range(60)] + [("x", "y")], "a string, b string")
     out = {r["node"]: r["root"] for r in near_dup.components(links).collect()}
