@@ -25,7 +25,7 @@ BROADCAST_WINDOWS = 1_000_000
 UNITS = "km|m|cm|mm|mi|miles|mile|ft|feet|inch|inches|kg|g|mg|lb|lbs|oz|tons|l|ml|litres|liters|gallons|s|sec|seconds|min|minutes|h|hours|hour|days|day|weeks|months|years|year|mph|kmh|hz|khz|mhz|ghz|w|kw|v|j|kj|cal|usd|eur|gbp|dollars|euros|pounds|cents|percent|degrees"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 #: Characters of scripts that part no words by spaces; each is a token.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+UNSPACED = r"[^\x{0}-\x{DFF}](?<=[฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\x{20000}-\x{3FFFF}])"
 
 
 def plain_tokens(text: Column) -> Column:
