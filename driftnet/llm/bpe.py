@@ -1,27 +1,30 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are cut into words (the vocabulary's own pre-tokens) and the words counted; each distinct word is encoded once.
-2. The commonest words, HOT_WORDS at most and none longer than LONG bytes, go to all executors. Each text becomes a line of
-   numbers of such words, with gaps for the others.
-3. The others are joined to the word table by a shuffle, as (text, word) pairs, and meet their text's line.
-4. Ids are put together by position, and pieces by a join of the ids to the vocabulary's table of ids and pieces.
+1. Texts are cut once. Each run of texts (a chunk) becomes one line of word numbers for all its texts and its list of distinct words.
+2. Distinct words of all chunks are dealt by their hash; where they meet, each is encoded once, and its ids go back
+   to the chunks that asked, under the number that the word has there.
+3. Lines and ids meet by chunk: ids are put in by position, and pieces by a join of the ids to the vocabulary's table of ids and pieces.
+
+No word table is held in the driver or sent to all executors, and every key is a chunk or a hash bucket of words, so that
+neither common words nor copies of a text make a large group: a word is sent once for a chunk, however often it stands there.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import json
+import re
 import unicodedata
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -30,78 +33,87 @@ from driftnet.llm.common import living, spool
 from driftnet.llm.token_count import byte_symbols
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bound on the broadcast words: their number, and bytes of each.
-HOT_WORDS, LONG = 600_000, 64
-#: Texts that are worked at a time; distinct words that a task holds before it gives its counts out.
-GROUP, HELD_WORDS = 256, 400_000
+#: UTF-8 bytes of text after which a chunk is closed; a longer text is a chunk of its own.
+CHUNK = 16 << 20
+#: Buckets by which a chunk's words are dealt, for each shuffle partition; distinct words that a task remembers.
+BUCKETS_A_PARTITION, HELD_WORDS = 4, 400_000
+
+
+#: Kinds of code points.
+SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 
 
 class Splitter:
-    """Cuts texts into normalised words as the vocabulary file says: NFC, lower case, white space dropped; special strings stay whole."""
+    """Cuts texts into normalised words as the vocabulary file says: NFC, lower case, white space dropped; special strings stay whole.
+
+    All texts of a chunk are cut at once, as one array of code points. Surrogates, which no text holds, part the texts and stand for special strings.
+    """
+
+    END, FIRST_SPECIAL = 0xD800, 0xD801
 
     def __init__(self, path: str) -> None:
         spec = json.load(open(path, encoding="utf-8"))
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
-        self.word = regex.compile(r"\n|" + spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-
-    def parts(self, text: str) -> list[str]:
-        """Special strings, and what stands between them cut at spaces."""
-        if "<|" not in text:
-            return text.split(" ")
-        return [p for s in self.special.split(text) for p in ([s] if s in self.specials else s.split(" "))]
-
-    def words(self, parts: list[str]) -> list[str]:
-        """The words of all parts, a newline behind those of each part."""
-        lines = []
-        for special, run in itertools.groupby(parts, self.specials.__contains__):
-            if special:
-                lines += [w for p in run for w in (p, "\n")]
-                continue
-            text = "\n".join([p.replace("\n", " ") if "\n" in p else p for p in run]) + "\n"  # white space parts words and is dropped
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without a final form
-            lines += self.word.findall(text.lower())
-        return lines
-
-
-class Lines:
-    """Texts as arrays of word numbers; words are numbered as they come."""
-
-    def __init__(self, splitter: Splitter) -> None:
-        self.splitter = splitter
-        self.parts: dict[str, int] = {}
-        self.numbers: dict[str, int] = {"\n": -1}
-        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def words(self, first: int = 0) -> list[str]:
-        """The words in the order of their numbers, from the first given on."""
-        return list(itertools.islice(self.numbers, 1 + first, None))
-
-    def cut(self, texts: list[str]) -> list[list[str]]:
-        """The parts of each text; parts that are new are learnt."""
-        out = [self.splitter.parts(t) for t in texts]
-        new = list(set().union(*out).difference(self.parts))
-        if new:
-            self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
-            known, put = self.numbers, self.numbers.setdefault
-            found = np.array([put(w, len(known) - 1) for w in self.splitter.words(new)], dtype=np.int32)
-            ends = np.flatnonzero(found < 0)
-            self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=-1) - 1])
-            self.flat = np.concatenate([self.flat, found[found >= 0]])
-        return out
-
-    def numbered(self, parts: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The word numbers of all texts one after the other, and how many belong to each text."""
-        cut = self.cut(texts)
-        a = self.numbered(list(itertools.chain.from_iterable(cut)))
-        sizes = self.sizes[a]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        ends = before[np.cumsum([len(c) for c in cut])]
-        return self.flat[ragged((np.cumsum(self.sizes) - self.sizes)[a], sizes)], np.diff(ends, prepend=0)
+        self.specials = self.special_ids(path)
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))))
+        self.marks = {s: chr(self.FIRST_SPECIAL + k) for k, s in enumerate(self.specials)}
+        self.endings = self.checked(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        every = "".join(map(chr, range(self.END))) + "".join(map(chr, range(0xE000, 0x110000)))
+        points = np.array([*range(self.END), *range(0xE000, 0x110000)])
+        self.kind = np.full(0x110000, OTHER, dtype=np.uint8)
+        for kind, pattern in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+            self.kind[points[[m.start() for m in regex.finditer(pattern, every)]]] = kind
+        self.kind[self.END] = SPACE
+        self.kind[self.FIRST_SPECIAL : self.FIRST_SPECIAL + len(self.specials)] = SPECIAL
+
+    @staticmethod
+    def special_ids(path: str) -> dict[str, int]:
+        return {t["content"]: t["id"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
+
+    @staticmethod
+    def checked(pattern: str) -> list[str]:
+        """The endings behind an apostrophe that the pattern has; it must otherwise ask for runs of letters, single digits and runs of the rest."""
+        *endings, letters, number, rest = pattern.split("|")
+        if (letters, number, rest) != (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+") or not all(e[0] == "'" and len(e) in (2, 3) for e in endings):
+            raise ValueError(f"not a pattern of words, digits and other runs: {pattern}")
+        return [e[1:] for e in endings]
+
+    def words(self, texts: list[str]) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The words of all texts, text after text, special strings as their marks; and how many each text has."""
+        text = chr(self.END).join(texts) + chr(self.END)
+        if "<|" in text:
+            text = self.special.sub(lambda m: self.marks[m[0]], text)
+        # lower case letter by letter, without a final form
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = self.kind[points]
+        begins = np.empty(len(kind), dtype=bool)
+        begins[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= (kind == NUMBER) | (kind == SPECIAL)
+        self.part_endings(points, begins)
+        solid = kind != SPACE
+        begins &= solid
+        ends = np.flatnonzero(points == self.END)
+        counts = np.diff(np.cumsum(begins, dtype=np.int64)[ends], prepend=0)
+        kept = points[solid]
+        size = (1 + (kept > 0x7F)).astype(np.int8) + (kept > 0x7FF) + (kept > 0xFFFF)
+        behind = np.cumsum(size, dtype=np.int64)
+        first = np.flatnonzero(begins[solid])
+        offsets = np.concatenate([(behind - size)[first], behind[-1:] if len(behind) else [0]]).astype(np.int64)
+        raw = kept.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), counts
+
+    def part_endings(self, points: np.ndarray, begins: np.ndarray) -> None:
+        """An apostrophe that begins a run takes an ending such as re or s with it; what follows that begins anew."""
+        at = np.flatnonzero((points == ord("'")) & begins)
+        follow = [points[np.minimum(at + k, len(points) - 1)] for k in (1, 2)]
+        for ending in self.endings:
+            own = follow[0] == ord(ending[0])
+            if len(ending) == 2:
+                own = own & (follow[1] == ord(ending[1]))
+            found = at[own]
+            begins[found + 1] = False
+            begins[found + 1 + len(ending)] = True  # the last point parts texts, so there is one
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -109,63 +121,17 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def counting(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(path)
-        lines, seen = Lines(splitter), np.zeros(0, np.int64)
-
-        def told() -> pa.RecordBatch:
-            counts = np.bincount(lines.flat, weights=np.repeat(seen, lines.sizes), minlength=len(lines.numbers) - 1).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(lines.words(), pa.string()), pa.array(counts)], names=["word", "n"])
-
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a in range(0, len(texts), GROUP):
-                parts = list(itertools.chain.from_iterable(lines.cut(texts[a : a + GROUP])))
-                own = np.bincount(lines.numbered(parts), minlength=len(lines.parts))
-                own[: len(seen)] += seen
-                seen = own
-                if len(lines.numbers) > HELD_WORDS:
-                    yield told()
-                    lines, seen = Lines(splitter), np.zeros(0, np.int64)
-        yield told()
-
-    return run
-
-
-def encoding(path: str):
-    """Each distinct word with its ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, symbols = Tokenizer.from_file(path).model, byte_symbols()
-        specials = Splitter(path).specials
-        for batch in batches:
-            ids = []
-            for word in batch.column(0).to_pylist():
-                ids.append([specials[word]] if word in specials else [t.id for t in model.tokenize("".join([symbols[b] for b in word.encode()]))])
-            packed = [np.array(own, dtype="<u4").tobytes() for own in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["word", "n", "ids"])
-
-    return run
-
-
-def piece_table(path: str) -> list[str]:
-    """The vocabulary's pieces in the order of their ids."""
-    spec = json.load(open(path, encoding="utf-8"))
-    pieces = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    return [pieces[i] for i in range(len(pieces))]
-
-
-def pack(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Numbers below 2**21 in one to three bytes of seven bits, the lowest first; the last byte has no high bit. Also the end of each."""
-    size = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14)
-    ends = np.cumsum(size)
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**28 in one to four bytes of seven bits, the lowest first; the last byte has no high bit."""
+    size = 1 + (numbers >= 1 << 7).astype(np.int8) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
+    ends = np.cumsum(size, dtype=np.int64)
     at = ends - size
-    out = np.zeros(int(size.sum()), dtype=np.uint8)
-    for k in range(3):
-        own = size > k
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    out[at] = (numbers & 127) | ((size > 1) << 7)
+    for k in range(1, 4):
+        own = np.flatnonzero(size > k)
         out[at[own] + k] = ((numbers[own] >> (7 * k)) & 127) | ((size[own] > k + 1) << 7)
-    return out.tobytes(), ends
+    return out.tobytes()
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -173,168 +139,169 @@ def unpack(packed: bytes) -> np.ndarray:
     ends = np.flatnonzero(raw < 128)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
     out = (raw[starts] & 127).astype(np.int64)
-    for k in (1, 2):
-        own = ends - starts >= k
+    for k in (1, 2, 3):
+        own = np.flatnonzero(ends - starts >= k)
         out[own] |= (raw[starts[own] + k] & 127).astype(np.int64) << (7 * k)
     return out
 
 
-class HotWords:
-    """The broadcast words; their numbers run from 1 upwards, 0 stands for a word that is not among them."""
-
-    def __init__(self, held: tuple[bytes, bytes, bytes]) -> None:
-        self.words, ids, sizes = held
-        self.ids = np.frombuffer(ids, dtype="<u4")
-        self.sizes = np.concatenate([[0], np.frombuffer(sizes, dtype="<u2").astype(np.int64)])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.pieces: list[str] | None = None
-
-    @functools.cached_property
-    def numbers(self) -> dict[str, int]:
-        own = self.words.decode().split("\n") if self.words else []
-        return dict(zip(own, range(1, len(own) + 1), strict=True))
-
-    def decoded(self, table: list[str]) -> list[str]:
-        """The pieces of each word by the id-to-piece table, joined once for a worker."""
-        if self.pieces is None:
-            flat = [table[i] for i in self.ids.tolist()]
-            self.pieces = [" ".join(flat[a : a + n]) for a, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True)]
-        return self.pieces
-
-
-def hot_words(held: Broadcast, name: int) -> HotWords:
-    """The worker's own HotWords of a broadcast, kept from task to task."""
-    return living(("hot words", name), lambda: HotWords(held.value))
-
-
-def lining(path: str, held: Broadcast, name: int):
-    """(doc_id, key, text) to (doc_id, key, line, rare): the packed numbers of hot words, and the other words in their order."""
+def numbered(splitter: Splitter, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the commonest first; the number of the word at each place, text after text; words of each text."""
+    words, sizes = splitter.words(texts)
+    coded = words.dictionary_encode()
+    places = coded.indices.to_numpy()
+    counts = np.bincount(places, minlength=len(coded.dictionary))
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    names = {mark.encode("utf-8", "surrogatepass"): s.encode() for s, mark in splitter.marks.items()}
+    return [names.get(w, w) for w in listed(coded.dictionary.take(order))], rank[places], sizes
+
+
+def listed(values: pa.Array) -> list:
+    """The values as Python objects; far quicker than to_pylist for strings."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows as one batch for each chunk; column 1 is the text."""
+    held, n = [], 0
+    for batch in batches:
+        lengths = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(lengths, (lengths[a - 1] if a else 0) + size - n)) + 1
+            held.append(batch[a:b])
+            if b <= batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+            else:
+                n += int(lengths[-1] - (lengths[a - 1] if a else 0))
+            a = b
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def cutting(path: str, size: int, buckets: int):
+    """(part, text, doc_id) to one row with the line of each chunk, and a row with words and their numbers for each of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, hot = Splitter(path), hot_words(held, name)
-        lines, number = Lines(splitter), np.zeros(0, np.int64)
-        words: list[str] = []
-        for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for a in range(0, len(texts), GROUP):
-                if len(words) > HELD_WORDS:
-                    lines, number, words = Lines(splitter), np.zeros(0, np.int64), []
-                found, n = lines.of(texts[a : a + GROUP])
-                if len(lines.numbers) - 1 > len(words):
-                    more = lines.words(len(words))
-                    words += more
-                    number = np.concatenate([number, np.array([hot.numbers.get(w, 0) for w in more], dtype=np.int64)])
-                own = number[found]
-                packed, byte_ends = pack(own)
-                gaps = np.flatnonzero(own == 0)
-                behind = np.cumsum(n)
-                line = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], byte_ends])[np.concatenate([[0], behind])].astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(gaps, np.concatenate([[0], behind])), pa.int32()), pa.array([words[k] for k in found[gaps].tolist()], pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + GROUP], batch.column(1)[a : a + GROUP], line, rare], names=["doc_id", "key", "line", "rare"])
+        splitter = living(("splitter", path), lambda: Splitter(path))
+        for k, chunk in enumerate(chunks(batches, size)):
+            ids = chunk.column(2)
+            words, places, sizes = numbered(splitter, listed(chunk.column(1).fill_null("")))
+            bucket = np.array([zlib.crc32(w) % buckets for w in words], dtype=np.int32)
+            order = np.argsort(bucket, kind="stable")
+            ends = [*(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)] if len(order) else []
+            runs = [order[a:b] for a, b in itertools.pairwise([0, *ends])]
+            n = len(runs)
+            name = (chunk.column(0)[0].as_py() << 32) + k
+            columns = {
+                "chunk": pa.array([name] * (n + 1), pa.int64()),
+                "bucket": pa.array([None, *(int(bucket[r[0]]) for r in runs)], pa.int32()),
+                "words": pa.array([None, *(b"\n".join([words[i] for i in r.tolist()]) for r in runs)], pa.binary()),
+                "numbers": pa.array([pack(places), *(pack(np.diff(r, prepend=0)) for r in runs)], pa.binary()),
+                "sizes": pa.array([sizes.astype(np.int32), *[None] * n], pa.list_(pa.int32())),
+                "ids": pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (n + 1), pa.int32()), ids),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def rare_words(path: str, held: Broadcast, name: int):
-    """(key, text) to (key, word) for each distinct word of a text that is not hot."""
+def encoding(path: str):
+    """(chunk, words, numbers) to (chunk, numbers, sizes, ids): each distinct word is encoded when it comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, hot = Splitter(path), hot_words(held, name).numbers
-        known: set[str] = set()
-        rare: dict[str, list[str]] = {}
+        model, symbols = Tokenizer.from_file(path).model, dict(enumerate(byte_symbols()))
+        specials = {s.encode(): i for s, i in Splitter.special_ids(path).items()}
+        known: dict[bytes, int] = {}
+        flat, sizes = array("H"), array("H")
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            out_keys, out_words = [], []
-            for a in range(0, len(texts), GROUP):
-                if len(known) > HELD_WORDS:
-                    known, rare = set(), {}
-                cut = [splitter.parts(t) for t in texts[a : a + GROUP]]
-                new = list(set().union(*cut).difference(known))
-                known.update(new)
-                part = iter(new)
-                own = next(part, None)
-                for w in splitter.words(new):
-                    if w == "\n":
-                        own = next(part, None)
-                    elif w not in hot:
-                        rare.setdefault(own, []).append(w)
-                for key, parts in zip(keys[a : a + GROUP], cut, strict=True):
-                    found = {w for p in filter(rare.__contains__, parts) for w in rare[p]}
-                    out_words += found
-                    out_keys += [key] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_words, pa.string())], names=["key", "word"])
+            if len(known) > HELD_WORDS:
+                known, flat, sizes = {}, array("H"), array("H")
+            cut = [w.split(b"\n") for w in listed(batch.column(1))]
+            for w in set().union(*cut).difference(known):
+                ids = [specials[w]] if w in specials else [t.id for t in model.tokenize(w.decode("latin-1").translate(symbols))]
+                known[w] = len(known)
+                flat.extend(ids)
+                sizes.append(len(ids))
+            size, ids = np.array(sizes, dtype=np.int64), np.array(flat, dtype=np.int64)
+            starts = np.cumsum(size) - size
+            told = []
+            for words in cut:
+                own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                told.append((pack(size[own]), ids[ragged(starts[own], size[own])].astype("<u2").tobytes()))
+            columns = [pa.array(c, pa.binary()) for c in (zip(*told, strict=True) if told else ([], []))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["chunk", "numbers", "sizes", "ids"])
 
     return run
 
 
-def joining(path: str, held: Broadcast, name: int, digests: bool):
-    """(doc_id, line, rare, table) to the result; table has a row for each of the text's rare words. Ids become pieces by the vocabulary's table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, vocabulary = hot_words(held, name), piece_table(path)
-        decoded = hot.decoded(vocabulary)
-        for batch in batches:
-            rows = []
-            for packed, rare, table in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                numbers = unpack(packed)
-                gaps = np.flatnonzero(numbers == 0)
-                ids = hot.ids[ragged(hot.starts[numbers], hot.sizes[numbers])]
-                pieces = [decoded[k] for k in numbers.tolist()]
-                if len(gaps):
-                    known = {r["word"]: np.frombuffer(r["ids"], dtype="<u4") for r in table}
-                    before = (np.cumsum(hot.sizes[numbers]) - hot.sizes[numbers])[gaps]
-                    put = [known[w] for w in rare]
-                    for k, own in zip(gaps.tolist(), put, strict=True):
-                        pieces[k] = " ".join([vocabulary[i] for i in own.tolist()])
-                    ids = np.insert(ids, np.repeat(before, [len(i) for i in put]), np.concatenate(put))
-                text = " ".join(pieces)
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (len(ids), ids.tolist(), text))
-            kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int64()), pa.string())
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-            added = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *added], names=["doc_id", *names])
+def piece_table(path: str) -> pa.Table:
+    """id, piece of the vocabulary."""
+    spec = json.load(open(path, encoding="utf-8"))
+    pieces = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.table({"id": pa.array(list(pieces), pa.int64()), "piece": list(pieces.values())})
+
+
+def decoded_words(ids: np.ndarray, sizes: np.ndarray, vocabulary: pa.Table) -> pa.StringArray:
+    """The pieces of each word, by a join of its ids to the vocabulary."""
+    met = pa.table({"id": ids, "at": np.arange(len(ids))}).join(vocabulary, "id", join_type="inner")
+    order = np.argsort(met.column("at").to_numpy())
+    return joined(met.column("piece").combine_chunks().take(order), sizes)
+
+
+def joined(pieces: pa.Array | pa.ChunkedArray, sizes: np.ndarray) -> pa.StringArray:
+    """Runs of pieces, a space between two."""
+    pieces = pa.concat_arrays(pieces.chunks) if isinstance(pieces, pa.ChunkedArray) else pieces
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pieces), " ")
+
+
+def joining(path: str, digests: bool, names: list[str]):
+    """Lines and encoded words of one chunk to the results of its texts."""
+
+    def run(key, lines: pa.Table, words: pa.Table) -> pa.Table:
+        rows = [(np.cumsum(unpack(n)), unpack(s), np.frombuffer(i, dtype="<u2")) for n, s, i in zip(*(listed(words.column(c)) for c in ("numbers", "sizes", "ids")), strict=True)]
+        none = np.zeros(0, dtype=np.int64)
+        number, size, ids = (np.concatenate([none, *c]) for c in (zip(*rows, strict=True) if rows else [()] * 3))
+        order = np.argsort(number)  # the numbers of a chunk are 0, 1, 2, ...
+        ids = ids[ragged((np.cumsum(size) - size)[order], size[order])]
+        size = size[order]
+        starts = np.cumsum(size) - size
+        places = unpack(lines.column("numbers")[0].as_py())
+        own = size[places]
+        flat = ids[ragged(starts[places], own)]
+        n_words = lines.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum(n_words)]
+        n_tokens = np.diff(ends, prepend=0)
+        texts = joined(decoded_words(ids, size, piece_table(path)).take(pa.array(places)), n_words)
+        if digests:
+            packed = memoryview(flat.astype("<u4").tobytes())
+            told = [pa.array([hashlib.sha256(packed[4 * a : 4 * b]).hexdigest() for a, b in zip((ends - n_tokens).tolist(), ends.tolist(), strict=True)], pa.string()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in listed(texts)], pa.string())]
+        else:
+            told = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat)), texts]
+        return pa.Table.from_arrays([lines.column("doc_ids").combine_chunks().flatten(), pa.array(n_tokens), *told], names=["doc_id", "n_tokens", *names])
 
     return run
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, n, ids: every distinct word of all texts, encoded once."""
-    counted = docs.select("text").mapInArrow(counting(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return spool(counted.mapInArrow(encoding(path), "word string, n long, ids binary"), "words")
-
-
-def encode_decode(docs: DataFrame, vocabulary: str | None = None, hot: int = HOT_WORDS, digests: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, digests: bool = True) -> DataFrame:
     """doc_id, n_tokens and ids_sha256, decoded_sha256 (digests) or ids, decoded, for every row of docs.
 
     docs needs doc_id and text; other columns are ignored, whatever their names. A null text counts as empty: no ids, decoded to "". Special
     strings inside a text become their special tokens. Whole texts of any length are encoded; repeated rows and null ids
-    are kept as they are. Ties in the counts of words change what is broadcast, not the result.
+    are kept as they are. chunk, the bytes of text that share a list of words, changes no result.
     """
-    spark = docs.sparkSession
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    table = word_table(docs, path)
-    short = F.octet_length("word") <= LONG
-    sizes = table.filter(short).groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # a row for each count
-    least, total = None, 0
-    for r in sizes:
-        total += r["words"]
-        if total > hot:
-            break
-        least = r["n"]
-    common = short & (F.col("n") >= F.lit(least)) if least is not None else F.lit(False)
-    top = table.filter(common).select("n", "word", "ids").toArrow()
-    order = pa.compute.sort_indices(top, [("n", "descending"), ("word", "ascending")])
-    top = top.take(order)
-    ids = top.column("ids").to_pylist()
-    held = spark.sparkContext.broadcast(("\n".join(top.column("word").to_pylist()).encode(), b"".join(ids), np.array([len(i) // 4 for i in ids], dtype="<u2").tobytes()))
-    name = held._jbroadcast.id()
+    buckets = BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["doc_id"]
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    lines = keyed.mapInArrow(lining(path, held, name), f"doc_id {kind}, key long, line binary, rare array<string>")
-    # Texts whose keys collide share a set of words, which does no harm.
-    pairs = keyed.select("key", "text").mapInArrow(rare_words(path, held, name), "key long, word string")
-    other = table.filter(~common).select("word", "ids")
-    tables = pairs.join(other, "word").groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("table"))
-    whole = lines.join(tables, "key", "left").select("doc_id", "line", "rare", "table")
-    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<long>, decoded string"
-    return whole.mapInArrow(joining(path, held, name, digests), f"doc_id {kind}, {made}")
+    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "text", "doc_id")
+    cut = spool(rows.mapInArrow(cutting(path, chunk, buckets), f"chunk long, bucket int, words binary, numbers binary, sizes array<int>, ids array<{kind}>"), "cut-texts")
+    lines = cut.filter("bucket IS NULL").select("chunk", "numbers", "sizes", F.col("ids").alias("doc_ids"))
+    dealt = cut.filter("bucket IS NOT NULL").select("chunk", "bucket", "words", "numbers").repartition("bucket")
+    words = dealt.select("chunk", "words", "numbers").mapInArrow(encoding(path), "chunk long, numbers binary, sizes binary, ids binary")
+    made = {"ids_sha256": "string", "decoded_sha256": "string"} if digests else {"ids": "array<long>", "decoded": "string"}
+    told = ", ".join(f"{n} {k}" for n, k in made.items())
+    return lines.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(joining(path, digests, list(made)), f"doc_id {kind}, n_tokens long, {told}")

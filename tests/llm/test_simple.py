@@ -42,22 +42,44 @@ def test_token_counts(docs):
     assert token_count.count_tokens(docs.limit(0), 512).count() == 0
 
 
-@pytest.mark.parametrize("hot", [10**6, 40, 0])
-def test_bpe_round_trip(docs, hot):
+@pytest.mark.parametrize("chunk", [bpe.CHUNK, 100, 1])
+def test_bpe_round_trip(docs, chunk):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    out = bpe.encode_decode(docs, hot=hot).collect()
+    out = bpe.encode_decode(docs, chunk=chunk).collect()
     assert len(out) == docs.count()
     for r in out:
         ids = lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         want = len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
-    assert bpe.encode_decode(docs.limit(0), hot=hot).count() == 0
+    assert bpe.encode_decode(docs.limit(0), chunk=chunk).count() == 0
+
+
+def test_words_of_odd_texts():
+    """Cut as the library does: control characters, endings behind apostrophes, letters that grow or shrink in lower case, marks."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, splitter = Tokenizer.from_file(path), bpe.Splitter(path)
+    rng = random.Random(8)
+    pieces = ["'", "'s", "'RE", "'ll", "'l", "''", "a", "B", "é", "e\u0301", "İ", "Σ", "ß", "\x1c", "\x85", "\u200b", "\x00", "\xa0", "٣", "½", "漢", "-", "<|endoftext|>", "<|startoftext|>", "<|", " ", "\n", "\u0300", "𝐀", "'t"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    words, places, sizes = bpe.numbered(splitter, texts)
+    cut = np.split(places, np.cumsum(sizes)[:-1])
+    for text, own in zip(texts, cut, strict=True):
+        ids = [i for k in own for i in ([splitter.specials[words[k].decode()]] if words[k].decode() in splitter.specials else lib.encode(words[k].decode(), add_special_tokens=False).ids)]
+        assert ids == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_bpe_gives_ids_and_texts(docs):
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in bpe.encode_decode(docs, digests=False).collect():
+        ids = lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids"], r["decoded"]) == (len(ids), ids, lib.decode(ids, skip_special_tokens=False))
 
 
 def test_packing():
-    numbers = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1])
-    assert bpe.unpack(bpe.pack(numbers)[0]).tolist() == numbers.tolist() and bpe.unpack(b"").tolist() == []
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1])
+    assert bpe.unpack(bpe.pack(numbers)).tolist() == numbers.tolist() and bpe.unpack(b"").tolist() == []
 
 
 def test_sharding(docs):
