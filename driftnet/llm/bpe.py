@@ -1,10 +1,14 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are cut once. Each run of texts (a chunk) becomes one line of word numbers for all its texts and its list of distinct words.
+1. Texts are cut once. Each run of texts (a chunk) becomes one line of word numbers for all its texts and its list of distinct words. Both are
+   dealt by chunk, and both steps that follow read this one exchange.
 2. Distinct words of all chunks are dealt by their hash; where they meet, each is encoded once, and its ids go back
    to the chunks that asked, under the number that the word has there.
 3. Lines and ids meet by chunk: ids are put in by position, and pieces by a join of the ids to the vocabulary's table of ids and pieces.
 
+A chunk is named by its content. Should a lost task be run again over other rows than before (which only docs without a fixed order of rows
+allow), lines and ids do not meet and the job fails instead of giving wrong ids.
+
 No word table is held in the driver or sent to all executors, and every key is a chunk or a hash bucket of words, so that
 neither common words nor copies of a text make a large group: a word is sent once for a chunk, however often it stands there.
 """
@@ -25,16 +29,17 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftnet.llm.common import living, spool
+from driftnet.llm.common import living
 from driftnet.llm.token_count import byte_symbols
 
 VOCABULARY = "word_bpe_49k.json"
 #: UTF-8 bytes of text after which a chunk is closed; a longer text is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Buckets by which a chunk's words are dealt, for each shuffle partition; distinct words that a task remembers.
 BUCKETS_A_PARTITION, HELD_WORDS = 4, 400_000
 
@@ -85,6 +90,7 @@ class Splitter:
         # lower case letter by letter, without a final form
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        del text
         kind = self.kind[points]
         begins = np.empty(len(kind), dtype=bool)
         begins[0] = True
@@ -93,14 +99,12 @@ class Splitter:
         self.part_endings(points, begins)
         solid = kind != SPACE
         begins &= solid
-        ends = np.flatnonzero(points == self.END)
-        counts = np.diff(np.cumsum(begins, dtype=np.int64)[ends], prepend=0)
-        kept = points[solid]
-        size = (1 + (kept > 0x7F)).astype(np.int8) + (kept > 0x7FF) + (kept > 0xFFFF)
-        behind = np.cumsum(size, dtype=np.int64)
-        first = np.flatnonzero(begins[solid])
-        offsets = np.concatenate([(behind - size)[first], behind[-1:] if len(behind) else [0]]).astype(np.int64)
-        raw = kept.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        counts = np.diff(np.searchsorted(np.flatnonzero(begins), np.flatnonzero(points == self.END)), prepend=0)
+        points, begins = points[solid], begins[solid]
+        behind = np.cumsum(np.int8(1) + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int32 if len(points) < 1 << 29 else np.int64)
+        first = np.flatnonzero(begins)
+        offsets = np.concatenate([[0], behind[first[1:] - 1], behind[-1:]]).astype(np.int64) if len(first) else np.zeros(1, dtype=np.int64)
+        raw = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), counts
 
     def part_endings(self, points: np.ndarray, begins: np.ndarray) -> None:
@@ -164,10 +168,10 @@ def listed(values: pa.Array) -> list:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The same rows as one batch for each chunk; column 1 is the text."""
+    """The same rows as one batch for each chunk; column 0 is the text."""
     held, n = [], 0
     for batch in batches:
-        lengths = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lengths = np.cumsum(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < batch.num_rows:
             b = int(np.searchsorted(lengths, (lengths[a - 1] if a else 0) + size - n)) + 1
@@ -182,25 +186,30 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+CUT = "chunk long, bucket int, words binary, numbers binary, sizes array<int>, ids array<{}>"
+
+
 def cutting(path: str, size: int, buckets: int):
-    """(part, text, doc_id) to one row with the line of each chunk, and a row with words and their numbers for each of its buckets."""
+    """(text, doc_id) to one row with the line of each chunk, and a row with words and their numbers for each of its buckets, all packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = living(("splitter", path), lambda: Splitter(path))
+        splitter, squeeze = living(("splitter", path), lambda: Splitter(path)), zstandard.ZstdCompressor(level=1).compress
         for k, chunk in enumerate(chunks(batches, size)):
-            ids = chunk.column(2)
-            words, places, sizes = numbered(splitter, listed(chunk.column(1).fill_null("")))
+            ids = chunk.column(1)
+            words, places, sizes = numbered(splitter, listed(chunk.column(0).fill_null("")))
             bucket = np.array([zlib.crc32(w) % buckets for w in words], dtype=np.int32)
             order = np.argsort(bucket, kind="stable")
             ends = [*(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)] if len(order) else []
             runs = [order[a:b] for a, b in itertools.pairwise([0, *ends])]
-            n = len(runs)
-            name = (chunk.column(0)[0].as_py() << 32) + k
+            n, line = len(runs), pack(places)
+            named = hashlib.blake2b(f"{TaskContext.get().partitionId()} {k} {sizes.tolist()}".encode(), digest_size=8)
+            for part in (line, *words):
+                named.update(part)
             columns = {
-                "chunk": pa.array([name] * (n + 1), pa.int64()),
+                "chunk": pa.array([int.from_bytes(named.digest(), "little", signed=True)] * (n + 1), pa.int64()),
                 "bucket": pa.array([None, *(int(bucket[r[0]]) for r in runs)], pa.int32()),
-                "words": pa.array([None, *(b"\n".join([words[i] for i in r.tolist()]) for r in runs)], pa.binary()),
-                "numbers": pa.array([pack(places), *(pack(np.diff(r, prepend=0)) for r in runs)], pa.binary()),
+                "words": pa.array([None, *(squeeze(b"\n".join([words[i] for i in r.tolist()])) for r in runs)], pa.binary()),
+                "numbers": pa.array([squeeze(line), *(pack(np.diff(r, prepend=0)) for r in runs)], pa.binary()),
                 "sizes": pa.array([sizes.astype(np.int32), *[None] * n], pa.list_(pa.int32())),
                 "ids": pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (n + 1), pa.int32()), ids),
             }
@@ -209,31 +218,38 @@ def cutting(path: str, size: int, buckets: int):
     return run
 
 
+def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with words. Done here, as a filter would be pushed below the exchange, which then would not be shared."""
+    for batch in batches:
+        yield batch.select(["chunk", "bucket", "words", "numbers"]).filter(pc.is_valid(batch.column("bucket")))
+
+
 def encoding(path: str):
-    """(chunk, words, numbers) to (chunk, numbers, sizes, ids): each distinct word is encoded when it comes first."""
+    """(chunk, bucket, words, numbers) to (chunk, numbers, sizes, ids): each distinct word is encoded when it comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, symbols = Tokenizer.from_file(path).model, dict(enumerate(byte_symbols()))
         specials = {s.encode(): i for s, i in Splitter.special_ids(path).items()}
+        squeeze, unsqueeze = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         known: dict[bytes, int] = {}
         flat, sizes = array("H"), array("H")
         for batch in batches:
             if len(known) > HELD_WORDS:
                 known, flat, sizes = {}, array("H"), array("H")
-            cut = [w.split(b"\n") for w in listed(batch.column(1))]
+            cut = [unsqueeze(w).split(b"\n") for w in listed(batch.column(2))]
             for w in set().union(*cut).difference(known):
                 ids = [specials[w]] if w in specials else [t.id for t in model.tokenize(w.decode("latin-1").translate(symbols))]
                 known[w] = len(known)
                 flat.extend(ids)
                 sizes.append(len(ids))
-            size, ids = np.array(sizes, dtype=np.int64), np.array(flat, dtype=np.int64)
+            size, ids = np.array(sizes, dtype=np.int64), np.array(flat, dtype="<u2")
             starts = np.cumsum(size) - size
             told = []
             for words in cut:
                 own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                told.append((pack(size[own]), ids[ragged(starts[own], size[own])].astype("<u2").tobytes()))
+                told.append((pack(size[own]), squeeze(ids[ragged(starts[own], size[own])].tobytes())))
             columns = [pa.array(c, pa.binary()) for c in (zip(*told, strict=True) if told else ([], []))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["chunk", "numbers", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *columns], names=["chunk", "numbers", "sizes", "ids"])
 
     return run
 
@@ -262,14 +278,20 @@ def joining(path: str, digests: bool, names: list[str]):
     """Lines and encoded words of one chunk to the results of its texts."""
 
     def run(key, lines: pa.Table, words: pa.Table) -> pa.Table:
-        rows = [(np.cumsum(unpack(n)), unpack(s), np.frombuffer(i, dtype="<u2")) for n, s, i in zip(*(listed(words.column(c)) for c in ("numbers", "sizes", "ids")), strict=True)]
+        unsqueeze = zstandard.ZstdDecompressor().decompress
+        lines = lines.filter(pc.is_null(lines.column("bucket")))
+        if lines.num_rows != 1:
+            raise ValueError("a chunk has ids but no line: docs gave other rows when a lost task was run again; write docs to a table first")
+        rows = [(np.cumsum(unpack(n)), unpack(s), np.frombuffer(unsqueeze(i), dtype="<u2")) for n, s, i in zip(*(listed(words.column(c)) for c in ("numbers", "sizes", "ids")), strict=True)]
         none = np.zeros(0, dtype=np.int64)
         number, size, ids = (np.concatenate([none, *c]) for c in (zip(*rows, strict=True) if rows else [()] * 3))
         order = np.argsort(number)  # the numbers of a chunk are 0, 1, 2, ...
         ids = ids[ragged((np.cumsum(size) - size)[order], size[order])]
         size = size[order]
         starts = np.cumsum(size) - size
-        places = unpack(lines.column("numbers")[0].as_py())
+        places = unpack(unsqueeze(lines.column("numbers")[0].as_py()))
+        if len(places) and places.max() >= len(size):
+            raise ValueError("a chunk has a line but no ids: docs gave other rows when a lost task was run again; write docs to a table first")
         own = size[places]
         flat = ids[ragged(starts[places], own)]
         n_words = lines.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
@@ -282,7 +304,7 @@ def joining(path: str, digests: bool, names: list[str]):
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in listed(texts)], pa.string())]
         else:
             told = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat)), texts]
-        return pa.Table.from_arrays([lines.column("doc_ids").combine_chunks().flatten(), pa.array(n_tokens), *told], names=["doc_id", "n_tokens", *names])
+        return pa.Table.from_arrays([lines.column("ids").combine_chunks().flatten(), pa.array(n_tokens), *told], names=["doc_id", "n_tokens", *names])
 
     return run
 
@@ -297,11 +319,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, chunk: int = C
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     buckets = BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "text", "doc_id")
-    cut = spool(rows.mapInArrow(cutting(path, chunk, buckets), f"chunk long, bucket int, words binary, numbers binary, sizes array<int>, ids array<{kind}>"), "cut-texts")
-    lines = cut.filter("bucket IS NULL").select("chunk", "numbers", "sizes", F.col("ids").alias("doc_ids"))
-    dealt = cut.filter("bucket IS NOT NULL").select("chunk", "bucket", "words", "numbers").repartition("bucket")
-    words = dealt.select("chunk", "words", "numbers").mapInArrow(encoding(path), "chunk long, numbers binary, sizes binary, ids binary")
+    cut = docs.select("text", "doc_id").mapInArrow(cutting(path, chunk, buckets), CUT.format(kind)).repartition("chunk")
+    dealt = cut.mapInArrow(word_lists, "chunk long, bucket int, words binary, numbers binary").repartition("bucket")
+    words = dealt.mapInArrow(encoding(path), "chunk long, numbers binary, sizes binary, ids binary")
     made = {"ids_sha256": "string", "decoded_sha256": "string"} if digests else {"ids": "array<long>", "decoded": "string"}
     told = ", ".join(f"{n} {k}" for n, k in made.items())
-    return lines.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(joining(path, digests, list(made)), f"doc_id {kind}, n_tokens long, {told}")
+    return cut.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(joining(path, digests, list(made)), f"doc_id {kind}, n_tokens long, {told}")
