@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from driftnet.operators import catalog as C
 from driftnet.operators import mutate as M
 from driftnet.plans.registry import query
+from driftnet.session import shared_dir
 from driftnet.sources.derived import view
 
 STATE = "info_hash, name, discovered_at, seeders"
@@ -138,8 +137,7 @@ def migrate_copy(spark, d):
 @query("SELECT count(*) AS copied, sum(CAST(size AS BIGINT))::BIGINT AS bytes FROM catalog", "catalog")
 def backup_roundtrip(spark, d):
     rows = view(spark, d, "catalog").select("info_hash", "size", "discovered_at")
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='driftnet-')}"
-    return spark.read.parquet(M.publish(rows, root)).agg(F.count("*").alias("copied"), F.sum("size").alias("bytes"))
+    return spark.read.parquet(M.publish(rows, shared_dir(spark))).agg(F.count("*").alias("copied"), F.sum("size").alias("bytes"))
 
 
 @query("SELECT name, last_run, CASE WHEN every > 0 THEN last_run + every ELSE 0 END AS next_run, failed FROM (SELECT event_type AS name, max(seen_at) AS last_run, CASE event_type WHEN 'view' THEN 60 ELSE 0 END AS every, arg_max(user_even, (seen_at, event_id)) AS failed FROM (SELECT *, node_id % 2 = 0 AS user_even FROM discoveries) GROUP BY event_type)", "discoveries")

@@ -5,7 +5,6 @@ Each stage is an ordinary DataFrame function that also runs on a batch; the stre
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +17,7 @@ from driftnet.functions import binary as B
 from driftnet.functions import classify as K
 from driftnet.functions import names as N
 from driftnet.operators.catalog import exclude, first_wins
+from driftnet.session import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 SEEN_FOR = "1 day"
@@ -32,8 +32,7 @@ def stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFr
 
 
 def work_dir(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='driftnet-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
