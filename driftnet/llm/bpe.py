@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from driftnet.llm.common import living
+from driftnet.llm.common import listed, living, ragged
 from driftnet.llm.token_count import byte_symbols
 
 VOCABULARY = "word_bpe_49k.json"
@@ -120,11 +120,6 @@ class Splitter:
             begins[found + 1 + len(ending)] = True  # the last point parts texts, so there is one
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places starts[k], starts[k] + 1, ... of each run k, run after run."""
-    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-
-
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers below 2**28 in one to four bytes of seven bits, the lowest first; the last byte has no high bit."""
     size = 1 + (numbers >= 1 << 7).astype(np.int8) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
@@ -162,11 +157,6 @@ def numbered(splitter: Splitter, texts: list[str]) -> tuple[list[str], np.ndarra
     return [names.get(w, w) for w in listed(coded.dictionary.take(order))], rank[places], sizes
 
 
-def listed(values: pa.Array) -> list:
-    """The values as Python objects; far quicker than to_pylist for strings."""
-    return values.to_numpy(zero_copy_only=False).tolist()
-
-
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The same rows as one batch for each chunk; column 0 is the text."""
     held, n = [], 0

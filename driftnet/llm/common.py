@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftnet.session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='driftnet-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
@@ -37,10 +31,32 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that df does not have, near to those wanted."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(col) -> object:
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of each run k, run after run."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def listed(values: pa.Array | pa.ChunkedArray) -> list:
+    """The values as Python objects; far quicker than to_pylist for strings and binaries."""
+    return values.to_numpy(zero_copy_only=False).tolist() if isinstance(values, pa.Array) else values.to_numpy().tolist()
+
+
 def words_of(text: str) -> list[bytes]:
     """Runs of bytes other than space and 0x09-0x0D, A-Z lower-cased; all else is left as it is."""
     return text.encode("utf-8", "surrogatepass").lower().split()
