@@ -144,13 +144,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     labels: doc_id, toxic (0 or 1, or a grade from 0 up). Grades above 1 are taken as they are. Where toxic is only 0
     or 1, toxic documents are graded 1 or 2: 2 if they hold at least the median number of marker words of toxic
-    documents, markers being the words that are commoner in toxic documents. Null ids or labels are left out, the
-    highest of repeated labels holds. Without documents of two grades the model gives 0 to all.
+    documents, markers being the words that are commoner in toxic documents. These two grades are made from words that are features as well, so on such labels
+    the step from 1 to 2 only orders documents by how many markers they hold; given grades are needed to learn more. Null ids or labels are
+    left out, the highest of repeated labels holds; repeated rows count once. Without documents of two grades the model gives 0 to all. The model does not
+    depend on the order or partitioning of docs.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    sample = spool(found.select(F.monotonically_increasing_id().alias("row"), "toxic", "text"), "toxic-sample")
+    # named and ordered by content, so that the fit does not depend on how the rows lie
+    sample = spool(found.select(F.xxhash64("doc_id", "text").alias("row"), "toxic", "text").dropDuplicates(["row"]), "toxic-sample")
     kept = first_of_copies(sample.select("row", "text").mapInArrow(signing, "row long, sig array<int>").collect())
     totals = Counter(r["toxic"] for r in sample.select("row", "toxic").collect() if r["row"] in kept)
     good, bad = totals.get(0, 0), sum(n for g, n in totals.items() if g > 0)
