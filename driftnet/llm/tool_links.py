@@ -5,6 +5,8 @@ arguments checked against schemas, and are written as canonical JSON (sorted key
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +25,32 @@ RESULTS = "conv_id long, turn long, call_id string, content string"
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def escaped(text: str) -> str:
+    """Lone surrogates, which no UTF-8 text can hold, as escapes of six characters."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def refuse(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
+def finite(number: str) -> float:
+    value = float(number)
+    return value if math.isfinite(value) else refuse(number)
+
+
+def parsed(arguments: str):
+    """A JSON value; ValueError for all that is none, such as NaN, numbers beyond the range and nesting beyond what Python can hold."""
+    try:
+        value = json.loads(arguments, parse_constant=refuse, parse_float=finite)
+        canonical(value)  # what can be read may still be too deep to write
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
 
 
 def of_type(value, kind: str) -> bool:
@@ -70,7 +96,7 @@ def checking(schemas: dict[str, dict]):
     def judge(tool, arguments, lost) -> tuple[object, list[str]]:
         errors = [f"needs {i}: unknown" for i in lost or []]
         try:
-            value = json.loads(arguments) if arguments is not None else None
+            value = parsed(arguments) if arguments is not None else None
         except ValueError:
             return arguments, ["$: not JSON", *errors]
         if tool not in schemas:
@@ -81,13 +107,15 @@ def checking(schemas: dict[str, dict]):
         for batch in batches:
             valid, errors, texts = [], [], []
             for r in batch.to_pylist():
-                if r["status"] == "orphan":
-                    value, found = None, []
-                else:
-                    value, found = judge(r["tool"], r["arguments"], r["lost"])
+                rest = {"id": r["call_id"], "name": r["tool"], "needs": r["needs"] or [], "result": r["content"]}
+                try:
+                    value, found = (None, []) if r["status"] == "orphan" else judge(r["tool"], r["arguments"], r["lost"])
+                    text = canonical({"arguments": value} | rest)
+                except RecursionError:  # read and written by itself, but too deep within a schema or the whole object
+                    found, text = ["$: not JSON"], canonical({"arguments": r["arguments"]} | rest)
                 valid.append(not found and r["status"] == "linked")
-                errors.append("; ".join(found))
-                texts.append(canonical({"arguments": value, "id": r["call_id"], "name": r["tool"], "needs": r["needs"] or [], "result": r["content"]}))
+                errors.append(escaped("; ".join(found)))
+                texts.append(text)
             keep = ("conv_id", "call_id", "tool", "turn", "place", "n_results", "status")
             added = [pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in keep), *added], names=[*keep, "valid", "errors", "json"])
@@ -140,7 +168,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] = SCHEMA
     calls has the columns CALLS, results RESULTS; other columns are ignored. Of calls with the same identifier in a conversation the earliest
     holds, of results the earliest. status: linked, early (its result stands before it), open (no result), cyclic, or orphan
     (a result without a call; turn is the result's, place is null). valid: linked, of a known tool, with arguments that
-    keep the schema and references to calls that exist. Rows without conv_id or call_id identify nothing and are left out; null
+    keep the schema and references to calls that exist. Arguments that are no JSON (NaN, infinite or endless numbers and too deep nesting included) are
+    kept as a string; of repeated keys in an object the last holds, and lone surrogates are written as escapes. Rows without conv_id or call_id identify nothing and are left out; null
     turns count as -1; a null in needs is ignored; empty inputs give an empty result.
     """
     named = lambda df: df.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").withColumn("turn", F.coalesce("turn", F.lit(-1).cast("long")))
