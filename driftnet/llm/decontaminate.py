@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units and names become typed placeholders, so that a re-parameterised question keeps its template. Windows of
+Numbers, units and names (runs of capitalised words) become typed placeholders, so that a re-parameterised question keeps its template. Windows of
 template tokens are joined by hash to those of the benchmark; hits are put together by benchmark item and relative offset, and an
 alignment counts only if its slots are consistent: each value of the item stands for one value of the document.
 
@@ -13,30 +13,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import spool
+from driftnet.llm.common import free_names, spool
 
 #: Template tokens of a window, literal tokens that it must have, and windows that make a leak (all of a shorter item).
 WINDOW, LITERALS, HITS = 8, 4, 6
 #: Items with fewer tokens are no questions; they have no template and match by their plain tokens only.
 LEAST_TOKENS = 5
-#: Benchmark windows that are broadcast at most; a larger benchmark is joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmark windows and bytes of its texts that are broadcast at most; a larger benchmark is joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|mi|miles|mile|ft|feet|inch|inches|kg|g|mg|lb|lbs|oz|tons|l|ml|litres|liters|gallons|s|sec|seconds|min|minutes|h|hours|hour|days|day|weeks|months|years|year|mph|kmh|hz|khz|mhz|ghz|w|kw|v|j|kj|cal|usd|eur|gbp|dollars|euros|pounds|cents|percent|degrees"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+#: Between the words of a name.
+JOIN = "\u0004"
 #: Characters of scripts that part no words by spaces; each is a token.
 UNSPACED = r"[^\x{0}-\x{DFF}](?<=[฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\x{20000}-\x{3FFFF}])"
 
 
 def plain_tokens(text: Column) -> Column:
-    """Lower-case tokens parted by one space; a capitalised word within a sentence has the name mark before it.
+    """Lower-case tokens parted by one space. A capitalised word has the name mark before it, wherever it stands, so that marks do not depend on what
+    is around a passage; capitalised words in a row, with nothing but a space between, make one token.
 
     Every pattern begins with the character that it is about and looks behind afterwards, so that a text is passed at the cost of one test a character.
     """
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r" (?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", f" {NAME}")
-    loose = F.regexp_replace(F.lower(marked), r"[.,](?:(?!\p{N})|(?<!\p{N}[.,]))", " ")  # points and commas that stand in no number
+    clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + JOIN, "    ")
+    marked = F.regexp_replace(clean, r"\p{Lu}(?=\p{Ll})(?<![\p{L}\p{M}\p{N}]\p{Lu})", f"{NAME}$0")
+    named = F.regexp_replace(marked, rf"({NAME}[\p{{L}}\p{{M}}]+) (?={NAME})", f"$1{JOIN}")
+    loose = F.regexp_replace(F.lower(named), r"[.,](?:(?!\p{N})|(?<!\p{N}[.,]))", " ")  # points and commas that stand in no number
     parted = F.regexp_replace(loose, rf"{UNSPACED}", " $0 ")
-    return F.trim(F.regexp_replace(parted, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}]+", " "))
+    return F.trim(F.regexp_replace(parted, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}{JOIN}]+", " "))
 
 
 def template(plain: Column) -> Column:
@@ -46,10 +51,21 @@ def template(plain: Column) -> Column:
     return F.regexp_replace(units, rf"{NAME}[^ ]*", NAME)
 
 
-def unmarked(plain: Column) -> Column:
+def spelled_template(plain: Column) -> Column:
+    """The template with a placeholder for each word of a name."""
+    return template(F.regexp_replace(plain, JOIN, " "))
+
+
+def values(plain: Column) -> Column:
+    """The same tokens without marks, for the slots of a template."""
     return F.translate(plain, NAME, "")
 
 
+def words(plain: Column) -> Column:
+    """The tokens of names one by one, without marks."""
+    return F.translate(F.translate(plain, NAME, ""), JOIN, " ")
+
+
 def tokens(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " ", -1))
 
@@ -85,7 +101,7 @@ def best_run(spots: Column, width: Column) -> Column:
 
 def both_kinds(text: Column) -> list[Column]:
     plain = plain_tokens(text)
-    return [tokens(template(plain)).alias("t"), tokens(unmarked(plain)).alias("v")]
+    return [tokens(template(plain)).alias("t"), tokens(words(plain)).alias("v")]
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
@@ -120,7 +136,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select("item_id", "text").dropDuplicates()
     bench = spool(benchmark_windows(items), "benchmark-windows")
     widths = [r["width"] for r in bench.select("width").distinct().collect()]  # WINDOW - LEAST_TOKENS + 1 values at most
-    small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    small = size <= BROADCAST_BYTES and bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     near = F.broadcast(bench) if small else bench
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     split = keyed.select("doc_id", "text_key", *both_kinds(F.col("text")))
@@ -136,13 +153,19 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     aligned = aligned.filter(F.size("spots") >= F.col("need"))
     whole = F.struct(F.size("spots").cast("long").alias("n"), F.array_min("spots").alias("first"), F.array_max("spots").alias("last"))
     told = aligned.withColumn("run", F.when(F.col("plain"), best_run(F.col("spots"), F.col("width"))).otherwise(whole)).filter("run.n >= need")
-    enough = told.select("doc_id", "text_key", "item_id", "offset", F.col("run.n").alias("n_windows"), F.col("run.first").alias("first"), (F.col("run.last") + F.col("width")).alias("behind"))
-    value = tokens(unmarked(plain_tokens(F.col("text"))))
-    item_side = items.select(F.col("item_id").alias("own_item"), value.alias("item_values"), tokens(template(plain_tokens(F.col("text")))).alias("item_template"))
+    enough = told.select("doc_id", "text_key", "item_id", "plain", "offset", F.col("run.n").alias("n_windows"), F.col("run.first").alias("first"), (F.col("run.last") + F.col("width")).alias("behind"))
+    def by_kind(text: Column) -> Column:
+        """The tokens that the places of an alignment count."""
+        plain = plain_tokens(text)
+        return tokens(F.when(F.col("plain"), words(plain)).otherwise(values(plain)))
+
+    item_side = items.select(F.col("item_id").alias("own_item"), F.col("text").alias("item_text"))
     doc_side = keyed.withColumnRenamed("doc_id", "own_doc").withColumnRenamed("text_key", "own_key")
     both = doc_side.join(enough, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")))
-    both = both.select("doc_id", "text_key", "item_id", "offset", "n_windows", "first", "behind", value.alias("doc_values"))
+    both = both.select("doc_id", "text_key", "item_id", "plain", "offset", "n_windows", "first", "behind", by_kind(F.col("text")).alias("doc_values"))
     both = both.join(F.broadcast(item_side) if small else item_side, F.col("own_item").eqNullSafe(F.col("item_id")))
+    own = plain_tokens(F.col("item_text"))
+    both = both.withColumns({"item_values": by_kind(F.col("item_text")), "item_template": tokens(F.when(F.col("plain"), spelled_template(own)).otherwise(template(own)))})
     length = (F.col("behind") - F.col("first")).cast("int")
     start = F.col("first").cast("int")
     zipped = F.arrays_zip(F.slice("item_template", start, length).alias("kind"), F.slice("item_values", start, length).alias("item"), F.slice("doc_values", (F.col("first") + F.col("offset")).cast("int"), length).alias("doc"))
@@ -155,7 +178,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return consistent.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "best.*")
 
 
+def verbatim_only(items: DataFrame) -> DataFrame:
+    """item_id of the items that have no template window, as too few of their tokens are literal: they are found by their values only."""
+    told = benchmark_windows(items.select("item_id", "text").dropDuplicates()).filter("NOT plain").select(F.col("item_id").alias("own_item")).distinct()
+    return items.select("item_id").distinct().join(told, F.col("item_id").eqNullSafe(F.col("own_item")), "left_anti")
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    gone = leaks(docs, items).select(F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_key")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_doc")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
+    doc, key = free_names(docs, "gone_doc", "gone_key")
+    gone = leaks(docs, items).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
