@@ -6,8 +6,8 @@
 3. The rest post all coordinates. By the prefix principle two classes that agree in `agree` coordinates share one of their
    COORDINATES - agree + 1 rarest coordinates, so only those postings are read. The least class of a
    posting list leads it; classes meet under their leaders, so a list never spells out its pairs.
-4. Within the group of a leader, coordinate collisions are counted, pairs above the match threshold are confirmed on the full
-   sets, and only links that join two yet unjoined classes are given out (a spanning forest, which keeps the components).
+4. Within the group of a leader, members post their coordinates again; postings of each member's rarest ones are merged, those that are joined
+   already are skipped, collisions are counted, pairs above the match threshold are confirmed on the full sets, and only links that join two yet unjoined classes are given out (a spanning forest, which keeps the components).
    Groups beyond BLOCK shingles are cut into blocks, and all pairs of blocks are worked in parallel.
 5. Components of the links give each document the least doc_id it reaches.
 
@@ -21,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import living, spool, words_of
+from driftnet.llm.common import free_names, living, ragged, spool, words_of
 
 COORDINATES, AGREE, HEAD = 128, 77, 64
 #: Shingles of one block of a leader's group; a task holds two blocks.
 BLOCK = 3_000_000
+#: Classes with more than one in LARGE of all rows are broadcast; there are fewer than LARGE of them.
+LARGE = 10_000
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 400_000
 SEED = 7
@@ -109,21 +111,36 @@ def full_sets(width: int):
 
 
 def linking(marks: list[bytes], signs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, agree: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links of a spanning forest over the confirmed pairs; with two sides only pairs across them count."""
+    """Links of a spanning forest over the confirmed pairs; with two sides only pairs across them count.
+
+    Members post their coordinates. Each reads the postings of its COORDINATES - agree + 1 rarest coordinates behind its own place, which every partner
+    that agrees in `agree` is in; members that are joined to it already, too large or of its own side are skipped, and only for the others are collisions counted.
+    """
     order = sorted(range(len(marks)), key=lambda k: (len(sets[k]), marks[k]))
     signs = np.ascontiguousarray(signs[order])
     sizes = np.array([len(sets[k]) for k in order], dtype=np.int64)
     sides, two = side[order], side.min() != side.max()
+    width = signs.shape[1]
+    tokens = (np.arange(width, dtype=np.int64) << 32) | signs.view(np.uint32)
+    _, at, df = np.unique(tokens.ravel(), return_inverse=True, return_counts=True)
+    postings = np.argsort(at, kind="stable") // width  # by token, members in their order
+    starts, at = np.cumsum(df) - df, at.reshape(tokens.shape)
+    read = np.zeros(len(df), dtype=np.int64)  # of each list, how far members have come
     tree = np.arange(len(marks))
     out = []
     for x in range(len(order) - 1):
-        # sizes rise, so the partners that are not too large form a run behind x
-        near = np.arange(x + 1, np.searchsorted(sizes, sizes[x] * 100 // percent, side="right"))
-        near = near[tree[near] != tree[x]]
+        own = at[x]
+        read[own] += 1
+        last = int(np.searchsorted(sizes, sizes[x] * 100 // percent, side="right"))
+        if (tree[x + 1 : last] == tree[x]).all():
+            continue
+        rare = own[np.argsort(df[own], kind="stable")[: width - agree + 1]]
+        near = np.unique(postings[ragged(starts[rare] + read[rare], df[rare] - read[rare])])
+        near = near[(near < last) & (tree[near] != tree[x])]
         if two:
             near = near[sides[near] != sides[x]]
-        near = near[(signs[near] == signs[x]).sum(axis=1) >= agree]
-        for y in near.tolist():
+        agreed = (signs[near] == signs[x]).sum(axis=1)
+        for y in near[np.argsort(-agreed, kind="stable")][: int((agreed >= agree).sum())].tolist():
             if tree[x] == tree[y]:
                 continue
             a, b = sets[order[x]], sets[order[y]]
@@ -210,13 +227,11 @@ def class_links(docs: DataFrame, signed: DataFrame, width: int, percent: int, ag
 
 
 def signed_and_rooted(docs: DataFrame, width: int, percent: int, agree: int, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles, mark, sig and, if keyed, text_key of every row; mark, root, least_id of every class."""
+    """doc_id, n_shingles, mark, sig and, if keyed, text_key of every row; mark, root of every class that has links."""
     key = [F.xxhash64("text").alias("text_key")] if keyed else []
     signed = spool(docs.select("doc_id", "text", *key).mapInArrow(signing(width), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, mark binary, sig array<int>" + (", text_key long" if keyed else "")), "signed")
     links = class_links(docs, signed, width, percent, agree)
-    roots = spool(components(links), "roots")
-    least = signed.filter("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("least_id"))
-    return signed, least.join(roots, F.col("mark") == F.col("node"), "left").select("mark", F.coalesce("root", "mark").alias("root"), "least_id")
+    return signed, spool(components(links), "roots").select(F.col("node").alias("mark"), "root")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, agree: int = AGREE) -> DataFrame:
@@ -228,37 +243,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, agree: i
     and so a component; of repeated ids all rows count as the same document. A null id never is a component_id unless its
     component has no other; such rows are kept.
     """
-    signed, whole = signed_and_rooted(docs, width, percent, agree)
-    per_root = whole.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = spool(whole.join(per_root, "root").select("mark", "component_id"), "component-ids")
-    out = signed.select("doc_id", "n_shingles", "mark").join(found, "mark", "left")
-    own = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    signed, roots = signed_and_rooted(docs, width, percent, agree)
+    worded = signed.filter("mark IS NOT NULL").select("doc_id", "n_shingles", "mark")
+    classes = worded.groupBy("mark").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    rooted = classes.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    per_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    found = spool(rooted.join(per_root, "root").select("mark", "component_id", "n"), "component-ids")
+    # classes with more than 1 / LARGE of all rows are fewer than LARGE and go to every task; the others' rows meet their class by a shuffle
+    least = worded.count() / LARGE
+    large = F.broadcast(found.filter(F.col("n") > least).select("mark", "component_id"))
+    small = found.filter(F.col("n") <= least).select("mark", "component_id")
+    met = worded.join(large, "mark").unionByName(worded.join(large.select("mark"), "mark", "left_anti").join(small, "mark"))
+    out = met.select("doc_id", "n_shingles", "component_id").unionByName(signed.filter("mark IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, agree: int = AGREE) -> DataFrame:
     """The rows of docs that are kept, with all their columns; one row of each component, wordless rows all.
 
     The row of the least doc_id stays, one with a null id only where no other has an id. Rows are told apart by doc_id and text: null ids
-    and repeated ids alone join nothing.
+    and repeated ids alone join nothing. Of rows that share both the one stays whose columns have the least hash.
     """
-    signed, whole = signed_and_rooted(docs, width, percent, agree, keyed=True)
-    marked = signed.filter("mark IS NOT NULL").select(F.col("doc_id").alias("own_id"), "text_key", "mark")
-    rows = spool(marked.join(whole.select("mark", "root"), "mark").select("own_id", "text_key", "root"), "rows")
-    rank = F.struct(F.col("own_id").isNull(), F.col("own_id"), F.col("text_key"))
-    first = rows.groupBy("root").agg(F.min(rank).alias("rank")).select("root", "rank.own_id", "rank.text_key")
-    keepers = first.select(F.col("root").alias("own_root"), F.col("own_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
-    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
-    told = spool(rows.join(keepers, F.col("root") == F.col("own_root")).select("own_id", "text_key", same.alias("stays")).groupBy("own_id", "text_key", "stays").agg(F.count("*").alias("n")), "told")
-    pick = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("text_key"))
-    left = docs.join(told.filter("NOT stays").select("own_id", "text_key"), pick, "left_anti")
-    again = told.filter("stays AND n > 1").select("own_id", "text_key")
-    return left if again.limit(1).count() == 0 else first_of_equal(left, again, pick)
-
-
-def first_of_equal(docs: DataFrame, again: DataFrame, pick: Column) -> DataFrame:
-    """Leaves one of the rows that share a doc_id and a text, where again lists them."""
+    signed, roots = signed_and_rooted(docs, width, percent, agree, keyed=True)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    rows = signed.filter("mark IS NOT NULL").groupBy("mark", rank.alias("rank")).agg(F.count("*").alias("n"))
+    first = rows.groupBy("mark").agg(F.min(F.struct("rank", "n")).alias("first"))
+    kept = first.join(roots, "mark", "left").groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("first").alias("first"))
+    own_id, own_key, n = free_names(docs, "own_id", "own_key", "n_rows")
+    kept = spool(kept.select(F.col("first.rank.doc_id").alias(own_id), F.col("first.rank.text_key").alias(own_key), F.col("first.n").alias(n)), "kept-rows")
+    pick = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once, again = kept.filter(F.col(n) == 1), kept.filter(F.col(n) > 1)
+    left = docs.filter(~worded).unionByName(docs.filter(worded).join(once, pick, "left_semi"))
+    return left if again.limit(1).count() == 0 else left.unionByName(first_of_equal(docs.filter(worded).join(again, pick, "left_semi")))
+
+
+def first_of_equal(docs: DataFrame) -> DataFrame:
+    """One of the rows that share a doc_id and a text."""
     columns = docs.columns
-    row = F.struct(*columns)
-    one = docs.join(again, pick, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("own_key")).agg(F.min_by(row, F.xxhash64(*columns)).alias("row"))
-    return docs.join(again, pick, "left_anti").unionByName(one.select("row.*"))
+    row, key = free_names(docs, "own_row", "own_key")
+    one = docs.groupBy("doc_id", F.xxhash64("text").alias(key)).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row))
+    return one.select(F.col(row)["doc_id"].alias("doc_id"), *[F.col(row)[c].alias(c) for c in columns if c != "doc_id"]).select(*columns)
