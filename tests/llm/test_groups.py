@@ -80,6 +80,49 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert sorted(map(repr, left)) == sorted(map(repr, want))
 
 
+def test_keep_one_loses_no_text_and_keeps_no_copy(spark):
+    text, other = "a b c d e f g h", "one two three four five six"
+    docs = spark.createDataFrame([(2, text, 1), (5, text, 2), (5, other, 3), (None, text, 4), (2, text, 1), (None, "", 5), (None, None, 6), (8, "  ", 7)], "doc_id long, text string, own_row long")
+    docs = docs.withColumns({"own_id": F.lit(1), "own_key": F.lit("x"), "n_rows": F.lit(2)})
+    left = near_dup.keep_one(docs, width=4)
+    assert left.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(repr, [(2, text), (5, other), (None, ""), (None, None), (8, "  ")]))
+
+
+def test_large_classes(spark, planted, monkeypatch):
+    """Whether a class's rows meet it by a broadcast or a shuffle changes nothing."""
+    docs = spark.createDataFrame([(1000 * c + k, t) for k, t in planted.items() for c in range(3 if k % 2 else 1)], "doc_id long, text string")
+    every = sorted(map(repr, near_dup.near_duplicates(docs, width=4).collect()))
+    monkeypatch.setattr(near_dup, "LARGE", 60)
+    assert sorted(map(repr, near_dup.near_duplicates(docs, width=4).collect())) == every
+
+
+def test_linking_counts_as_all_pairs_do():
+    rng = random.Random(3)
+    base = list(range(60))
+    sets = [near_dup.np.unique(near_dup.np.array(rng.sample(base, 45) + rng.sample(range(100, 200), rng.randint(0, 8)), dtype="uint64")) for _ in range(120)]
+    sets = list({s.tobytes(): s for s in sets}.values())
+    by = near_dup.multipliers(near_dup.COORDINATES)
+    mixed = [near_dup.np.sort(near_dup.mix(s + near_dup.ONE)) for s in sets]
+    signs = near_dup.np.array([near_dup.signature(s, by) for s in mixed])
+    marks = [near_dup.fingerprint(s) for s in mixed]
+
+    def groups(links):
+        root = {m: m for m in marks}
+        find = lambda m: m if root[m] == m else find(root[m])
+        for a, b in links:
+            root[find(a)] = find(b)
+        return {frozenset(m for m in marks if find(m) == r) for r in {find(m) for m in marks}}
+
+    pairs = []
+    for x, y in itertools.combinations(range(len(marks)), 2):
+        both = len(set(mixed[x].tolist()) & set(mixed[y].tolist()))
+        if (signs[x] == signs[y]).sum() >= 50 and 100 * both >= 60 * (len(mixed[x]) + len(mixed[y]) - both):
+            pairs.append((marks[x], marks[y]))
+    found = near_dup.linking(marks, signs, mixed, near_dup.np.zeros(len(marks), dtype=int), 50, 60)
+    assert pairs and groups(found) == groups(pairs) and len(found) == len(marks) - len(groups(pairs))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(f"{k:03}", f"{k + 1:03}") for k in range(60)] + [("x", "y")], "a string, b string")
     out = {r["node"]: r["root"] for r in near_dup.components(links).collect()}
@@ -126,6 +169,45 @@ def test_one_slot_does_not_undo_a_leak(spark):
     assert found(spark, [item.replace("then Alice", "then Bob"), same_number], [item, ITEM]) == {(0, 0), (1, 1)}
 
 
+def test_names_at_the_start_and_of_more_words(spark):
+    items = ["Alice has 12 apples and gives away 5. How many are left?", "Alice has 12 apples left today", "Then Alice Smith has 12 red apples and sells 5 of them"]
+    docs = ["Bob has 44 apples and gives away 9. How many are left?", "Quiz!\n\"Bob has 7 apples left today\"", "Then Bob has 7 red apples and sells 3 of them", "Then Alice has 12 green pears and sells 5 of them"]
+    assert found(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_shuffled_benchmark_and_clashing_columns(spark, small, monkeypatch):
+    docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    near = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, decontaminate.leaks(docs, items).collect())) == near and near
+    left = decontaminate.drop_leaks(docs.withColumns({"gone_doc": F.lit(1), "gone_key": F.lit(2)}), items)
+    assert left.count() == docs.count() - len({k[0] for k in near})
+    few = spark.createDataFrame([(1, "What is 12 + 7 * 3 - 4 / 2?"), (2, ITEM), (None, "1 2 3")], "item_id long, text string")
+    assert {r["item_id"] for r in decontaminate.verbatim_only(few).collect()} == {1, None}
+
+
+def brute_plain(text):
+    """Lower-case words and numbers, one by one."""
+    text = re.sub(r"[.,](?!\d)|(?<!\d)[.,]", " ", text.lower())
+    return re.findall(r"[^\W_]+(?:[.,]+[^\W_]+)*", text)
+
+
+def test_copies_against_plain_python(spark, small):
+    """Every document that holds six windows of eight plain words of an item in a row, or all words of a shorter one, is found."""
+    docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    want = set()
+    for d in docs.collect():
+        own = brute_plain(d["text"] or "")
+        runs = {n: {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} for n in range(8, 14)}
+        for i in items.collect():
+            item = brute_plain(i["text"])
+            n = min(len(item), 13)
+            if n >= 8 and any(tuple(item[k : k + n]) in runs[n] for k in range(len(item) - n + 1)):
+                want.add((d["doc_id"], i["item_id"]))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert want and want <= got
+
+
 def test_planted_items_are_found(spark, small):
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     want = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if i["text"] in d["text"]}

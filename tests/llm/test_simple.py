@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -123,6 +125,27 @@ def test_quality_counts(spark, docs, small):
     assert {r["doc_id"] for r in quality.keep_good(every).collect()} == {r["doc_id"] for r in out if r["kept"]}
 
 
+def test_fertility_is_the_librarys(spark, docs, small):
+    """Tokens, byte share, entropy and verdict of every row against the library on the whole text."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(quality.VOCABULARY))
+    odd = ["ab\ncd", "  a  b   ", " ", "a ", " a\u2581 b", "x\t\ty", "\u00a0a", "line\r\nline\r\n", "漢字 かな\n" * 60]
+    every = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(2000 + k, t, "xx") for k, t in enumerate(odd)], "doc_id long, text string, lang string"))
+    every = every.union(spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet").select(F.col("doc_id") + 10_000, "text", "lang"))
+    rows = {r["doc_id"]: (r["text"] or "", r["lang"]) for r in every.collect()}
+    for r in quality.judge(every).collect():
+        text, lang = rows[r["doc_id"]]
+        pieces = lib.encode(text)
+        n, counts = len(pieces), Counter(pieces)
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+        bytes_ = sum(c for p, c in counts.items() if lib.is_byte(p) or lib.is_unknown(p)) / max(n, 1)
+        assert r["n_tokens"] == n and abs(r["byte_share"] - bytes_) < 1e-12 and abs(r["token_entropy"] - entropy) < 1e-9, repr(text)
+        base = brute_base(text)
+        assert abs(r["chars_per_token"] - base[1] / max(n, 1)) < 1e-12
+        band = quality.LANGUAGE_BANDS.get(lang) or quality.SCRIPT_BANDS[r["band"]]
+        good = n > 0 and band.min_chars <= base[1] / n <= band.max_chars and bytes_ <= band.max_bytes and (n < band.entropy_tokens or entropy >= band.min_entropy)
+        assert r["kept"] == (good and not r["base_failed"])
+
+
 def test_quality_keeps_clean(spark, small):
     d = small.replace("sf0.001", "sf0.01")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
@@ -188,6 +211,46 @@ def test_toxicity_holds_out(spark, small):
     assert toxicity.score_toxicity(docs.limit(5), empty).filter("toxic OR severity > 0").count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark, small):
+    d = small.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    one, two = toxicity.train(docs, labels), toxicity.train(docs.repartition(7, "text").orderBy(F.desc("doc_id")), labels.repartition(3))
+    assert one == two and one.weights
+
+
+def test_scores_against_plain_python(spark, small, docs):
+    d = small.replace("sf0.001", "sf0.01")
+    every = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").union(docs.select(F.col("doc_id") + 50_000, "text"))
+    model = toxicity.train(every, spark.read.parquet(f"{d}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in every.collect()}
+    for r in toxicity.score_toxicity(every.withColumn("severity", F.lit("clash")), model).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]]))
+        words = [w.encode() for w in words]
+        score = 0.0
+        for f, weight in model.weights.items():
+            n = sum(w.startswith(f[:-1]) and len(w) >= len(f) for w in words) if f.endswith(b"*") else words.count(f)
+            score += weight * math.log1p(n)
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert abs(r["severity"] - sum(above)) < 1e-5 and r["toxic"] == (above[0] >= toxicity.TOXIC_FROM)
+
+
+def test_given_grades_are_learnt(spark):
+    """Grades that readers gave, not made from the features: their order shows in the expected severity of unseen texts."""
+    rng = random.Random(4)
+    mild, harsh, plain = [f"mild{chr(97 + k)}" for k in range(6)], [f"harsh{chr(97 + k)}" for k in range(6)], [f"plain{k}" for k in range(300)]
+    rows = []
+    for k in range(900):
+        grade = k % 4
+        own = [rng.choice(plain) for _ in range(40)] + [rng.choice(mild) for _ in range((0, 3, 1, 1)[grade])] + [rng.choice(harsh) for _ in range((0, 0, 2, 5)[grade])]
+        rng.shuffle(own)
+        rows.append((k, " ".join(own), grade))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels.filter("doc_id < 600"))
+    held = {r["doc_id"]: r["severity"] for r in toxicity.score_toxicity(docs.filter("doc_id >= 600"), model).collect()}
+    mean = [np.mean([s for k, s in held.items() if k % 4 == g]) for g in range(4)]
+    assert len(model.thresholds) == 3 and mean == sorted(mean) and mean[0] < 0.3 and mean[3] > 2.3
+
+
 CALLS = [
     (1, 0, "a", "add", '{"x": 1, "y": 2}', []), (1, 1, "b", "add", '{"y": "no", "x": 1}', ["c"]), (1, 2, "c", "add", "{}", ["zz", None]), (1, 3, "d", "none", "{", ["a"]),
     (2, 0, "p", "add", '{"x":1,"y":2}', ["q"]), (2, 1, "q", "add", '{"x":1,"y":2}', ["p"]), (None, 0, "n", "add", "{}", []), (1, 9, "a", "add", "{}", []),
@@ -208,6 +271,21 @@ def test_tool_links(spark):
     assert tool_links.link(calls.limit(0), results.limit(0), schema).count() == 0
 
 
+def test_arguments_that_are_no_json(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    bad = ["NaN", '{"x": NaN}', '{"x": -Infinity}', '{"x": 1e400}', "9" * 5000, "{", deep, "[" * 980 + "]" * 980]
+    odd = ['{"prompt": "\\ud800", "turn": 1}', '{"\\udfff": 1}', '{"x": 1, "x": 2}', None]
+    calls = spark.createDataFrame([(1, k, f"c{k:02}", "reply", a, []) for k, a in enumerate(bad + odd)], tool_links.CALLS)
+    results = spark.createDataFrame([(1, 99, f"c{k:02}", "r") for k in range(len(bad + odd))], tool_links.RESULTS)
+    out = {r["call_id"]: r for r in tool_links.link(calls, results).collect()}
+    assert len(out) == len(bad + odd)
+    for k in range(len(bad) - 1):
+        assert out[f"c{k:02}"]["errors"] == "$: not JSON" and not out[f"c{k:02}"]["valid"] and json.loads(out[f"c{k:02}"]["json"])["arguments"] == bad[k]
+    assert out["c07"]["errors"] in ("$: not JSON", "$: not object")
+    assert out["c08"]["valid"] and '"prompt":"\\ud800"' in out["c08"]["json"]
+    assert "\\udfff: not allowed" in out["c09"]["errors"] and '"x":2' in out["c10"]["json"] and out["c11"]["errors"] == "$: not object"
+
+
 def test_url_parts_and_trust(spark):
     urls = [None, "nohost", "HTTP://A.Example.NET/en/x?y", "http://b.example.net", "https://x.org/fr/1#t", "http://x.org?q=/", "ftp://sub.example.com/de/z", "http://hub.io/a", "http://bad.io/b", "http://netz/"]
     pages = spark.createDataFrame([(k, u, '<a href="http://b.example.net/">' if k == 8 else "<p>") for k, u in enumerate(urls)], "page_id long, url string, html string").withColumn("host", F.lit("clash"))
