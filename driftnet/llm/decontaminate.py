@@ -36,8 +36,7 @@ def plain_tokens(text: Column) -> Column:
 
     Every pattern begins with the character that it is about and looks behind afterwards, so that a text is passed at the cost of one test a character.
     """
-    clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + JOIN, "    ")
-    marked = F.regexp_replace(clean, r"\p{Lu}(?=\p{Ll})(?<![\p{L}\p{M}\p{N}]\p{Lu})", f"{NAME}$0")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?=\p{Ll})(?<![\p{L}\p{M}\p{N}]\p{Lu})", f"{NAME}$0")
     named = F.regexp_replace(marked, rf"({NAME}[\p{{L}}\p{{M}}]+) (?={NAME})", f"$1{JOIN}")
     loose = F.regexp_replace(F.lower(named), r"[.,](?:(?!\p{N})|(?<!\p{N}[.,]))", " ")  # points and commas that stand in no number
     parted = F.regexp_replace(loose, rf"{UNSPACED}", " $0 ")
@@ -53,17 +52,17 @@ def template(plain: Column) -> Column:
 
 def spelled_template(plain: Column) -> Column:
     """The template with a placeholder for each word of a name."""
-    return template(F.regexp_replace(plain, JOIN, " "))
+    return template(F.replace(plain, F.lit(JOIN), F.lit(" ")))
 
 
 def values(plain: Column) -> Column:
     """The same tokens without marks, for the slots of a template."""
-    return F.translate(plain, NAME, "")
+    return F.replace(plain, F.lit(NAME), F.lit(""))
 
 
 def words(plain: Column) -> Column:
     """The tokens of names one by one, without marks."""
-    return F.translate(F.translate(plain, NAME, ""), JOIN, " ")
+    return F.replace(values(plain), F.lit(JOIN), F.lit(" "))
 
 
 def tokens(line: Column) -> Column:
@@ -99,14 +98,21 @@ def best_run(spots: Column, width: Column) -> Column:
     return F.aggregate(F.array_sort(spots), start, step, lambda a: F.struct(a["best_n"].alias("n"), a["best_first"].alias("first"), a["best_last"].alias("last")))
 
 
-def both_kinds(text: Column) -> list[Column]:
-    plain = plain_tokens(text)
-    return [tokens(template(plain)).alias("t"), tokens(words(plain)).alias("v")]
+def once(value: Column) -> Column:
+    """A generator of just this value: what stands above uses the result and does not repeat the expression."""
+    return F.explode(F.array(value))
+
+
+def both_kinds(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, t (tokens of the template) and v (plain tokens) of a column text."""
+    plain = rows.select(*keep, once(plain_tokens(F.col("text"))).alias("plain"))
+    lines = plain.select(*keep, "plain", once(template(F.col("plain"))).alias("t")).select(*keep, "t", once(words(F.col("plain"))).alias("v"))
+    return lines.select(*keep, tokens(F.col("t")).alias("t"), tokens(F.col("v")).alias("v"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, plain, width, need, spot, h: the first place of each distinct window of an item, of its template (with enough literal tokens) and of its plain tokens."""
-    split = items.select("item_id", *both_kinds(F.col("text")))
+    split = both_kinds(items, "item_id")
     every = None
     for width in range(1, WINDOW + 1):
         own = split.filter(F.size("t") >= WINDOW if width == WINDOW else F.size("t") == width)
@@ -140,7 +146,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     small = size <= BROADCAST_BYTES and bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     near = F.broadcast(bench) if small else bench
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    split = keyed.select("doc_id", "text_key", *both_kinds(F.col("text")))
+    split = both_kinds(keyed, "doc_id", "text_key")
     hits = None
     for width in sorted(widths) or [WINDOW]:
         kinds = F.array(F.struct(F.lit(False).alias("plain"), F.col("t").alias("of")), F.struct(F.lit(True).alias("plain"), F.col("v").alias("of")))
