@@ -32,26 +32,38 @@ def is_tv(name: Column) -> Column:
     return N.any_of(name, R.TV) | N.contains_any(name, R.TV_KEYWORDS)
 
 
-def has_number(name: Column) -> Column:
-    numbers = N.season_episode(name)
-    return (numbers["season"] != -1) | (numbers["episode"] != -1)
+def signals(name: Column) -> Column:
+    """N.parts and whether the name looks like anime, a show, a film (by the patterns alone), as one struct. A plan that asks several rules computes it
+    once for each row, through N.once, and hands it to them as s; without s a rule computes what it needs."""
+    s = N.parts(name)
+    own = [s[c].alias(c) for c in ("numbers", "year", "resolution", "by_words", "subgroup", "imdb_id")]
+    return F.struct(*own, is_anime(name).alias("anime"), N.any_of(name, R.TV).alias("tv"), N.any_of(name, R.MOVIE).alias("movie"))
 
 
-def year_and_quality(name: Column) -> Column:
-    return (N.year(name) > 0) & (N.quality(name) != "unknown")
+def has_number(s: Column) -> Column:
+    return (s["numbers"]["season"] != -1) | (s["numbers"]["episode"] != -1)
 
 
-def is_movie(name: Column) -> Column:
-    worded = N.contains_any(name, R.MOVIE_KEYWORDS) & (N.year(name) > 0)
-    return ~has_number(name) & (N.any_of(name, R.MOVIE) | worded | year_and_quality(name))
+def year_and_quality(name: Column, s: Column) -> Column:
+    return (s["year"] > 0) & (N.quality(name, s) != "unknown")
 
 
-def media_signals(name: Column) -> Column:
-    return year_and_quality(name) | has_number(name) | N.any_of(name, R.MOVIE + R.TV)
+def is_movie(name: Column, s: Column | None = None) -> Column:
+    if s is None:
+        return N.let(signals(name), lambda own: is_movie(name, own))
+    worded = N.contains_any(name, R.MOVIE_KEYWORDS) & (s["year"] > 0)
+    return ~has_number(s) & (s["movie"] | worded | year_and_quality(name, s))
 
 
-def is_adult(name: Column) -> Column:
-    return (~is_anime(name) & N.any_of(name, R.ADULT[:2])) | N.any_of(name, R.ADULT[2:])
+def media_signals(name: Column, s: Column | None = None) -> Column:
+    if s is None:
+        return N.let(signals(name), lambda own: media_signals(name, own))
+    return year_and_quality(name, s) | has_number(s) | s["movie"] | s["tv"]
+
+
+def is_adult(name: Column, s: Column | None = None) -> Column:
+    anime = is_anime(name) if s is None else s["anime"]
+    return (~anime & N.any_of(name, R.ADULT[:2])) | N.any_of(name, R.ADULT[2:])
 
 
 def extension(path: Column) -> Column:
@@ -84,9 +96,11 @@ def guess_from_files(sums: Column) -> Column:
     return F.when(n == 0, F.lit(None)).when(tv, "tv").when(movie, "movie")
 
 
-def category(name: Column, sums: Column) -> Column:
+def category(name: Column, sums: Column, s: Column | None = None) -> Column:
+    if s is None:
+        return N.let(signals(name), lambda own: category(name, sums, own))
     guess = F.when(F.coalesce(has_media_files(sums), F.lit(False)), guess_from_files(sums))
-    return F.when(is_anime(name), "anime").when(is_tv(name), "tv").when(is_movie(name), "movie").otherwise(F.coalesce(guess, F.lit("unknown")))
+    return F.when(s["anime"], "anime").when(s["tv"] | N.contains_any(name, R.TV_KEYWORDS), "tv").when(is_movie(name, s), "movie").otherwise(F.coalesce(guess, F.lit("unknown")))
 
 
 def adult_check_name(name: Column) -> Column:
@@ -107,22 +121,24 @@ def is_adult_name(name: Column, performers: list[str], studios: list[str], keywo
     return (low != "") & (low.isin(performers + studios) | F.arrays_overlap(ngrams(low, 1), spelled(keywords)) | F.arrays_overlap(pairs, spelled(performers)))
 
 
-def junk_name(name: Column) -> Column:
-    return N.any_of(name, R.JUNK_NAME) & ~media_signals(name)
+def junk_name(name: Column, s: Column | None = None) -> Column:
+    return N.any_of(name, R.JUNK_NAME) & ~media_signals(name, s)
 
 
-def junk_files(name: Column, sums: Column) -> Column:
+def junk_files(name: Column, sums: Column, s: Column | None = None) -> Column:
     total = sums["total"]
-    silent = (sums["video"] == 0) & ((sums["audio"] == 0) | (~sums["has_subtitles"] & ~media_signals(name)))
+    silent = (sums["video"] == 0) & ((sums["audio"] == 0) | (~sums["has_subtitles"] & ~media_signals(name, s)))
     return (sums["n_files"] > 0) & (total > 0) & ((sums["junk"] / F.nullif(total, F.lit(0)) > 0.50) | silent)
 
 
-def is_junk(name: Column, sums: Column, filters: Filters = Filters(), performers: list[str] = (), studios: list[str] = (), keywords: list[str] = ()) -> Column:
-    out = junk_files(name, sums)
+def is_junk(name: Column, sums: Column, filters: Filters = Filters(), performers: list[str] = (), studios: list[str] = (), keywords: list[str] = (), s: Column | None = None) -> Column:
+    if s is None:
+        return N.let(signals(name), lambda own: is_junk(name, sums, filters, performers, studios, keywords, own))
+    out = junk_files(name, sums, s)
     if filters.adult_patterns:
-        out = out | is_adult(name)
+        out = out | is_adult(name, s)
     if filters.junk_names:
-        out = out | junk_name(name)
-    if filters.adult_names:
-        out = out | (~media_signals(name) & is_adult_name(name, list(performers), list(studios), list(keywords)))
+        out = out | junk_name(name, s)
+    if filters.adult_names and (performers or studios or keywords):  # empty lists name nobody
+        out = out | (~media_signals(name, s) & is_adult_name(name, list(performers), list(studios), list(keywords)))
     return F.coalesce(out, F.lit(False))

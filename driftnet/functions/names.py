@@ -6,6 +6,8 @@ Unicode and $ means the very end of the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,14 +73,13 @@ def anime_episode(name: Column) -> Column:
 
 def season_episode(name: Column) -> Column:
     """struct(season, episode) of the first season pattern, of the anime rule for bracket groups, -1 where there is none."""
-    season, episode = None, None
+    both = lambda s, e: F.struct(s.alias("season"), e.alias("episode"))
+    out = None
     for p in R.SEASON_EPISODE:
-        hit, s = has(name, p), whole_number(group(name, p, 1))
         e = F.when(group(name, p, 2) != "", whole_number(group(name, p, 2))).otherwise(-1) if p.count("(") - p.count("(?:") > 1 else F.lit(-1)
-        season = F.when(hit, s) if season is None else season.when(hit, s)
-        episode = F.when(hit, e) if episode is None else episode.when(hit, e)
-    loose = F.when(subgroup(name) != "", anime_episode(name)).otherwise(-1)
-    return F.struct(season.otherwise(-1).alias("season"), episode.otherwise(loose).alias("episode"))
+        value = both(whole_number(group(name, p, 1)), e)
+        out = F.when(has(name, p), value) if out is None else out.when(has(name, p), value)
+    return out.otherwise(both(F.lit(-1), F.when(subgroup(name) != "", anime_episode(name)).otherwise(-1)))
 
 
 def year(name: Column) -> Column:
@@ -140,21 +141,45 @@ def quality_of_resolution(res: Column) -> Column:
     return out.otherwise("unknown")
 
 
-def quality(name: Column) -> Column:
-    return F.when(resolution(name) != "", quality_of_resolution(resolution(name))).otherwise(quality_by_words(name))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def parts(name: Column) -> Column:
+    """What several rules ask of a name, as one struct: numbers (season, episode), year, resolution, by_words, subgroup, imdb_id."""
+    return F.struct(
+        season_episode(name).alias("numbers"), year(name).alias("year"), resolution(name).alias("resolution"), quality_by_words(name).alias("by_words"),
+        subgroup(name).alias("subgroup"), imdb_id(name).alias("imdb_id"),
+    )
+
+
+def quality(name: Column, s: Column | None = None) -> Column:
+    """s, here and below: the parts of the name as a column, where a plan has them already."""
+    if s is None:
+        return let(resolution(name), lambda r: F.when(r != "", quality_of_resolution(r)).otherwise(quality_by_words(name)))
+    return F.when(s["resolution"] != "", quality_of_resolution(s["resolution"])).otherwise(s["by_words"])
 
 
 def without_watermarks(name: Column) -> Column:
     return strip(strip(strip(name, R.WATERMARKS[0]), R.WATERMARKS[1], fold=False), R.WATERMARKS[2], fold=False)
 
 
-def title(name: Column) -> Column:
+def title(name: Column, s: Column | None = None) -> Column:
     """What is left of the name without watermarks, brackets, episode, numbers, ids, tags and year."""
-    numbers, imdb, sub, y = season_episode(name), imdb_id(name), subgroup(name), year(name)
-    has_number = (numbers["season"] != -1) | (numbers["episode"] != -1)
+    return let(parts(name), lambda own: title(name, own)) if s is None else let(unbracketed(name, s["subgroup"]), lambda t: cut_title(t, s))
+
+
+def unbracketed(name: Column, sub: Column) -> Column:
     t = strip(without_watermarks(name), r"\.(mkv|mp4|avi|wmv|ts|m2ts)$", fold=False)
-    t = F.when((sub != "") & F.lower(t).startswith(F.concat(F.lit("["), F.lower(sub), F.lit("]"))), strip(t, r"^\[[^\]]+\]\s*")).otherwise(t)
-    t = strip(strip(t, r"\s*\[[^\]]*\]\s*", " "), r"\s*\([^\)]*\)\s*", " ")
+    own = (sub != "") & F.lower(t).startswith(F.concat(F.lit("["), F.lower(sub), F.lit("]")))
+    t = F.when(own, strip(t, r"^\[[^\]]+\]\s*")).otherwise(t)
+    return strip(strip(t, r"\s*\[[^\]]*\]\s*", " "), r"\s*\([^\)]*\)\s*", " ")
+
+
+def cut_title(t: Column, s: Column) -> Column:
+    numbers, imdb, sub, y = s["numbers"], s["imdb_id"], s["subgroup"], s["year"]
+    has_number = (numbers["season"] != -1) | (numbers["episode"] != -1)
     cut = None
     for p in R.SEASON_EPISODE + R.EPISODE_ONLY:
         before = F.regexp_replace(t, "(?s)" + java(f"(?:{p})") + ".*", "")
@@ -186,12 +211,13 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def parse(name: Column) -> Column:
+def parse(name: Column, s: Column | None = None) -> Column:
     """All parts of a release name as one struct. A null name gives null parts."""
-    numbers = season_episode(name)
-    parts = {
-        "title": title(name), "year": year(name), "season": numbers["season"], "episode": numbers["episode"], "quality": quality(name),
+    if s is None:
+        return let(parts(name), lambda own: parse(name, own))
+    told = {
+        "title": title(name, s), "year": s["year"], "season": s["numbers"]["season"], "episode": s["numbers"]["episode"], "quality": quality(name, s),
         "source": source(name), "codec": codec(name), "audio": audio(name), "hdr": hdr(name), "release_group": release_group(name),
-        "imdb_id": imdb_id(name), "resolution": resolution(name), "subgroup": subgroup(name), **flags(name),
+        "imdb_id": s["imdb_id"], "resolution": s["resolution"], "subgroup": s["subgroup"], **flags(name),
     }
-    return F.struct(*[c.alias(n) for n, c in parts.items()])
+    return F.struct(*[c.alias(n) for n, c in told.items()])

@@ -102,8 +102,8 @@ def enrich(queue: DataFrame, by_imdb: DataFrame, movies: DataFrame, shows: DataF
     """
     rows = queue.withColumn("norm", normalize_key(F.col("title")))
     ids = by_imdb.groupBy("imdb").agg(F.coalesce(F.min("movie_id"), F.min("tv_id")).alias("found_by_imdb"))
-    titled = lambda source, name: match_by_title(rows.select("info_hash", "norm", "year"), source).select("info_hash", F.col("id").alias(name))
-    both = rows.join(ids, "imdb", "left").join(titled(movies, "movie_id"), "info_hash").join(titled(shows, "tv_id"), "info_hash").join(anime.select("norm", F.col("id").alias("anime_id")), "norm", "left")
+    titled = lambda queue, source, name: match_by_title(queue, source).withColumnRenamed("id", name)
+    both = titled(titled(rows.join(ids, "imdb", "left"), movies, "movie_id"), shows, "tv_id").join(anime.select("norm", F.col("id").alias("anime_id")), "norm", "left")
     category = F.when((F.col("category") == 3) & F.col("anime_id").isNotNull(), 2).otherwise(F.col("category"))
     by_category = F.when(category == 0, F.col("movie_id")).when(category == 1, F.col("tv_id")).when(category == 2, F.coalesce("anime_id", "tv_id")).otherwise(F.coalesce("movie_id", "tv_id"))
     found = F.coalesce("found_by_imdb", by_category)

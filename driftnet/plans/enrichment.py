@@ -102,8 +102,9 @@ SELECT info_hash, CASE WHEN found IS NULL THEN 3 ELSE cat END AS category, CAST(
 def enrichment_batch(spark, d):
     """The whole enrichment of a queue in one plan."""
     due = view(spark, d, "catalog").filter(f"match_status IN (0, 2) AND match_after < {NOW} AND match_attempts < 4")
-    parsed = due.select("*", N.once(N.parse(F.col("name"))).alias("p"))
-    queue = parsed.select("info_hash", "category", F.col("p.imdb_id").alias("imdb"), F.col("p.title").alias("title"), F.col("p.year").alias("year"), F.col("match_attempts").alias("attempts"))
+    s = F.col("s")
+    parsed = due.select("*", N.once(N.parts(F.col("name"))).alias("s"))
+    queue = parsed.select("info_hash", "category", s["imdb_id"].alias("imdb"), N.once(N.title(F.col("name"), s)).alias("title"), s["year"].alias("year"), F.col("match_attempts").alias("attempts"))
     movies = source(spark, d)
     shows = movies.filter("id % 2 = 0").withColumn("id", F.col("id") + 1000000)
     anime = movies.filter("id % 10 = 0").groupBy("norm").agg((F.min("id") + 2000000).alias("id"))

@@ -22,12 +22,20 @@ def names(spark, d):
 
 
 def one(column, give):
+    """Rules that read other parts of the name get them as a column, computed once for each row."""
+
     def run(spark, d):
-        return names(spark, d).select("k", give(F.col("name")).alias(column))
+        n = F.col("name")
+        if give not in STAGED:
+            return names(spark, d).select("k", give(n).alias(column))
+        return names(spark, d).select("k", "name", N.once(STAGED[give](n)).alias("s")).select("k", give(n, F.col("s")).alias(column))
 
     return run
 
 
+STAGED = {N.title: N.parts, N.quality: N.parts, K.is_movie: K.signals, K.media_signals: K.signals, K.is_adult: K.signals}
+
+
 SIMPLE = {
     "parse_season": ("season", lambda n: N.season_episode(n)["season"], "season"), "parse_episode": ("episode", lambda n: N.season_episode(n)["episode"], "episode"),
     "parse_year": ("year", N.year, "year"), "parse_resolution": ("resolution", N.resolution, "resolution"), "parse_source": ("source", N.source, "source"),
@@ -53,6 +61,10 @@ def filed(spark, d):
     return names(spark, d).join(files, "k", "left").select("k", "name", N.once(K.file_sums(F.col("files"))).alias("sums"))
 
 
+def signalled(spark, d):
+    return filed(spark, d).select("*", N.once(K.signals(F.col("name"))).alias("s"))
+
+
 FILED = f"WITH slim AS (SELECT k, name FROM catalog), {Q.parsed_cte('slim')}, {SUMS}, filed AS MATERIALIZED (SELECT parsed.*, coalesce(n_files, 0) AS n_files, coalesce(n_video, 0) AS n_video, coalesce(total, 0) AS total, coalesce(video, 0) AS video, coalesce(junk, 0) AS junk, coalesce(audio_size, 0) AS audio_size, coalesce(has_subtitles, FALSE) AS has_subtitles, coalesce(n_episodes, 0) AS n_episodes FROM parsed LEFT JOIN sums USING (k))"
 
 
@@ -68,13 +80,21 @@ def files_media_share(spark, d):
 
 @query(f"{FILED} SELECT k, {Q.category()} AS category FROM filed", "catalog files")
 def classify_category(spark, d):
-    return filed(spark, d).select("k", K.category(F.col("name"), F.col("sums")).alias("category"))
+    return signalled(spark, d).select("k", K.category(F.col("name"), F.col("sums"), F.col("s")).alias("category"))
 
 
 @query(f"{FILED} SELECT k, {Q.junk_files()} AS by_files, {Q.any_of('name', Q.R.JUNK_NAME)} AND NOT {Q.signals()} AS by_name, {Q.adult()} OR ({Q.any_of('name', Q.R.JUNK_NAME)} AND NOT {Q.signals()}) OR {Q.junk_files()} AS junk FROM filed", "catalog files")
 def junk_verdict(spark, d):
-    n, s = F.col("name"), F.col("sums")
-    return filed(spark, d).select("k", F.coalesce(K.junk_files(n, s), F.lit(False)).alias("by_files"), K.junk_name(n).alias("by_name"), K.is_junk(n, s).alias("junk"))
+    n, sums, s = F.col("name"), F.col("sums"), F.col("s")
+    return signalled(spark, d).select("k", F.coalesce(K.junk_files(n, sums, s), F.lit(False)).alias("by_files"), K.junk_name(n, s).alias("by_name"), K.is_junk(n, sums, s=s).alias("junk"))
+
+
+@query(f"{FILED} SELECT k, {Q.junk_files()} AS files_only, {Q.adult()} OR {Q.junk_files()} AS adult_only, ({Q.any_of('name', Q.R.JUNK_NAME)} AND NOT {Q.signals()}) OR {Q.junk_files()} AS names_only FROM filed", "catalog files")
+def junk_toggles(spark, d):
+    """Verdicts with all rules off, and with one of them on."""
+    n, sums, s = F.col("name"), F.col("sums"), F.col("s")
+    given = {"files_only": K.Filters(False, False, False), "adult_only": K.Filters(True, False, False), "names_only": K.Filters(False, True, False)}
+    return signalled(spark, d).select("k", *[K.is_junk(n, sums, f, s=s).alias(c) for c, f in given.items()])
 
 
 CHECKED = f"regexp_split_to_array(trim(regexp_replace(translate(lower({Q.watermarks_off('name')}), '._-~', '    '), '\\s+', ' ', 'g')), ' ')"
