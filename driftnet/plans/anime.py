@@ -18,7 +18,7 @@ def sql_norm(t: str) -> str:
 
 
 DECORATED = "concat('[G] ', p_name, CASE p_partkey % 4 WHEN 0 THEN ' Season 2' WHEN 1 THEN ' III' WHEN 2 THEN ' (TV) Batch' ELSE ' extra part words' END)"
-INDEX = f"""titles AS (SELECT p_partkey AS id, {sql_norm('p_name')} AS norm FROM part WHERE p_partkey % 3 = 0),
+INDEX = f"""titles AS (SELECT p_partkey AS id, {sql_norm('p_name')} AS norm FROM part),
 idx AS MATERIALIZED (SELECT norm, min(id) AS entry_id FROM titles WHERE norm != '' AND (contains(norm, ' ') OR octet_length(encode(norm)) >= 4) GROUP BY norm)"""
 
 
@@ -27,7 +27,7 @@ def decorated():
 
 
 def index(spark, d):
-    entries = view(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.array("p_name").alias("titles"))
+    entries = view(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array("p_name").alias("titles"))
     return A.title_index(entries, "id", "id")
 
 
@@ -72,8 +72,8 @@ def anime_json_dump(spark, d):
     return A.parse_dump(dump).select("anilist_id", "kitsu_id", F.concat_ws(";", "titles").alias("titles"), "year")
 
 
-@query("SELECT id, CASE WHEN more IS NULL THEN p_name ELSE concat(p_name, ';', more) END AS titles FROM (SELECT CAST(p_partkey AS INTEGER) AS id, p_name FROM part WHERE p_partkey < 100) LEFT JOIN (SELECT CAST(s_suppkey * 2 AS INTEGER) AS id, s_name AS more FROM supplier) USING (id)")
+@query("SELECT id, CASE WHEN more IS NULL THEN p_name ELSE concat(p_name, ';', more) END AS titles FROM (SELECT CAST(p_partkey AS INTEGER) AS id, p_name FROM part) LEFT JOIN (SELECT CAST(s_suppkey * 2 AS INTEGER) AS id, s_name AS more FROM supplier) USING (id)")
 def anime_dump_merge(spark, d):
-    entries = view(spark, d, "part").filter("p_partkey < 100").select(F.col("p_partkey").cast("int").alias("anidb_id"), F.array("p_name").alias("titles"))
+    entries = view(spark, d, "part").select(F.col("p_partkey").cast("int").alias("anidb_id"), F.array("p_name").alias("titles"))
     extra = view(spark, d, "supplier").select((F.col("s_suppkey") * 2).cast("int").alias("anidb_id"), F.array("s_name").alias("titles"))
     return A.merge_titles(entries, extra).select(F.col("anidb_id").alias("id"), F.concat_ws(";", "titles").alias("titles"))

@@ -23,9 +23,9 @@ def scan_defaults(spark, d):
     return C.with_defaults(view(spark, d, "catalog").select("k", "info_hash", "name", "size", "updated_at"))
 
 
-@query(f"SELECT {', '.join(C.API_COLUMNS)} FROM catalog WHERE k < 500", "catalog")
+@query(f"SELECT {', '.join(C.API_COLUMNS)} FROM catalog", "catalog")
 def api_projection(spark, d):
-    return view(spark, d, "catalog").filter("k < 500").select(*C.API_COLUMNS)
+    return view(spark, d, "catalog").select(*C.API_COLUMNS)
 
 
 @query(f"SELECT {PAGE} FROM catalog WHERE discovered_at > 800000000 OR (discovered_at = 800000000 AND info_hash > '8') ORDER BY discovered_at, info_hash LIMIT 200", "catalog")
@@ -66,9 +66,9 @@ def external_id_imdb(spark, d):
     return C.by_external_id(view(spark, d, "catalog"), "imdb", "tt0000042").select("k", "imdb_id")
 
 
-@query("SELECT k, tmdb_id FROM catalog WHERE tmdb_id = 43", "catalog")
+@query("SELECT k, tmdb_id FROM catalog WHERE tmdb_id = 44", "catalog")
 def external_id_tmdb(spark, d):
-    return C.by_external_id(view(spark, d, "catalog"), "tmdb", "43").select("k", "tmdb_id")
+    return C.by_external_id(view(spark, d, "catalog"), "tmdb", "44").select("k", "tmdb_id")
 
 
 @query("SELECT info_hash, discovered_at, match_attempts FROM catalog WHERE match_status IN (0, 2) AND match_after < 900000500 AND match_attempts < 4 ORDER BY discovered_at DESC, info_hash LIMIT 100", "catalog")
@@ -97,9 +97,9 @@ def page_recent_category(spark, d):
     return C.recent(rows.select("info_hash", "name", "discovered_at"), 30, 60)
 
 
-@query(f"WITH {REJECTED} SELECT r.info_hash FROM rejected r WHERE r.info_hash IN (SELECT info_hash FROM catalog WHERE k < 100)", "catalog discoveries")
+@query(f"WITH {REJECTED} SELECT r.info_hash FROM rejected r WHERE r.info_hash IN (SELECT info_hash FROM catalog)", "catalog discoveries")
 def reject_membership(spark, d):
-    return C.by_hashes(rejected(spark, d), view(spark, d, "catalog").filter("k < 100")).select("info_hash")
+    return C.by_hashes(rejected(spark, d), view(spark, d, "catalog")).select("info_hash")
 
 
 @query(f"""WITH {REJECTED} SELECT count(*) AS total, count(*) FILTER (match_status = 0) AS unmatched, count(*) FILTER (match_status = 1) AS matched, count(*) FILTER (match_status = 2) AS failed,
