@@ -49,6 +49,19 @@ def get_bit(key: Column, place: int) -> Column:
     return F.shiftright(byte_at(key, place // 8), 7 - place % 8).bitwiseAND(F.lit(1)).cast("int")
 
 
+def set_bit(key: Column, place: int, on: bool = True) -> Column:
+    """The key with one bit set or cleared, the highest being 0."""
+    mask = 128 >> place % 8
+    byte = byte_at(key, place // 8)
+    changed = byte.bitwiseOR(F.lit(mask)) if on else byte.bitwiseAND(F.lit(255 - mask))
+    return F.overlay(key, F.lpad(F.lower(F.hex(changed)), 2, "0"), F.lit(2 * (place // 8) + 1))
+
+
+def announced_port(implied: Column, port: Column, source_port: Column) -> Column:
+    """The port of an announce: that which it came from if it says so, else the one it names."""
+    return F.when(F.coalesce(implied, F.lit(0)) != 0, source_port).otherwise(port)
+
+
 def unsigned(hexed: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("long")
 

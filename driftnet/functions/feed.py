@@ -62,6 +62,19 @@ def json_row(columns: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
 
 
+FILES = "array<struct<path: string, size: bigint>>"
+
+
+def files_json(files: Column) -> Column:
+    """A file list as it is stored; none is null."""
+    return F.when(F.size(F.coalesce(files, F.array().cast(FILES))) > 0, F.to_json(files))
+
+
+def files_of(stored: Column) -> Column:
+    """The file list of a stored one; null, empty and broken text give an empty list."""
+    return F.coalesce(F.from_json(stored, FILES), F.array().cast(FILES))
+
+
 def search_suffix(season: int | None, episode: int | None) -> str:
     """What a season and an episode add to a search text; 0 counts as absent."""
     return (f"S{season:02d}" if season else "") + (f"E{episode:02d}" if episode else "")

@@ -6,8 +6,9 @@ to case unless the comment says otherwise. The order is the order of precedence.
 
 from __future__ import annotations
 
-# All tables in this module must equal those of the catalogue whose results are to be matched.
+# Every table in this module must equal that of the catalogue whose results are to be matched; each is marked.
 
+# Fixed value.
 #: Group 1 is the season, group 2, where there is one, the episode.
 SEASON_EPISODE = [
     r"S(\d{1,2})E(\d{1,3})(?:-E?(\d{1,3}))?",
@@ -18,12 +19,14 @@ SEASON_EPISODE = [
     r"Season[\s._]?(\d{1,2})(?:[\s._-]|$)",
     r"S(\d{1,2})(?:[\s._-]Complete)?(?:[\s._-]|$)",
 ]
+# Fixed value.
 #: Where a title ends that no season pattern cuts.
 EPISODE_ONLY = [
     r"Episode[\s._]?(\d{1,3})",
     r"[\s._-]E(\d{1,3})(?:[\s._-]|$)",
     r"Cap[\s._]?(\d{1,3})(?:[\s._-]|$)",
 ]
+# Fixed value.
 RESOLUTION = [
     ("2160p", r"[\s._-](2160p|4k|uhd)(?:[\s._-]|$)"),
     ("1080p", r"[\s._-](1080p|1080i|fhd)(?:[\s._-]|$)"),
@@ -31,6 +34,7 @@ RESOLUTION = [
     ("576p", r"[\s._-](576p|576i)(?:[\s._-]|$)"),
     ("480p", r"[\s._-](480p|480i|sd)(?:[\s._-]|$)"),
 ]
+# Fixed value.
 SOURCE = [
     ("bluray", r"[\s._-](BluRay|Blu-?Ray|BDRip|BDRemux|BRip|BRRip)(?:[\s._-]|$)"),
     ("web-dl", r"[\s._-](WEB-?DL|WEBDL)(?:[\s._-]|$)"),
@@ -41,6 +45,7 @@ SOURCE = [
     ("sdtv", r"[\s._-](SDTV|DSR|PDTV)(?:[\s._-]|$)"),
     ("dtheater", r"[\s._-]DTheater(?:[\s._-]|$)"),
 ]
+# Fixed value.
 CODEC = [
     ("av1", r"[\s._-]AV1(?:[\s._-]|$)"),
     ("hevc", r"[\s._-](HEVC|H\.?265|x265)(?:[\s._-]|$)"),
@@ -51,6 +56,7 @@ CODEC = [
     ("divx", r"[\s._-]DivX(?:[\s._-]|$)"),
     ("mpeg2", r"[\s._-]MPEG-?2(?:[\s._-]|$)"),
 ]
+# Fixed value.
 AUDIO = [
     ("atmos", r"[\s._-]Atmos(?:[\s._-]|$)"),
     ("truehd", r"[\s._-]TrueHD(?:[\s._-]|$)"),
@@ -65,6 +71,7 @@ AUDIO = [
     ("flac", r"[\s._-]FLAC(?:[\s._-]|$)"),
     ("lpcm", r"[\s._-]LPCM(?:[\s._-]|$)"),
 ]
+# Fixed value.
 #: The bare tag of the fourth rule also stands for Dolby Vision.
 HDR = [
     ("dolby-vision", r"[\s._-](Dolby[\s._-]?Vision|DoVi)(?:[\s._-]|$)"),
@@ -75,19 +82,28 @@ HDR = [
     ("bt2020", r"[\s._-]BT\.?2020(?:[\s._-]|$)"),
     ("hybrid", r"[\s._-]Hybrid(?:[\s._-]|$)"),
 ]
+# Fixed value.
 YEAR_IN_PARENTHESES = r"\((\d{4})\)"
+# Fixed value.
 YEAR = r"[\s._-](\d{4})(?:[\s._-]|$)"
+# Fixed value.
 REMUX = r"[\s._-](REMUX|Remux)(?:[\s._-]|$)"
+# Fixed value.
 GROUP = r"[\s._-]([A-Za-z][A-Za-z0-9]{1,19})$"
+# Fixed value.
 SUBGROUP = r"^\[([^\]]+)\]"
+# Fixed value.
 ANIME_EPISODE = r"[\s._-](\d{2,4})(?:v\d)?(?:[\s._\[(]|$)"
+# Fixed value.
 IMDB_ID = r"(tt\d{7,9})"
+# Fixed value.
 ANIME = [
     r"^\[[^\]]+\]\s*[^\[]+\s*[\s._-]\d{2,4}(?:v\d)?(?:[\s._\[(]|$)",
     r"\[.*?(?:fansub|subs?|anime)\]",
     r"[\s._-](Hi10P|Hi10|Hi444PP)[\s._-]",
     r"[\s._-](Dual[\s._-]?Audio)[\s._-]",
 ]
+# Fixed value.
 TV = [
     r"S\d{1,2}E\d{1,3}",
     r"Season[\s._]?\d{1,2}",
@@ -97,10 +113,12 @@ TV = [
     r"Temp(?:orada)?[\s._]?\d{1,2}",
     r"Cap[\s._]?\d{1,3}",
 ]
+# Fixed value.
 MOVIE = [
     r"\(\d{4}\).*(?:480p|720p|1080p|2160p|4K|UHD)",
     r"(?:480p|720p|1080p|2160p|4K|UHD).*tt\d{7,9}",
 ]
+# Fixed value.
 #: Tags that end a title; separators stand before, and any tail of tag characters goes with them.
 TITLE_TAGS = (
     r"480p|720p|1080p|1080i|2160p|4k|uhd|fhd|sd|bluray|blu-?ray|web-?dl|webdl|webrip|web|webmux|hdtv|dvdrip|bdrip|"
@@ -111,12 +129,16 @@ TITLE_TAGS = (
     r"rus|russian|kor|korean|jpn|japanese|chi|chinese|hindi|por|portuguese|dub|dubbed|subbed|subs?|msubs|"
     r"multi[\s._-]?subs?|vostfr|castellano|dual|10bit|8bit|flac|lpcm|eac3|ddp|aac2\.0|h\.?264|h\.?265"
 )
+# Fixed value.
 TITLE_TAIL = rf"[\s._-]+(?:{TITLE_TAGS})[\s._\w\-\+\~]*$"
+# Fixed value.
 #: Site names before a title. Only the first is matched without regard to case.
 WATERMARKS = [r"^(?:www\.)\S+\.\S+\s+[-–—]\s+", r"^[^\s@]+@[^\s@]+@", r"^[^\s@]+\.(?:com|net|org|cc|io|me|xyz|top)@"]
+# Fixed value.
 VIDEO_EXTENSIONS = [
     ".mkv", ".mp4", ".avi", ".wmv", ".ts", ".m2ts", ".mov", ".m4v", ".webm", ".flv", ".mpg", ".mpeg", ".vob", ".ogv",
 ]
+# Fixed value.
 #: Archives, programs, mobile packages, disk images, libraries, documents, game data, links.
 JUNK_EXTENSIONS = [
     ".rar", ".zip", ".7z", ".tar", ".gz", ".bz2", ".xz", ".zst", ".cab", ".ace", ".exe", ".msi", ".bat", ".cmd",
@@ -126,12 +148,15 @@ JUNK_EXTENSIONS = [
     ".azw3", ".cbr", ".cbz", ".xls", ".xlsx", ".ppt", ".pptx", ".pak", ".vpk", ".wad", ".bsp", ".unity3d", ".assets",
     ".dat", ".torrent", ".lnk",
 ]
+# Fixed value.
 AUDIO_EXTENSIONS = [
     ".mp3", ".flac", ".ogg", ".wav", ".m4a", ".opus", ".wma", ".aac", ".ape", ".alac",
 ]
+# Fixed value.
 SUBTITLE_EXTENSIONS = [
     ".srt", ".ass", ".ssa", ".sub", ".idx", ".sup",
 ]
+# Fixed value.
 JUNK_NAME = [
     r"[\s._-](crack|keygen|patch|serial|activat|loader)[\s._-]",
     r"[\s._-](portable|repack|setup|install)[\s._-]",
@@ -143,6 +168,7 @@ JUNK_NAME = [
     r"(?:^|[\s._\[-])(FLAC|MP3|320kbps|V0|CBR|VBR|WEB-FLAC|Lossless|Hi-?Res|24bit|16bit|44\.1kHz|48kHz|96kHz|192kHz)(?:[\s._\]-]|$)",
     r"(?:^|[\s._\[-])(Discography|Discografia|Mixtape|Greatest\.?Hits|Best\.?Of|Live\.?Album)(?:[\s._\]-]|$)",
 ]
+# Fixed value.
 #: Names that look like anime are not held against the first two.
 ADULT = [
     r"(?:^|[\s._\[@])([A-Z0-9]{2,10})-(\d{3,5})(?:-?[A-Z])?(?:[\s._\]@]|$)",
@@ -158,16 +184,20 @@ ADULT = [
     r"(?:sex8\.cc|91porn|pornhub|xvideos|xhamster|xnxx|javbus|javlib|avgle|18p2p|hjd2048|69av|theporn|selang|suu55|色狼网|性吧|swag\.live|麻豆传媒|蜜桃传媒|果冻传媒|星空传媒|天美传媒|madoubt\.com|caribbeancom|1pondo|heyzo|tokyohot|10musume|kin8tengoku|pacopacomama|383229\.xyz|1024core|t66y|thz\.la|sehuatang|onejav|javmost|javfinder|javguru|javhdporn|javbangers|javhd\.pro|supjav|missav|jable\.tv|XiuRen|MyGirl|Ugirls|Youmi|Xiaoyu|HuaYang|MFStar|MiStar|51vv|91porn\.com|caoliu|1024cl|t66y\.com|草榴|色中色|香蕉社区|Yurievij)",
     r"(?:^|[\s._-])(Udemy|Coursera|Masterclass|Tutorial|Bootcamp|Course|Certification|Learn\s+\w+\s+in|Complete\s+Guide|from\s+Zero\s+to\s+Hero)(?:[\s._-]|$)",
 ]
+# Fixed value.
 ANIME_KEYWORDS = [
     "fansub", "anime", "hi10p", "hi10", "dual-audio", "dual audio",
 ]
+# Fixed value.
 TV_KEYWORDS = [
     "s01e", "s02e", "s03e", "s04e", "s05e", "s06e", "s07e", "s08e", "s09e", "s10e", "complete series",
     "complete season", "season 1", "season 2", "season 3", "temporada", "temp.", "cap.",
 ]
+# Fixed value.
 MOVIE_KEYWORDS = [
     "bluray", "blu-ray", "web-dl", "webdl", "remux", "imax",
 ]
+# Fixed value.
 #: Ordered quality levels by substrings of the lower-case name.
 QUALITY_WORDS = [
     ("uhd", ["2160p", "4k", "uhd"]),
@@ -175,9 +205,20 @@ QUALITY_WORDS = [
     ("hd", ["720p", "720i"]),
     ("sd", ["480p", "480i", "576p", "576i", "dvdrip", "dvd-rip", "sdtv", "dsr", "xvid", "divx"]),
 ]
+# Fixed value.
 QUALITY_OF_RESOLUTION = {"2160p": "uhd", "1080p": "fhd", "720p": "hd", "576p": "sd", "480p": "sd"}
+# Fixed value.
 CATEGORIES = ["movie", "tv", "anime", "unknown"]
+# Fixed value.
 QUALITIES = ["unknown", "sd", "hd", "fhd", "uhd"]
+# Fixed value.
 MATCH_STATES = ["unmatched", "matched", "failed"]
+# Fixed value.
 SOURCES = ["dht", "bitmagnet"]
+# Fixed value.
 EPISODE_FILE = [r"[\s._-](\d{1,3})(?:[\s._-]|$)", r"S\d{1,2}E\d{1,2}", r"Episode[\s._]?\d{1,3}"]
+# Fixed value.
+#: Parts of anime titles that count as white space, in this order, and ends that are dropped.
+ANIME_SPACED = [r"\[[^\]]*\]", r"\([^)]*\)", r"[._-]", r"\b(?:season\s*\d+|\d+(?:st|nd|rd|th)\s*season|part\s*\d+|cour\s*\d+)\b", r"\s+"]
+# Fixed value.
+ANIME_TAILS = [r"\s+(?:ii|iii|iv|v|vi|vii|viii|ix|x)", r"\s+(?:batch|complete|the\s+animation)"]

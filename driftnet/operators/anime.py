@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftnet.functions import rules as R
+
 # Prefixes of source links with the column of the id behind each.
 ID_LINKS = [("https://anilist.co/anime/", "anilist_id"), ("https://kitsu.app/anime/", "kitsu_id"), ("https://kitsu.io/anime/", "kitsu_id"), ("https://myanimelist.net/anime/", "mal_id"), ("https://anidb.net/anime/", "anidb_id")]
 DUMP = "data array<struct<sources: array<string>, title: string, synonyms: array<string>, animeSeason: struct<year: int>>>"
@@ -13,10 +15,12 @@ SHORT_WORD, SHORT_TRIM, TRIMS = 4, 8, 3
 
 def normalize(title: Column) -> Column:
     t = F.lower(title)
-    for pattern, by in ((r"\[[^\]]*\]", " "), (r"\([^)]*\)", " "), (r"[._-]", " "), (r"\b(?:season\s*\d+|\d+(?:st|nd|rd|th)\s*season|part\s*\d+|cour\s*\d+)\b", " "), (r"\s+", " ")):
-        t = F.regexp_replace(t, pattern, by)
-    t = F.regexp_replace(F.trim(t), r"\s+(?:ii|iii|iv|v|vi|vii|viii|ix|x)\z", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+(?:batch|complete|the\s+animation)\z", ""), r"\s+", " "))
+    for pattern in R.ANIME_SPACED:
+        t = F.regexp_replace(t, pattern, " ")
+    t = F.trim(t)
+    for pattern in R.ANIME_TAILS:
+        t = F.regexp_replace(t, pattern + r"\z", "")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def admitted(norm: Column) -> Column:

@@ -58,7 +58,7 @@ def by_external_id(rows: DataFrame, kind: str, value: str) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """A page with the total of all rows beside each; the count shares the scan of the page."""
+    """A page with the total of all rows beside each; the total is a second, narrow aggregate over the same rows."""
     every = rows.agg(F.count("*").alias("total"))  # one row
     return rows.orderBy(*order).offset(max(offset, 0)).limit(limit).crossJoin(F.broadcast(every))
 

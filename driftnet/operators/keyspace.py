@@ -11,13 +11,19 @@ BUCKET = 80
 NEAREST = 8
 
 
-def closest(queries: DataFrame, nodes: DataFrame, k: int = NEAREST, bits: int = 12) -> DataFrame:
+def closest(queries: DataFrame, nodes: DataFrame, k: int = NEAREST, bits: int = 0) -> DataFrame:
     """target, id, distance, rank: the k nodes nearest to each target under XOR, exactly.
 
     A nearer node shares a longer prefix with the target. Nodes are counted by prefix for each length up to `bits`; a target
     reads only the nodes below its longest prefix that has at least k of them, an equi join. Where no prefix of any
-    length has k, the empty prefix takes all nodes.
+    length has k, the empty prefix takes all nodes. bits = 0 takes the length at which prefixes have about k nodes, so that the
+    nodes read for a target do not grow with their number.
     """
+    if bits <= 0:
+        n = nodes.count()
+        bits = 4
+        while n > k << bits and bits < 120:
+            bits += 4
     lengths = F.explode(F.sequence(F.lit(0), F.lit(bits), F.lit(4))).alias("len")
     head = lambda c: F.substring(c, F.lit(1), (F.col("len") / 4).cast("int"))
     sizes = nodes.select("id", lengths).select("len", head(F.col("id")).alias("prefix")).groupBy("len", "prefix").agg(F.count("*").alias("n")).filter((F.col("n") >= k) | (F.col("len") == 0))

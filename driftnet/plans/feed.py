@@ -52,6 +52,16 @@ def external_id_precedence(spark, d):
     return view(spark, d, "customer").select("c_custkey", X.external_id(imdb, tmdb, F.when(F.col("c_custkey") % 5 == 0, k)).alias("id"))
 
 
+@query("SELECT o_orderkey AS k, CASE WHEN n IS NULL OR o_orderkey % 7 = 0 THEN 0 ELSE n END AS n, CASE WHEN n IS NULL OR o_orderkey % 7 = 0 THEN 0 ELSE total END AS total FROM orders LEFT JOIN (SELECT k, CAST(count(*) AS INTEGER) AS n, CAST(sum(size) AS BIGINT) AS total FROM files GROUP BY k) f ON f.k = o_orderkey", "files")
+def stored_files(spark, d):
+    """File lists written as JSON and read back; every seventh is broken on the way."""
+    files = view(spark, d, "files").groupBy("k").agg(F.collect_list(F.struct("path", "size")).alias("files"))
+    rows = view(spark, d, "orders").select(F.col("o_orderkey").alias("k")).join(files, "k", "left").withColumn("stored", X.files_json(F.col("files")))
+    broken = F.when(F.col("k") % 7 == 0, F.substring("stored", 1, 9)).otherwise(F.col("stored"))
+    back = rows.select("k", X.files_of(broken).alias("back"))
+    return back.select("k", F.size("back").alias("n"), F.aggregate("back", F.lit(0).cast("long"), lambda a, f: a + f["size"]).alias("total"))
+
+
 @query()
 def feed_rss(spark, d):
     rows = X.with_feed_columns(view(spark, d, "catalog")).select("info_hash", "name", "size", "attrs", "discovered_at")

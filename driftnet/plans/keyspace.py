@@ -85,3 +85,14 @@ def id_parse_and_mark(spark, d):
     i, even = F.col("id"), F.col("last_responded") % 2 == 0
     raw = F.when(even, F.concat(F.lit(" 0x"), F.upper(i))).otherwise(F.concat(i, F.lit("0")))
     return nodes(spark, d).select("id", B.parse_id(raw).alias("parsed"), B.with_client_marker(i, "2d4d54", "ff").alias("marked"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 40000 ELSE CAST(c_custkey % 9000 AS INTEGER) END AS port, concat('8', substr(sha1('x'), 2, 38), '0') AS marked FROM customer")
+def announced_ports(spark, d):
+    """Ports by the implied-port flag, and a key with its first digit set to 8 and its last to 0, bit by bit."""
+    k = F.col("c_custkey")
+    key = F.sha1(F.lit("x").cast("binary"))
+    for place, on in ((0, True), (1, False), (2, False), (3, False), (156, False), (157, False), (158, False), (159, False)):
+        key = B.set_bit(key, place, on)
+    port = B.announced_port(F.when(k % 3 == 1, 1), (k % 9000).cast("int"), F.lit(40000))
+    return view(spark, d, "customer").select("c_custkey", port.alias("port"), key.alias("marked"))

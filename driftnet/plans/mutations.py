@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftnet.operators import catalog as C
 from driftnet.operators import mutate as M
 from driftnet.plans.registry import query
 from driftnet.session import shared_dir
@@ -143,11 +142,19 @@ def backup_roundtrip(spark, d):
 @query("SELECT name, last_run, CASE WHEN every > 0 THEN last_run + every ELSE 0 END AS next_run, failed FROM (SELECT event_type AS name, max(seen_at) AS last_run, CASE event_type WHEN 'view' THEN 60 ELSE 0 END AS every, arg_max(user_even, (seen_at, event_id)) AS failed FROM (SELECT *, node_id % 2 = 0 AS user_even FROM discoveries) GROUP BY event_type)", "discoveries")
 def task_registry(spark, d):
     runs = view(spark, d, "discoveries").select(F.col("event_type").alias("name"), "seen_at", "event_id", (F.col("node_id") % 2 == 0).alias("failed"))
-    last = C.first_wins(runs, ["name"], [F.desc("seen_at"), F.desc("event_id")])
+    last = runs.groupBy("name").agg(F.max("seen_at").alias("seen_at"), F.max_by("failed", F.struct("seen_at", "event_id")).alias("failed"))
     every = F.when(F.col("name") == "view", 60).otherwise(0)
     return last.select("name", F.col("seen_at").alias("last_run"), F.when(every > 0, F.col("seen_at") + every).otherwise(0).alias("next_run"), "failed")
 
 
+@query(f"""SELECT c.info_hash, greatest(seeders, complete, 0) AS seeders, greatest(leechers, incomplete, 0) AS leechers FROM catalog c JOIN ({RESULTS}) r ON r.info_hash = c.info_hash
+WHERE greatest(seeders, complete, 0) > seeders OR greatest(leechers, incomplete, 0) > leechers""", "catalog")
+def refresh_on_arrival(spark, d):
+    from driftnet.streaming import pipeline as P
+
+    return P.refresh_on_arrival(view(spark, d, "catalog"), scraped(spark, d))
+
+
 @query("SELECT k AS hash_key, addr, max(seen_at) AS seen_at FROM (SELECT info_hash AS k, CAST(node_id % 50 AS VARCHAR) AS addr, seen_at FROM discoveries) GROUP BY ALL", "discoveries")
 def announce_peers(spark, d):
     seen = view(spark, d, "discoveries").select(F.col("info_hash").alias("hash_key"), (F.col("node_id") % 50).cast("string").alias("addr"), "seen_at")

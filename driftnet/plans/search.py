@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftnet.functions import feed as X
 from driftnet.operators import catalog as C
 from driftnet.operators import search as S
 from driftnet.plans.registry import query
@@ -21,6 +22,16 @@ def search_prefix_page(spark, d):
     return C.page(S.search(rows, "Small ri").select("info_hash", "name", "discovered_at"), C.total_order("discovered_at"), 50)
 
 
+EPISODE_HIT = "list_contains({w}, 'small') AND len(list_filter({w}, lambda w: starts_with(w, 's05e'))) > 0"
+
+
+@query(f"SELECT info_hash FROM catalog WHERE {EPISODE_HIT.format(w=WORDS.format('name'))}", "catalog")
+def search_season_suffix(spark, d):
+    """A title with what a season and an episode add: the last token is a prefix, so a season alone finds all its episodes."""
+    found = S.search(view(spark, d, "catalog").select("info_hash", "name"), f"small {X.search_suffix(5, None)}e")
+    return found.select("info_hash")
+
+
 @query(f"SELECT info_hash FROM catalog WHERE {HIT.format(w=WORDS.format('name'))}", "catalog")
 def search_inverted_index(spark, d):
     return S.search_index(S.inverted_index(view(spark, d, "catalog").select("info_hash", "name")), "small ri")

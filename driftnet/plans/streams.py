@@ -53,23 +53,25 @@ def sliding_window_batch(spark, d):
     return P.sliding_counts(arrivals(spark, d).select(F.timestamp_seconds("seen_at").alias("at")))
 
 
-@query()
+@query("SELECT CAST(floor(seen_at / 10) * 10 - 10 * i AS BIGINT) AS start, count(*) AS n FROM discoveries, range(0, 6) t(i) GROUP BY 1", "discoveries")
 def sliding_window_stream(spark, d):
-    return P.drain(P.sliding_counts(P.stream(spark, d)))
+    return P.drain_updates(P.sliding_counts(P.stream(spark, d)), ["start"], "n")
 
 
-TXN = "SELECT event_id % 50 AS txn, seen_at, event_id FROM discoveries WHERE event_type {0} 'view'"
+#: Ten minutes of the table stand for a second, so that requests and answers lie near each other.
+TXN = "SELECT event_id % 3 AS txn, seen_at // 600 AS seen_at, event_id FROM discoveries WHERE event_type {0} 'view'"
+PAIRS = f"SELECT q.event_id AS request_id, a.event_id AS answer_id FROM ({TXN.format('=')}) q JOIN ({TXN.format('!=')}) a ON q.txn = a.txn AND a.seen_at BETWEEN q.seen_at AND q.seen_at + 4"
 
 
-@query(f"SELECT q.event_id AS request_id, a.event_id AS answer_id FROM ({TXN.format('=')}) q JOIN ({TXN.format('!=')}) a ON q.txn = a.txn AND a.seen_at BETWEEN q.seen_at AND q.seen_at + 4", "discoveries")
+@query(PAIRS, "discoveries")
 def txn_interval_join(spark, d):
-    rows = arrivals(spark, d).select((F.col("event_id") % 50).alias("txn"), F.timestamp_seconds("seen_at").alias("at"), "event_id", "event_type")
+    rows = arrivals(spark, d).select((F.col("event_id") % 3).alias("txn"), F.timestamp_seconds(F.floor(F.col("seen_at") / 600)).alias("at"), "event_id", "event_type")
     return P.correlate(rows.filter("event_type = 'view'"), rows.filter("event_type != 'view'"))
 
 
-@query()
+@query(PAIRS, "discoveries")
 def txn_interval_join_stream(spark, d):
-    rows = P.stream(spark, d).withColumn("txn", F.col("event_id") % 50).withColumn("at", F.date_trunc("second", "at"))
+    rows = P.stream(spark, d).withColumn("txn", F.col("event_id") % 3).withColumn("at", F.timestamp_seconds(F.floor(F.unix_seconds("at") / 600)))
     return P.drain(P.correlate(rows.filter("event_type = 'view'"), rows.filter("event_type != 'view'")))
 
 
@@ -92,6 +94,16 @@ def build_rows(spark, d):
     return P.build_rows(rows).select("k", "verdict", "category", "quality", "title", "year", "imdb_id")
 
 
+@query(f"{FILED}, v AS (SELECT k, {Q.adult()} OR ({Q.any_of('name', Q.R.JUNK_NAME)} AND NOT {Q.signals()}) OR {Q.junk_files()} AS junk, {Q.category()} AS category, total > 0 AND coalesce(video / total > 0.80, FALSE) AS media FROM filed) SELECT sha1(CAST(k AS VARCHAR)) AS info_hash, NOT junk AND (category != 'unknown' OR media) AS kept FROM v", "catalog files")
+def persist_batch(spark, d):
+    """Each hash arrives twice; the first arrival decides whether it becomes a row or a reject."""
+    files = view(spark, d, "files").groupBy("k").agg(F.collect_list(F.struct("path", "size")).alias("files"))
+    own = view(spark, d, "catalog").select("k", "info_hash", "name", "size").join(files, "k", "left").withColumn("arrival", F.lit(0))
+    again = own.withColumns({"arrival": F.lit(1), "name": F.lit("later"), "files": F.lit(None).cast("array<struct<path:string,size:bigint>>")})
+    rows, rejects = P.persist(own.unionByName(again))
+    return rows.select("info_hash", F.lit(True).alias("kept")).unionByName(rejects.select("info_hash", F.lit(False).alias("kept")))
+
+
 @query("SELECT k, concat_ws('; ', CASE WHEN octet_length(encode(name)) < 8 THEN 'name too short' END, CASE WHEN size < 1024 THEN 'size too small' END) AS errors FROM (SELECT k, substr(name, 1, CAST(k % 20 + 1 AS BIGINT)) AS name, size % 5000 AS size FROM catalog)", "catalog")
 def metainfo_validation(spark, d):
     rows = view(spark, d, "catalog").select("k", F.substring(F.col("name"), F.lit(1), (F.col("k") % 20 + 1).cast("int")).alias("name"), (F.col("size") % 5000).alias("size"))

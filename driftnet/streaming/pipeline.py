@@ -54,6 +54,17 @@ def drain_batches(df: DataFrame, each: Callable[[DataFrame, int], DataFrame]) ->
     return spark.read.parquet(f"{root}/out").drop("batch")
 
 
+def drain_updates(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Runs an aggregation whose value only grows to its end, open windows included; the greatest value that a key was given is its last."""
+    spark, root = df.sparkSession, work_dir(df.sparkSession)
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={k}")
+
+    df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/out").groupBy(*key).agg(F.max(value).alias(value))
+
+
 def unseen(df: DataFrame, within: str = SEEN_FOR) -> DataFrame:
     """The first arrival of each hash within the time that arrivals may be late; exact where a seen-set would guess."""
     return df.withWatermark("at", within).dropDuplicatesWithinWatermark(["info_hash"]) if df.isStreaming else df.dropDuplicates(["info_hash"])
@@ -88,10 +99,11 @@ def build_rows(metadata: DataFrame, filters: K.Filters = K.Filters()) -> DataFra
     """
     rows = metadata.withColumn("files", F.slice("files", 1, MOST_FILES))
     name, sums = F.col("name"), F.col("sums")
-    rows = rows.select("*", N.once(K.file_sums(F.col("files"))).alias("sums"))
-    rows = rows.select("*", K.is_junk(name, sums, filters).alias("junk"), K.category(name, sums).alias("category"), N.quality_by_words(name).alias("quality"), N.title(name).alias("title"), N.year(name).alias("year"), N.imdb_id(name).alias("imdb_id"))
+    s = F.col("signals")
+    rows = rows.select("*", N.once(K.file_sums(F.col("files"))).alias("sums")).select("*", N.once(K.signals(name)).alias("signals"))
+    rows = rows.select("*", K.is_junk(name, sums, filters, s=s).alias("junk"), K.category(name, sums, s).alias("category"), s["by_words"].alias("quality"), N.title(name, s).alias("title"), s["year"].alias("year"), s["imdb_id"].alias("imdb_id"))
     verdict = F.when(F.col("junk"), "junk").when((F.col("category") == "unknown") & ~F.coalesce(K.has_media_files(sums), F.lit(False)), "no media").otherwise("keep")
-    return rows.withColumn("verdict", verdict).drop("junk")
+    return rows.withColumn("verdict", verdict).drop("junk", "signals")
 
 
 def persist(batch: DataFrame, filters: K.Filters = K.Filters()) -> tuple[DataFrame, DataFrame]:
