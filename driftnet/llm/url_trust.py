@@ -15,8 +15,8 @@ from driftnet.llm.common import spool
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING = 0.85
 ROUNDS = 10
-#: Absolute links and bare host names in a page.
-HOST_NAME = r"(?:[a-z0-9][a-z0-9-]*\.)+[a-z]{2,}"
+#: Absolute links in a page.
+LINK = r"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20<>\x22\x27]+"
 
 
 def after_scheme(url: Column) -> Column:
@@ -48,7 +48,7 @@ def host_scores(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, dampin
     """host, trust, distrust, each of sum 1 (or 0 without seeds).
 
     hosts: host, n_pages, n_allow, n_block, one row per host; links: src, dst, n between such hosts. A host's seed
-    weight is the share of its pages that rules allow or block. Mass that meets a host without links goes out of the
+    weight is the share of its pages that rules allow or block. After the rounds at most damping ** rounds of the mass is left to be walked on. Mass that meets a host without links goes out of the
     walk; the end sums are scaled to 1.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("out_n"))
@@ -77,19 +77,23 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rou
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages.
 
     pages needs page_id, url and html; other columns are ignored, whatever their names. A null url and one without
-    :// have an empty host and path, fit no rule and are allowed; a null html has no links. Repeated rows are judged alike and each counts. Links
-    count between hosts that have pages; links of a host to itself do not. trust and distrust are 0 where no walk arrives.
+    :// have an empty host and path, fit no rule and are allowed; a null html has no links. Repeated rows are judged alike and each counts. Whole
+    pages are read, whatever their length. A link is an absolute address in a page; it counts once for a page and a target path, links of a host to itself do
+    not. Hosts that are only linked are nodes as well: the rules judge the links to them, so that a blocked host that was never fetched still
+    spreads distrust. trust and distrust are 0 where no walk arrives.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     ruled = split.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules, "rule")).withColumn("said", rule_column(F.col("host"), F.col("path"), rules, "verdict"))
     count = lambda v: F.sum(F.when(F.col("said") == v, 1).otherwise(0)).alias(f"n_{v}")
     hosts = spool(ruled.filter("host != ''").groupBy("host").agg(F.count("*").alias("n_pages"), count("allow"), count("block")), "hosts")
-    names = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(HOST_NAME), F.lit(0)))
-    mentions = split.filter("host != ''").select(F.col("host").alias("src"), F.explode(names).alias("dst")).filter("src != dst")
-    known = hosts.select("host")
-    links = mentions.groupBy("src", "dst").agg(F.count("*").alias("n")).join(known, F.col("dst") == F.col("host"), "left_semi")
-    scores = host_scores(hosts, spool(links, "host-links"), rounds)
+    targets = F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(0)), lambda u: F.struct(host_of(u).alias("dst"), path_of(u).alias("dst_path")))
+    mentions = split.filter("host != ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(targets)).alias("to")).select("src", "to.*").filter("dst != '' AND src != dst")
+    said = mentions.withColumn("said", rule_column(F.col("dst"), F.col("dst_path"), rules, "verdict"))
+    links = spool(said.groupBy("src", "dst").agg(F.count("*").alias("n"), count("allow"), count("block")), "host-links")
+    linked = links.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("n_pages"), F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block"))
+    hosts = spool(hosts.unionByName(linked.join(hosts, "host", "left_anti")), "nodes")
+    scores = host_scores(hosts, links.select("src", "dst", "n"), rounds)
     n_hosts = hosts.agg(F.count("*").alias("n_hosts"))  # one row
     bad = F.round(F.col("distrust") - F.col("trust"), 9).__gt__(0) & (F.round(F.col("distrust") * F.col("n_hosts"), 9) > 1)
     judged = spool(scores.crossJoin(F.broadcast(n_hosts)).select("host", "trust", "distrust", bad.alias("bad")), "host-verdicts")
@@ -110,8 +114,11 @@ def judge_pages_sql(rules: list[tuple[str, str, str]] = RULES, rounds: int = ROU
 split AS MATERIALIZED (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 ruled AS MATERIALIZED (SELECT *, {case("rule")} AS rule, {case("verdict")} AS said FROM split),
-hosts AS MATERIALIZED (SELECT host, count(*) AS n_pages, count(*) FILTER (said = 'allow') AS n_allow, count(*) FILTER (said = 'block') AS n_block FROM ruled WHERE host != '' GROUP BY host),
-links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, unnest(list_distinct(regexp_extract_all(lower(html), '{HOST_NAME}'))) AS dst FROM split WHERE host != '') WHERE src != dst AND dst IN (SELECT host FROM hosts) GROUP BY 1, 2),
+paged AS MATERIALIZED (SELECT host, count(*) AS n_pages, count(*) FILTER (said = 'allow') AS n_allow, count(*) FILTER (said = 'block') AS n_block FROM ruled WHERE host != '' GROUP BY host),
+mentions AS MATERIALIZED (SELECT src, t.h AS host, t.p AS path FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{LINK}'), lambda u: {{
+  'h': translate(regexp_extract(u, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'p': regexp_extract(u, '://[^/?#]*([^?#]*)', 1)}}))) AS t FROM split WHERE host != '') WHERE t.h != '' AND src != t.h),
+links AS MATERIALIZED (SELECT src, host AS dst, count(*) AS n, count(*) FILTER (said = 'allow') AS n_allow, count(*) FILTER (said = 'block') AS n_block FROM (SELECT *, {case("verdict")} AS said FROM mentions) GROUP BY 1, 2),
+hosts AS MATERIALIZED (SELECT * FROM paged UNION ALL SELECT dst, sum(n), sum(n_allow), sum(n_block) FROM links WHERE dst NOT IN (SELECT host FROM paged) GROUP BY 1),
 steps AS MATERIALIZED (SELECT 'trust' AS walk, src AS host, dst AS "to", n / sum(n) OVER (PARTITION BY src) AS w FROM links
   UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
 raw AS MATERIALIZED (SELECT 'trust' AS walk, host, n_allow / n_pages AS s FROM hosts WHERE n_allow > 0 UNION ALL SELECT 'distrust', host, n_block / n_pages FROM hosts WHERE n_block > 0),

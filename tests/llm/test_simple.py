@@ -8,7 +8,9 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -296,6 +298,70 @@ def test_url_parts_and_trust(spark):
     assert url_trust.judge_pages(pages.limit(0)).count() == 0
 
 
+def brute_trust(pages):
+    """Verdicts in plain Python: rules, then trust along links and distrust against them, by ten rounds of a walk with restarts."""
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+    def cut(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def rule(host, path):
+        fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        return max(fit, key=lambda r: len(r[1] + r[2]))[0] if fit else None
+
+    told, links = {}, Counter()
+    for url, html in pages:
+        host, path = cut(url)
+        if host:
+            told.setdefault(host, []).append(rule(host, path))
+    seen = {}
+    for url, html in pages:
+        src = cut(url)[0]
+        for dst, path in {cut(u) for u in re.findall(url_trust.LINK, html or "")} if src else ():
+            if dst and dst != src:
+                links[src, dst] += 1
+                seen.setdefault(dst, []).append(rule(dst, path))
+    told = seen | told
+
+    def walk(kind, edges):
+        seeds = {h: v.count(kind) / len(v) for h, v in told.items() if kind in v}
+        seeds = {h: s / sum(seeds.values()) for h, s in seeds.items()}
+        out = Counter()
+        for (a, _), n in edges.items():
+            out[a] += n
+        rank = dict(seeds)
+        for _ in range(10):
+            new = Counter({h: 0.15 * s for h, s in seeds.items()})
+            for (a, b), n in edges.items():
+                new[b] += 0.85 * rank.get(a, 0) * n / out[a]
+            rank = new
+        return {h: r / sum(rank.values()) for h, r in rank.items()} if seeds else {}
+
+    trust, distrust = walk("allow", links), walk("block", Counter({(b, a): n for (a, b), n in links.items()}))
+    bad = {h for h in told if round(distrust.get(h, 0) - trust.get(h, 0), 9) > 0 and round(distrust.get(h, 0) * len(told), 9) > 1}
+    return [rule(*cut(u)) or ("block" if cut(u)[0] in bad else "allow") for u, _ in pages]
+
+
+def test_verdicts_against_plain_python(spark):
+    """Blocked hosts without pages of their own, ports, one label, links in all places."""
+    rng = random.Random(6)
+    hosts = ["hub.io", "a.org", "b.org", "bad.net", "worse.net:8080", "localhost", "fan.io", "x.example.net", "y.example.com", "solo.io"]
+    pages = [("http://hub.io/x", 'see <a href="http://bad.net/">'), ("http://fan.io/", "http://worse.net:8080/p and http://hub.io/"), ("http://solo.io/", None), (None, "http://bad.net/"), ("http://solo.io/", "no link")]
+    for _ in range(60):
+        pages.append((f"http://{rng.choice([h for h in hosts if 'net' not in h])}/{rng.choice(['fr/', 'de/', 'en/', ''])}", " ".join(f"<a href='HTTP://{rng.choice(hosts)}/{rng.choice(['fr/', 'de/', 'en/', ''])}?q'>" for _ in range(rng.randint(0, 3)))))
+    frame = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string").withColumns({"dst": F.lit("clash"), "n": F.lit(1)})
+    out = {r["page_id"]: r["verdict"] for r in url_trust.judge_pages(frame).collect()}
+    want = brute_trust(pages)
+    assert [out[k] for k in range(len(pages))] == want
+    assert want[1] == "block"  # fan.io, which only links to a blocked host without pages, and to hub.io
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], columns=["page_id", "url", "html"]))
+    told = con.execute(url_trust.judge_pages_sql())
+    names = [c[0] for c in told.description]
+    assert {r[names.index("page_id")]: r[names.index("verdict")] for r in told.fetchall()} == out
+
+
 def test_distrust_goes_against_links(spark):
     hosts = spark.createDataFrame([("good", 1, 1, 0), ("bad", 1, 0, 1), ("friend", 1, 0, 0), ("fan", 1, 0, 0)], "host string, n_pages long, n_allow long, n_block long")
     links = spark.createDataFrame([("good", "friend", 1), ("fan", "bad", 3)], "src string, dst string, n long")
