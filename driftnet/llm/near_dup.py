@@ -190,7 +190,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def class_links(docs: DataFrame, signed: DataFrame, width: int, percent: int, agree: int) -> DataFrame:
     """Links a - b between classes (marks of sets), enough to connect every component."""
     spark = docs.sparkSession
-    classes = spool(signed.filter("mark IS NOT NULL").groupBy("mark").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    classes = spool(signed.filter("mark IS NOT NULL").groupBy("mark").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
 
     def posted(df: DataFrame, coordinates: int) -> DataFrame:
         at = F.posexplode(F.slice("sig", 1, coordinates)).alias("i", "v")
@@ -213,7 +213,7 @@ def class_links(docs: DataFrame, signed: DataFrame, width: int, percent: int, ag
     leaders = prefix.groupBy("token").agg(F.min("mark").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     met = spool(prefix.join(leaders, "token").select("leader", "mark").distinct(), "met")
     wanted = met.select("mark").distinct()
-    ids = signed.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    ids = likely.join(wanted, "mark", "left_semi").select("doc_id")
     texts = docs.select("doc_id", "text").join(ids.select(F.col("doc_id").alias("own")), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
     sets = texts.mapInArrow(full_sets(width), "mark binary, shingles binary").dropDuplicates(["mark"])
     data = spool(sets.join(likely.select("mark", "sig", "n"), "mark"), "sets")
