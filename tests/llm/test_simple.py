@@ -46,6 +46,16 @@ def test_token_counts(docs):
     assert token_count.count_tokens(docs.limit(0), 512).count() == 0
 
 
+def test_long_words_merge_as_short_ones_do():
+    rng = random.Random(5)
+    path = public_tokenizers.path(token_count.VOCABULARY)
+    merger, library = token_count.RankMerger(path), Tokenizer.from_file(path)
+    short = [bytes(rng.choices(b"abcdeeeaastno\xc3\xa9 ", k=rng.randint(1, 60))) for _ in range(1000)] + [b"a" * n for n in range(1, 90)] + [b"ab" * n for n in range(1, 40)]
+    assert merger.counts(short).tolist() == [merger.long_count(s) for s in short]
+    words = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (token_count.LONG, token_count.LONG + 1, 5000, 200_000)] + ["a" * 30_001, "ab" * 3001]
+    assert merger.counts([w.encode() for w in words]).tolist() == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+
+
 @pytest.mark.parametrize("chunk", [bpe.CHUNK, 100, 1])
 def test_bpe_round_trip(docs, chunk):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
