@@ -8,7 +8,9 @@
    posting list leads it; classes meet under their leaders, so a list never spells out its pairs.
 4. Within the group of a leader, members post their coordinates again; postings of each member's rarest ones are merged, those that are joined
    already are skipped, collisions are counted, pairs above the match threshold are confirmed on the full sets, and only links that join two yet unjoined classes are given out (a spanning forest, which keeps the components).
-   Groups beyond BLOCK shingles are cut into blocks, and all pairs of blocks are worked in parallel.
+   Groups beyond BLOCK shingles are cut into blocks. Each block is worked by itself, together with about GUESTS members of the whole group;
+   in a group of near copies this joins most members. Only members outside the group's largest component by then (strays) meet the other blocks, so
+   such a group costs its size and not the square of it.
 5. Components of the links give each document the least doc_id it reaches.
 
 A pair at similarity 0.8 agrees in fewer than `agree` of 128 coordinates with a probability below 1e-7.
@@ -29,6 +31,8 @@ from driftnet.llm.common import free_names, living, ragged, spool, words_of
 COORDINATES, AGREE, HEAD = 128, 77, 64
 #: Shingles of one block of a leader's group; a task holds two blocks.
 BLOCK = 3_000_000
+#: Members of a group that sit in all its blocks, on average.
+GUESTS = 8
 #: Classes with more than one in LARGE of all rows are broadcast; there are fewer than LARGE of them.
 LARGE = 10_000
 #: Distinct words whose hashes a worker remembers.
@@ -110,8 +114,8 @@ def full_sets(width: int):
     return run
 
 
-def linking(marks: list[bytes], signs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, agree: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links of a spanning forest over the confirmed pairs; with two sides only pairs across them count.
+def linking(marks: list[bytes], signs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, agree: int, percent: int, roots: list[bytes] | None = None) -> list[tuple[bytes, bytes]]:
+    """Links of a spanning forest over the confirmed pairs; with two sides only pairs across them count, members of equal roots are joined already.
 
     Members post their coordinates. Each reads the postings of its COORDINATES - agree + 1 rarest coordinates behind its own place, which every partner
     that agrees in `agree` is in; members that are joined to it already, too large or of its own side are skipped, and only for the others are collisions counted.
@@ -126,7 +130,7 @@ def linking(marks: list[bytes], signs: np.ndarray, sets: list[np.ndarray], side:
     postings = np.argsort(at, kind="stable") // width  # by token, members in their order
     starts, at = np.cumsum(df) - df, at.reshape(tokens.shape)
     read = np.zeros(len(df), dtype=np.int64)  # of each list, how far members have come
-    tree = np.arange(len(marks))
+    tree = np.unique(np.array(roots or marks, dtype=object)[order], return_inverse=True)[1]
     out = []
     for x in range(len(order) - 1):
         own = at[x]
@@ -156,8 +160,8 @@ def link_groups(agree: int, percent: int):
         marks = held.column("mark").to_pylist()
         sets = [np.frombuffer(s, dtype=np.uint64) for s in held.column("shingles").to_pylist()]
         signs = np.array(held.column("sig").to_pylist(), dtype=np.int32)
-        side = held.column("block").to_numpy()
-        links = linking(marks, signs, sets, side, agree, percent)
+        side = held.column("side").to_numpy()
+        links = linking(marks, signs, sets, side, agree, percent, held.column("root").to_pylist())
         return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
     return run
@@ -217,13 +221,31 @@ def class_links(docs: DataFrame, signed: DataFrame, width: int, percent: int, ag
     texts = docs.select("doc_id", "text").join(ids.select(F.col("doc_id").alias("own")), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
     sets = texts.mapInArrow(full_sets(width), "mark binary, shingles binary").dropDuplicates(["mark"])
     data = spool(sets.join(likely.select("mark", "sig", "n"), "mark"), "sets")
-    n_blocks = spool(met.join(data.select("mark", "n"), "mark").groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "blocks")
-    cut = met.join(n_blocks, "leader").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
-    # block k meets every block: the pair (k, j) goes to the group (leader, least, greatest)
-    with_other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = with_other.select("leader", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "mark")
-    held = pairs.join(data, "mark").select("leader", "lo", "hi", "block", "mark", "sig", "shingles")
-    return held.groupBy("leader", "lo", "hi").applyInArrow(link_groups(agree, percent), "a binary, b binary")
+    per_leader = met.join(data.select("mark", "n"), "mark").groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("members"))
+    cut = spool(met.join(per_leader, "leader").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")), "cut")
+
+    def linked(groups: DataFrame) -> DataFrame:
+        held = groups.join(data, "mark").select(*groups.columns, "sig", "shingles")
+        return held.groupBy("leader", "strays", "block").applyInArrow(link_groups(agree, percent), "a binary, b binary")
+
+    guest = (F.col("mark") == F.col("leader")) | (F.pmod(F.xxhash64("leader", "mark"), F.col("members")) < GUESTS)
+    seats = F.when(guest, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    once = cut.select("leader", "mark", F.explode(seats).alias("block"))
+    links = spool(linked(once.select("leader", F.lit(0).alias("strays"), "block", F.lit(0).alias("side"), "mark", F.col("mark").alias("root"))), "links")
+    large = cut.filter("blocks > 1")
+    if large.limit(1).count() == 0:
+        return links
+    # block k of strays meets every block of members
+    roots = components(links)
+    rooted = large.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    rooted = spool(rooted.join(data.select("mark", "n"), "mark").select("leader", "mark", "root", "block", "blocks", "n"), "rooted")
+    largest = rooted.groupBy("leader", "root").agg(F.sum("n").alias("n")).groupBy("leader").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    strays = spool(rooted.join(largest, "leader").filter("root != largest").drop("largest", "block"), "strays")
+    n_strays = strays.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("stray_blocks"))
+    dealt = strays.join(n_strays, "leader").withColumn("strays", F.pmod(F.xxhash64("mark"), F.col("stray_blocks")).cast("int"))
+    guests = dealt.select("leader", "strays", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "mark", "root")
+    hosts = rooted.join(n_strays, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("strays"), "block", F.lit(0).alias("side"), "mark", "root")
+    return links.unionByName(linked(guests.unionByName(hosts)))
 
 
 def signed_and_rooted(docs: DataFrame, width: int, percent: int, agree: int, keyed: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -64,6 +64,32 @@ def test_blocks_lose_no_link(spark, planted, monkeypatch):
     assert out == brute_components(planted, 4)
 
 
+def test_large_groups_compare_strays_alone(spark, monkeypatch):
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=200)
+    texts = {}
+    for k in range(150):  # near copies, every tenth two steps away from the others
+        own = list(base)
+        for _ in range(14 if k % 10 == 0 else 2):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts[k] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sizes = []
+
+    def counted(*of):  # members that meet other blocks
+        sizes.append(of[0].select("mark").distinct().count())
+        return of[0]
+
+    whole = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, width=4).collect()}
+    monkeypatch.setattr(near_dup, "BLOCK", 4000)
+    plain = near_dup.spool
+    monkeypatch.setattr(near_dup, "spool", lambda df, name: counted(plain(df, name)) if name == "strays" else plain(df, name))
+    cut = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, width=4).collect()}
+    assert cut == whole == {k: c for k, (_, c) in brute_components(texts, 4).items()}
+    assert sizes and 0 < sizes[0] < 30
+
+
 def test_repeated_and_null_ids(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(5, text), (5, text), (None, text), (2, "x y z q r s")], "doc_id long, text string")
