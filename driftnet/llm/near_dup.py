@@ -33,7 +33,7 @@ COORDINATES, AGREE, HEAD = 128, 77, 64
 BLOCK = 3_000_000
 #: Members of a group that sit in all its blocks, on average.
 GUESTS = 8
-#: Classes with more than one in LARGE of all rows are broadcast; there are fewer than LARGE of them.
+#: Keys with more than one in LARGE of all rows are broadcast; there are fewer than LARGE of them.
 LARGE = 10_000
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 400_000
@@ -191,6 +191,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed, a written table with a row for each key and n, its number of rows. Keys with more than 1 / LARGE of all rows
+    are fewer than LARGE and go to every task; the others' rows meet theirs by a shuffle."""
+    large = F.broadcast(keyed.filter(F.col("n") > total / LARGE).drop("n"))
+    small = keyed.filter(F.col("n") <= total / LARGE).drop("n")
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(small, key))
+
+
 def class_links(docs: DataFrame, signed: DataFrame, width: int, percent: int, agree: int) -> DataFrame:
     """Links a - b between classes (marks of sets), enough to connect every component."""
     spark = docs.sparkSession
@@ -214,15 +222,16 @@ def class_links(docs: DataFrame, signed: DataFrame, width: int, percent: int, ag
     spare = F.lit(COORDINATES - agree + 1) - (F.lit(COORDINATES) - F.size("shared"))
     rare = counted.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # 128 entries at most
     prefix = spool(rare.select("mark", F.explode(F.slice("shared", F.lit(1), F.greatest(spare, F.lit(0)))).alias("p")).select("mark", F.col("p.token").alias("token")), "prefix")
-    leaders = prefix.groupBy("token").agg(F.min("mark").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    met = spool(prefix.join(leaders, "token").select("leader", "mark").distinct(), "met")
+    leaders = spool(prefix.groupBy("token").agg(F.min("mark").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
+    met = spool(meet(prefix, leaders, "token", prefix.count()).select("leader", "mark").distinct(), "met")
     wanted = met.select("mark").distinct()
     ids = likely.join(wanted, "mark", "left_semi").select("doc_id")
     texts = docs.select("doc_id", "text").join(ids.select(F.col("doc_id").alias("own")), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
     sets = texts.mapInArrow(full_sets(width), "mark binary, shingles binary").dropDuplicates(["mark"])
     data = spool(sets.join(likely.select("mark", "sig", "n"), "mark"), "sets")
-    per_leader = met.join(data.select("mark", "n"), "mark").groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("members"))
-    cut = spool(met.join(per_leader, "leader").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")), "cut")
+    per_leader = met.join(data.select("mark", F.col("n").alias("size")), "mark").groupBy("leader").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    per_leader = spool(per_leader.withColumn("members", F.col("n")), "per-leader")
+    cut = spool(meet(met, per_leader, "leader", met.count()).withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")), "cut")
 
     def linked(groups: DataFrame) -> DataFrame:
         held = groups.join(data, "mark").select(*groups.columns, "sig", "shingles")
@@ -238,13 +247,14 @@ def class_links(docs: DataFrame, signed: DataFrame, width: int, percent: int, ag
     # block k of strays meets every block of members
     roots = components(links)
     rooted = large.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    rooted = spool(rooted.join(data.select("mark", "n"), "mark").select("leader", "mark", "root", "block", "blocks", "n"), "rooted")
-    largest = rooted.groupBy("leader", "root").agg(F.sum("n").alias("n")).groupBy("leader").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    strays = spool(rooted.join(largest, "leader").filter("root != largest").drop("largest", "block"), "strays")
-    n_strays = strays.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("stray_blocks"))
-    dealt = strays.join(n_strays, "leader").withColumn("strays", F.pmod(F.xxhash64("mark"), F.col("stray_blocks")).cast("int"))
-    guests = dealt.select("leader", "strays", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "mark", "root")
-    hosts = rooted.join(n_strays, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("strays"), "block", F.lit(0).alias("side"), "mark", "root")
+    rooted = spool(rooted.join(data.select("mark", F.col("n").alias("size")), "mark").select("leader", "mark", "root", "block", "blocks", "size"), "rooted")
+    per_root = rooted.groupBy("leader", "root").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    stray_blocks = F.ceil((F.sum("size") - F.max("size")) / F.lit(BLOCK)).cast("int")
+    largest = per_root.groupBy("leader").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), stray_blocks.alias("stray_blocks"), F.sum("n").alias("n")).filter("stray_blocks > 0")
+    told = spool(meet(rooted, spool(largest, "largest"), "leader", rooted.count()), "told")
+    stray = F.pmod(F.xxhash64("mark"), F.col("stray_blocks")).cast("int")
+    guests = told.filter("root != largest").select("leader", stray.alias("strays"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "mark", "root")
+    hosts = told.select("leader", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("strays"), "block", F.lit(0).alias("side"), "mark", "root")
     return links.unionByName(linked(guests.unionByName(hosts)))
 
 
@@ -271,11 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, agree: i
     rooted = classes.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     per_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = spool(rooted.join(per_root, "root").select("mark", "component_id", "n"), "component-ids")
-    # classes with more than 1 / LARGE of all rows are fewer than LARGE and go to every task; the others' rows meet their class by a shuffle
-    least = worded.count() / LARGE
-    large = F.broadcast(found.filter(F.col("n") > least).select("mark", "component_id"))
-    small = found.filter(F.col("n") <= least).select("mark", "component_id")
-    met = worded.join(large, "mark").unionByName(worded.join(large.select("mark"), "mark", "left_anti").join(small, "mark"))
+    met = meet(worded, found, "mark", worded.count())
     out = met.select("doc_id", "n_shingles", "component_id").unionByName(signed.filter("mark IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
