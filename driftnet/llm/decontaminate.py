@@ -10,7 +10,7 @@ breaks or left neighbour, items without enough literal tokens, and long verbatim
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftnet.llm.common import free_names, spool
@@ -19,6 +19,8 @@ from driftnet.llm.common import free_names, spool
 WINDOW, LITERALS, HITS = 8, 4, 6
 #: Items with fewer tokens are no questions; they have no template and match by their plain tokens only.
 LEAST_TOKENS = 5
+#: Items that may share a window before it is looked up only for documents that hold a rarer window of the item.
+COMMON_ITEMS = 64
 #: Benchmark windows and bytes of its texts that are broadcast at most; a larger benchmark is joined by a shuffle.
 BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Units that may follow a number.
@@ -111,7 +113,7 @@ def both_kinds(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, plain, width, need, spot, h: the first place of each distinct window of an item, of its template (with enough literal tokens) and of its plain tokens."""
+    """item_id, plain, width, need, n, spot, h: the n windows of an item, with the first place of each distinct one, of its template (with enough literal tokens) and of its plain tokens."""
     split = both_kinds(items, "item_id")
     every = None
     for width in range(1, WINDOW + 1):
@@ -125,10 +127,57 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     first = every.groupBy("item_id", "plain", "width", "h").agg(F.min("spot").alias("spot"))
     told = first.groupBy("item_id", "plain", "width").agg(F.count("*").alias("n"), F.collect_set("spot").alias("spots"))
     most = F.when(F.col("plain"), best_run(F.col("spots"), F.col("width"))["n"]).otherwise(F.col("n"))
-    need = told.select(F.col("item_id").alias("own_item"), F.col("plain").alias("own_kind"), F.least(F.lit(HITS), most).cast("long").alias("need"))
+    need = told.select(F.col("item_id").alias("own_item"), F.col("plain").alias("own_kind"), F.least(F.lit(HITS), most).cast("long").alias("need"), "n")
     return first.join(need, F.col("item_id").eqNullSafe(F.col("own_item")) & (F.col("plain") == F.col("own_kind"))).drop("own_item", "own_kind")
 
 
+def with_late(bench: DataFrame) -> DataFrame:
+    """Marks windows that more than COMMON_ITEMS items share as late, but for the n - need + 1 rarest of each item: whatever holds `need` windows
+    of an item holds one of those."""
+    key = ["h", "width", "plain"]
+    counted = bench.join(bench.groupBy(*key).agg(F.count("*").alias("items")), key)
+    rank = F.row_number().over(Window.partitionBy("item_id", "plain").orderBy("items", "h"))
+    return counted.withColumn("late", (F.col("items") > COMMON_ITEMS) & (rank > F.col("n") - F.col("need") + 1)).drop("items", "n")
+
+
+def document_windows(split: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, plain, p, h, width of every window of both kinds."""
+    kinds = F.array(F.struct(F.lit(False).alias("plain"), F.col("t").alias("of")), F.struct(F.lit(True).alias("plain"), F.col("v").alias("of")))
+    sides = split.select("doc_id", "text_key", F.explode(kinds).alias("k")).select("doc_id", "text_key", "k.plain", "k.of")
+    placed = sides.select("doc_id", "text_key", "plain", F.posexplode(windows(F.col("of"), width)).alias("p", "w"))
+    return placed.select("doc_id", "text_key", "plain", "p", F.xxhash64(*window_tokens("w", width)).alias("h"), F.lit(width).alias("width"))
+
+
+def hits_of(keyed: DataFrame, bench: DataFrame, widths: list[int], small: bool) -> DataFrame:
+    """doc_id, text_key, item_id, plain, need, offset, spot, width: windows that documents and items share.
+
+    Late windows would pair documents with many items that they share one phrase with. They are looked up afterwards, for pairs that share another.
+    """
+    near = lambda df: F.broadcast(df) if small else df
+
+    def all_widths(split: DataFrame, meet) -> DataFrame:
+        out = None
+        for width in sorted(widths) or [WINDOW]:
+            met = meet(document_windows(split, width))
+            met = met.select("doc_id", "text_key", "item_id", "plain", "need", (F.col("p") + 1 - F.col("spot")).alias("offset"), "spot", "width")
+            out = met if out is None else out.unionByName(met)
+        return out
+
+    early, late = bench.filter("NOT late").drop("late"), bench.filter("late").drop("late")
+    hits = all_widths(both_kinds(keyed, "doc_id", "text_key"), lambda own: own.join(near(early), ["h", "width", "plain"]))
+    if late.limit(1).count() == 0:
+        return hits
+    hits = spool(hits, "hits")
+    pairs = hits.select("doc_id", "text_key", "item_id", "plain").distinct()
+    wanted = pairs.join(near(late), ["item_id", "plain"]).withColumnRenamed("doc_id", "own_doc")  # item_id is a key of a text, never null
+    holders = pairs.select(F.col("doc_id").alias("own_doc"), F.col("text_key").alias("own_key")).distinct()
+    held = keyed.join(holders, F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("text_key") == F.col("own_key")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("own_doc"))
+    again = ["text_key", "plain", "width", "h"]
+    by_pair = lambda own: own.alias("o").join(wanted.alias("w"), same & F.expr(" AND ".join(f"o.{c} = w.{c}" for c in again))).select("o.*", "w.item_id", "w.need", "w.spot")
+    return hits.unionByName(all_widths(both_kinds(held, "doc_id", "text_key"), by_pair))
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, n_windows, n_slots, n_changed for each document that holds a benchmark item or a good part of it.
 
@@ -136,25 +185,18 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     n_windows: windows in the best alignment; n_slots: placeholders there; n_changed: those whose value differs from the item's.
     docs needs doc_id and text, items item_id and text; other columns are ignored, whatever their names. Null and empty texts match
-    nothing. Repeated rows give one row; repeated items count as one if their ids are equal. A null doc_id or item_id is
+    nothing. Repeated rows give one row; an item of several texts is found
+    by any of them, items of equal texts by the same, and each id has one row for a document. A null doc_id or item_id is
     carried along as null. Whole texts of any length are compared; among equally good alignments the one with fewer changed slots, then the first, is shown.
     """
-    items = items.select("item_id", "text").dropDuplicates()
-    bench = spool(benchmark_windows(items), "benchmark-windows")
+    ids = items.select("item_id", F.xxhash64("text").alias("item_key"), "text").dropDuplicates()
+    items = ids.select(F.col("item_key").alias("item_id"), "text").dropDuplicates(["item_id"])  # items of the same text are compared once
+    bench = spool(with_late(benchmark_windows(items)), "benchmark-windows")
     widths = [r["width"] for r in bench.select("width").distinct().collect()]  # WINDOW - LEAST_TOKENS + 1 values at most
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    size = ids.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     small = size <= BROADCAST_BYTES and bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    near = F.broadcast(bench) if small else bench
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    split = both_kinds(keyed, "doc_id", "text_key")
-    hits = None
-    for width in sorted(widths) or [WINDOW]:
-        kinds = F.array(F.struct(F.lit(False).alias("plain"), F.col("t").alias("of")), F.struct(F.lit(True).alias("plain"), F.col("v").alias("of")))
-        sides = split.select("doc_id", "text_key", F.explode(kinds).alias("k")).select("doc_id", "text_key", "k.plain", "k.of")
-        placed = sides.select("doc_id", "text_key", "plain", F.posexplode(windows(F.col("of"), width)).alias("p", "w"))
-        own = placed.select("doc_id", "text_key", "plain", "p", F.xxhash64(*window_tokens("w", width)).alias("h"), F.lit(width).alias("width"))
-        met = own.join(near, ["h", "width", "plain"]).select("doc_id", "text_key", "item_id", "plain", "need", (F.col("p") + 1 - F.col("spot")).alias("offset"), "spot", "width")
-        hits = met if hits is None else hits.unionByName(met)
+    hits = hits_of(keyed, bench, widths, small)
     aligned = hits.groupBy("doc_id", "text_key", "item_id", "plain", "offset", "width").agg(F.collect_set("spot").alias("spots"), F.max("need").alias("need"))
     aligned = aligned.filter(F.size("spots") >= F.col("need"))
     whole = F.struct(F.size("spots").cast("long").alias("n"), F.array_min("spots").alias("first"), F.array_max("spots").alias("last"))
@@ -180,8 +222,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     one_way = F.size(pairs) == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
     changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
     consistent = slots.filter(one_way | (changed == 0))
-    best = F.max_by(F.struct("n_windows", F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed")), F.struct("n_windows", -changed, -F.col("offset"))).alias("best")
-    return consistent.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "best.*")
+    best = consistent.select("doc_id", "text_key", F.col("item_id").alias("item_key"), F.struct("n_windows", (-changed).alias("same"), (-F.col("offset")).alias("place"), F.size("slots").alias("n_slots")).alias("best"))
+    best = best.groupBy("doc_id", "text_key", "item_key").agg(F.max("best").alias("best"))
+    named = ids.select("item_id", "item_key")
+    told = best.join(F.broadcast(named) if small else named, "item_key").groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best"))
+    return told.select("doc_id", "text_key", "item_id", "best.n_windows", F.col("best.n_slots").cast("long").alias("n_slots"), (-F.col("best.same")).cast("long").alias("n_changed"))
 
 
 def verbatim_only(items: DataFrame) -> DataFrame:
