@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftnet.llm import bpe, decontaminate, license_scan, near_dup, quality, sharding, token_count, tool_links, toxicity, url_trust
+from driftnet.llm import bpe, decontaminate, license_scan, mixing, near_dup, quality, sharding, token_count, tool_links, toxicity, url_trust
 from driftnet.llm.common import table
 
 
@@ -61,10 +61,14 @@ def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_documents(spark, sf_dir)
 
 
+def op11_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = {f.__name__: f for f in (op1_url_trust, op2_tool_links, op3_uniform_shards, op4_fertility_rules, op5_near_duplicates, op6_license_scan, op7_template_leaks, op8_token_counts, op9_word_table_bpe, op10_toxic_severity)}
+    own = {f.__name__: f for f in (op1_url_trust, op2_tool_links, op3_uniform_shards, op4_fertility_rules, op5_near_duplicates, op6_license_scan, op7_template_leaks, op8_token_counts, op9_word_table_bpe, op10_toxic_severity, op11_fair_mix)}
     return own
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_trust": url_trust.judge_pages_sql(), "op2_tool_links": tool_links.EXCHANGES_SQL, "op5_near_duplicates": NEAR_DUPLICATES_SQL}
+    return {"op1_url_trust": url_trust.judge_pages_sql(), "op2_tool_links": tool_links.EXCHANGES_SQL, "op5_near_duplicates": NEAR_DUPLICATES_SQL, "op11_fair_mix": mixing.MIX_SQL}
