@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftnet.llm import bpe, decontaminate, license_scan, mixing, near_dup, prefix_trie, quality, sharding, token_count, tool_links, toxicity, url_trust
+from driftnet.llm import bpe, collocations, decontaminate, license_scan, mixing, near_dup, prefix_trie, quality, sharding, token_count, tool_links, toxicity, url_trust
 from driftnet.llm.common import table
 
 
@@ -65,14 +65,18 @@ def op11_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:
-    own = {f.__name__: f for f in (op1_url_trust, op2_tool_links, op3_uniform_shards, op4_fertility_rules, op5_near_duplicates, op6_license_scan, op7_template_leaks, op8_token_counts, op9_word_table_bpe, op10_toxic_severity, op11_fair_mix, op13_prefix_trie)}
+    own = {f.__name__: f for f in (op1_url_trust, op2_tool_links, op3_uniform_shards, op4_fertility_rules, op5_near_duplicates, op6_license_scan, op7_template_leaks, op8_token_counts, op9_word_table_bpe, op10_toxic_severity, op11_fair_mix, op12_collocations, op13_prefix_trie)}
     return own
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_trust": url_trust.judge_pages_sql(), "op2_tool_links": tool_links.EXCHANGES_SQL, "op5_near_duplicates": NEAR_DUPLICATES_SQL, "op11_fair_mix": mixing.MIX_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
+    return {"op1_url_trust": url_trust.judge_pages_sql(), "op2_tool_links": tool_links.EXCHANGES_SQL, "op5_near_duplicates": NEAR_DUPLICATES_SQL, "op11_fair_mix": mixing.MIX_SQL, "op12_collocations": collocations.COLLOCATIONS_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
