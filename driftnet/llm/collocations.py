@@ -25,7 +25,7 @@ from driftnet.llm.common import spool
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of texts that are sorted together.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 #: The table of frequent pairs has 2 ** BITS bits, 8 MB.
 BITS = 26
 #: Groups of candidates of a language that are ranked by themselves before they meet.
@@ -42,13 +42,13 @@ def word_ids(raw: bytes) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
     step = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if not len(starts):
-        return np.zeros(0, dtype=np.int64), pa.array([], pa.string()), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32), pa.array([], pa.large_string()), np.zeros(0, dtype=np.int32)
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars[inside])]).dictionary_encode()
     piece = np.cumsum(chars == 10, dtype=np.int32)[starts]
     last = np.flatnonzero(np.concatenate((piece[1:] != piece[:-1], [True])))
-    room = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(piece)) + 1
-    return words.indices.to_numpy().astype(np.int64), words.dictionary, room
+    room = (np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(piece)) + 1).astype(np.int32)
+    return words.indices.to_numpy(), words.dictionary, room
 
 
 def shifted(rank: np.ndarray, room: np.ndarray, by: int) -> np.ndarray:
@@ -66,11 +66,12 @@ def suffix_array(ids: np.ndarray, room: np.ndarray, deep: int) -> tuple[np.ndarr
     ranks, width, order = {1: ids + 1}, 1, None
     while width < deep:
         step = min(width, deep - width)
-        key = ranks[width] * (int(ranks[width].max(initial=0)) + 1) + shifted(ranks[width], room, step)
+        key = ranks[width].astype(np.int64) * (int(ranks[width].max(initial=0)) + 1) + shifted(ranks[width], room, step)
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
-        rank = np.empty(len(ids), dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], sorted_key[1:] != sorted_key[:-1])))
+        rank = np.empty(len(ids), dtype=np.int32)
+        rank[order] = np.cumsum(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])), dtype=np.int32)
+        del key, sorted_key
         width += step
         ranks[width] = rank
     lcp = np.zeros(len(ids), dtype=np.int8)
@@ -150,8 +151,8 @@ def counted(texts: DataFrame, count, block: int) -> DataFrame:
         held: dict[str, list[bytes]] = {}
         size = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass").translate(TABLE)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_buffer().to_pybytes().translate(TABLE)
                 while len(raw) > block and (cut := raw.rfind(b"\n", 0, block)) > 0:  # a long text goes by pieces
                     yield from count(lang, raw[:cut])
                     raw = raw[cut:]
