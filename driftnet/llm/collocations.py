@@ -25,9 +25,11 @@ from driftnet.llm.common import spool
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of texts that are sorted together.
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 #: The table of frequent pairs has 2 ** BITS bits, 8 MB.
 BITS = 26
+#: Languages up to which their numbers of words are broadcast.
+LANGUAGES = 100_000
 #: Groups of candidates of a language that are ranked by themselves before they meet.
 SALTS = 256
 #: A-Z lower-cased, marks and line ends become line feeds, tabs become spaces.
@@ -100,8 +102,8 @@ def phrases(words: pa.Array, ids: np.ndarray, places: np.ndarray, m: int) -> pa.
 
 
 def rows_of(lang: str, found: pa.Array, m: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(found), 100_000):
-        own = found.slice(k, 100_000).cast(pa.string())
+    for k in range(0, len(found), 20_000):
+        own = found.slice(k, 20_000).cast(pa.string())
         n = len(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(n, dtype=np.int32))), own, pa.array(np.full(n, m, dtype=np.int32)), pa.array(counts[k : k + n].astype(np.int64))], names=["lang", "phrase", "m", "n"])
 
@@ -203,6 +205,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, **sizes) -
     cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice(words, F.lit(1), F.col("k")), " ").alias("first"), F.array_join(F.slice(words, F.col("k") + 1, F.col("m") - F.col("k")), " ").alias("rest"))
     part = lambda name, n: known.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     total = grams.filter("m = 0").select("lang", "n")
+    total = F.broadcast(total) if total.count() <= LANGUAGES else total
     both = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(total, "lang")
     # counts up to 17 digits: neither product exceeds 38
     score = F.expr("(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(17,0)) * CAST(n AS DECIMAL(17,0))) div (CAST(l AS DECIMAL(17,0)) * CAST(r AS DECIMAL(17,0)))")
