@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-AREAS = ["reads", "parsing", "search", "mutations", "feed", "enrichment", "anime", "streams", "keyspace", "wire", "lists", "scalars", "status"]
+AREAS = ["reads", "parsing", "search", "mutations", "stored", "feed", "enrichment", "anime", "streams", "keyspace", "wire", "lists", "scalars", "status"]
 
 
 def query(sql: str | None = None, with_: str = ""):
