@@ -22,13 +22,13 @@ def search_prefix_page(spark, d):
     return C.page(S.search(rows, "Small ri").select("info_hash", "name", "discovered_at"), C.total_order("discovered_at"), 50)
 
 
-EPISODE_HIT = "list_contains({w}, 'small') AND len(list_filter({w}, lambda w: starts_with(w, 's05e'))) > 0"
+EPISODE_HIT = "list_contains({w}, 'small') AND len(list_filter({w}, lambda w: starts_with(w, 's06e'))) > 0"
 
 
 @query(f"SELECT info_hash FROM catalog WHERE {EPISODE_HIT.format(w=WORDS.format('name'))}", "catalog")
 def search_season_suffix(spark, d):
     """A title with what a season and an episode add: the last token is a prefix, so a season alone finds all its episodes."""
-    found = S.search(view(spark, d, "catalog").select("info_hash", "name"), f"small {X.search_suffix(5, None)}e")
+    found = S.search(view(spark, d, "catalog").select("info_hash", "name"), f"small {X.search_suffix(6, None)}e")
     return found.select("info_hash")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftnet.functions import binary as B
 from driftnet.plans.registry import query
+from driftnet.sources import messages as X
 from driftnet.sources import wire as W
 from driftnet.sources.derived import view
 
@@ -58,10 +59,66 @@ def metainfo_verify(spark, d):
     return W.verified_metadata(docs).select("doc_id", "info_hash")
 
 
-@query()
+#: What each sixth of the discoveries sends: a ping, a get_peers, nodes, peers, an error, a ping that is cut off.
+PING = "CASE event_id % 6 WHEN 0 THEN 'q' WHEN 1 THEN 'q' WHEN 2 THEN 'r' WHEN 3 THEN 'r' WHEN 4 THEN 'e' END"
+
+
+def sent(spark, d):
+    """event_id and a datagram of each discovery."""
+    a = view(spark, d, "discoveries").select("event_id", "info_hash", "node_id", (F.col("event_id") % 6).alias("what"), F.lpad(F.lower(F.hex(F.col("event_id") % 65536)), 4, "0").alias("txn"))
+    text = lambda *parts: F.concat(*[F.lit(p).cast("binary") if isinstance(p, str) else p for p in parts])
+    ident, aim = F.unhex(F.sha1(F.col("node_id").cast("string"))), F.unhex("info_hash")
+    node = F.unhex(F.concat("info_hash", F.lit("0a0000011ae1")))
+    t = F.unhex("txn")
+    number = lambda c: F.concat(F.lit("i"), c.cast("string"), F.lit("e")).cast("binary")
+    ping = text("d1:ad2:id20:", ident, "e1:q4:ping1:t2:", t, "1:v4:LT011:y1:qe")
+    return a.select(
+        "event_id",
+        F.when(F.col("what") == 0, ping)
+        .when(F.col("what") == 1, text("d1:ad2:id20:", ident, "9:info_hash20:", aim, "e1:q9:get_peers2:roi1e1:t2:", t, "1:y1:qe"))
+        .when(F.col("what") == 2, text("d1:rd2:id20:", ident, "5:nodes52:", node, node, "5:token3:abce1:t2:", t, "1:y1:re"))
+        .when(F.col("what") == 3, text("d1:rd2:id20:", ident, "5:token3:abc6:valuesl6:", F.unhex(F.lit("0a0000011ae1")), "6:", F.unhex(F.concat(F.lit("0a000002"), "txn")), "ee1:t2:", t, "1:y1:re"))
+        .when(F.col("what") == 4, text("d1:el", number(F.col("node_id") % 5 + 200), "5:errore1:t2:", t, "1:y1:ee"))
+        .otherwise(F.substring(ping, 1, 40)).alias("raw"),
+    )
+
+
+SENT = "WITH s AS (SELECT *, event_id % 6 AS what, lpad(lower(to_hex(event_id % 65536)), 4, '0') AS t, sha1(CAST(node_id AS VARCHAR)) AS ident FROM discoveries)"
+
+
+@query(f"""{SENT} SELECT event_id, {PING} AS kind, CASE WHEN what < 5 THEN t END AS txn, CASE what WHEN 0 THEN 'ping' WHEN 1 THEN 'get_peers' END AS query, CASE WHEN what < 4 THEN ident END AS id, CASE what WHEN 1 THEN info_hash END AS target,
+  CASE WHEN what IN (2, 3) THEN '616263' END AS token, CASE WHEN what < 5 THEN what = 1 END AS read_only, CASE what WHEN 2 THEN concat(info_hash, '0a0000011ae1', info_hash, '0a0000011ae1') END AS nodes, CASE what WHEN 3 THEN concat('0a0000011ae1,0a000002', t) END AS peers FROM s""", "discoveries")
+def datagram_decode(spark, d):
+    """Datagrams made from the discoveries decode to their source; cut off ones to nulls."""
+    out = X.datagrams(sent(spark, d), "event_id", "raw")
+    return out.select("event_id", "kind", "txn", "query", "id", "target", "token", "read_only", "nodes", F.array_join("peers", ",").alias("peers"))
+
+
+@query(f"{SENT} SELECT event_id, CAST(node_id % 5 + 200 AS BIGINT) AS code, 'error' AS message FROM s WHERE what = 4", "discoveries")
 def krpc_errors(spark, d):
-    rows = [(code, W.krpc_error(raw)) for code, raw in enumerate((b"li201e7:generice", b"5:plain", W.encode([203, b"protocol"])))]
-    return spark.createDataFrame([(k, c, m) for k, (c, m) in rows], "k int, code int, message string")
+    return X.datagrams(sent(spark, d), "event_id", "raw").filter("kind = 'e'").select("event_id", "code", "message")
+
+
+@query("SELECT c_custkey, (c_custkey * 7919) % 12000000 - 5 AS metadata_size, c_custkey % 300 - 2 AS ut_metadata FROM customer WHERE c_custkey % 4 != 0 AND (c_custkey * 7919) % 12000000 - 5 BETWEEN 1 AND 10485759 AND c_custkey % 300 - 2 BETWEEN 1 AND 254")
+def handshake_limits(spark, d):
+    k = F.col("c_custkey")
+    body = F.concat(F.lit("d1:md6:ut_pexi1e11:ut_metadatai"), (k % 300 - 2).cast("string"), F.lit("ee13:metadata_sizei"), (k * 7919 % 12000000 - 5).cast("string"), F.when(k % 4 == 0, "e").otherwise("ee"))
+    out = X.handshakes(view(spark, d, "customer").select("c_custkey", body.cast("binary").alias("raw")), "c_custkey", "raw")
+    return out
+
+
+@query("SELECT c.k, name, CAST(count(f.k) AS INTEGER) AS n_files, CAST(sum(f.size) AS BIGINT) AS size, string_agg(path, '|' ORDER BY file_no, path, size) AS paths FROM catalog c JOIN files f ON f.k = c.k WHERE c.k % 7 NOT IN (2, 3) GROUP BY c.k, name", "catalog files")
+def metainfo_parse(spark, d):
+    """Info dictionaries made from names and file lists, every second one within a whole metainfo file; wrong digests and cut off bytes give no row."""
+    one = lambda f: F.concat(F.lit("d6:lengthi"), f["size"].cast("string"), F.lit("e4:pathl3:sub"), F.octet_length(f["path"]).cast("string"), F.lit(":"), f["path"], F.lit("ee"))
+    lists = view(spark, d, "files").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("file_no", "path", "size"))).alias("files"))
+    rows = view(spark, d, "catalog").select("k", "name").join(lists, "k")
+    info = F.concat(F.lit("d5:filesl"), F.array_join(F.transform("files", one), ""), F.lit("e4:name"), F.octet_length("name").cast("string"), F.lit(":"), F.col("name"), F.lit("12:piece lengthi16384ee"))
+    k, whole = F.col("k"), F.concat(F.lit("d8:announce14:udp://tracker/4:info"), F.col("info"), F.lit("e"))
+    made = rows.withColumn("info", info).select("k", F.sha1(F.when(k % 7 == 2, "other").otherwise(F.col("info"))).alias("info_hash"), F.when(k % 2 == 0, whole).otherwise(F.col("info")).alias("raw"))
+    cut = made.withColumn("metadata", F.when(k % 7 == 3, F.expr("substring(raw, 1, length(raw) - 2)")).otherwise(F.col("raw")).cast("binary"))
+    out = X.metainfo(cut, "k")
+    return out.select("k", "name", F.size("files").alias("n_files"), "size", F.array_join(F.transform("files", lambda f: F.regexp_replace(f["path"], "^sub/", "")), "|").alias("paths"))
 
 
 PLACES = "(CAST(concat('0x', substr({0}, 1, 2)) AS INTEGER) + 256 * CAST(concat('0x', substr({0}, 3, 2)) AS INTEGER)) % 2048"
