@@ -107,7 +107,7 @@ def handshake_limits(spark, d):
     return out
 
 
-@query("SELECT c.k, name, CAST(count(f.k) AS INTEGER) AS n_files, CAST(sum(f.size) AS BIGINT) AS size, string_agg(path, '|' ORDER BY file_no, path, size) AS paths FROM catalog c JOIN files f ON f.k = c.k WHERE c.k % 7 NOT IN (2, 3) GROUP BY c.k, name", "catalog files")
+@query("SELECT c.k, name, CAST(count(f.k) AS INTEGER) AS n_files, CAST(sum(f.size) AS BIGINT) AS size, string_agg(path, '|' ORDER BY file_no, path, f.size) AS paths FROM catalog c JOIN files f ON f.k = c.k WHERE c.k % 7 NOT IN (2, 3) GROUP BY c.k, name", "catalog files")
 def metainfo_parse(spark, d):
     """Info dictionaries made from names and file lists, every second one within a whole metainfo file; wrong digests and cut off bytes give no row."""
     one = lambda f: F.concat(F.lit("d6:lengthi"), f["size"].cast("string"), F.lit("e4:pathl3:sub"), F.octet_length(f["path"]).cast("string"), F.lit(":"), f["path"], F.lit("ee"))
