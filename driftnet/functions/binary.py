@@ -106,6 +106,30 @@ def bloom_places(ip_hex: Column) -> Column:
     return F.array(pair(0), pair(2))
 
 
+def bloom_filter(place: Column) -> Column:
+    """Aggregate: the filter in which all places are set, 32 numbers of 64 bits."""
+    word, bit = F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    return F.array(*[F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")) for k in range(BLOOM_BITS // 64)])
+
+
+def bloom_merged(held: Column) -> Column:
+    """Aggregate: the filter of all that the filters of a group hold."""
+    return F.array(*[F.coalesce(F.bit_or(held[k]), F.lit(0).cast("long")) for k in range(BLOOM_BITS // 64)])
+
+
+def bloom_union(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
+
+
+def bloom_has(held: Column, places: Column) -> Column:
+    """Whether an address may be in a filter: all its places are set."""
+    return F.forall(places, lambda p: F.call_function("shiftright", F.element_at(held, F.floor(p / 64).cast("int") + 1), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
+def bloom_bits(held: Column) -> Column:
+    return F.aggregate(held, F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
 def bloom_estimate(bits_set: Column) -> Column:
     """Distinct addresses behind a filter in which so many bits are set."""
     zeros = F.least(F.lit(BLOOM_BITS) - bits_set, F.lit(BLOOM_BITS - 1))

@@ -9,6 +9,7 @@ from driftnet.plans.parsing import FILED
 from driftnet.plans.registry import query
 from driftnet.sources.derived import view
 from driftnet.streaming import pipeline as P
+from driftnet.streaming import timed as T
 
 NOW = 1_704_153_600
 SOME = "part_c AS (SELECT * FROM catalog WHERE k % 3 != 0)"
@@ -116,6 +117,21 @@ def delayed_retry(spark, d):
     return P.retries(rows).select("event_id", F.col("at").cast("long").alias("retry_at"))
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS item, CASE event_id % 2 WHEN 1 THEN 'failed' ELSE 'retry' END AS what, (seen_at + CASE event_id % 2 WHEN 1 THEN 0 ELSE 30 END) * 1000 AS at_ms FROM discoveries WHERE event_type = 'error' AND (event_id % 2 = 1 OR seen_at + 30 <= (SELECT max(seen_at) - 1 FROM discoveries WHERE event_type = 'error'))", "discoveries")
+def timed_retry_stream(spark, d):
+    """Failures come back by timer 30 seconds after they failed, once; those whose time had not come when the stream ended are still held."""
+    failed = P.stream(spark, d).filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("item"), (F.col("event_id") % 2).cast("int").alias("n_retries"), F.date_trunc("second", "at").alias("at"))
+    return T.with_timers(spark, lambda: P.drain(T.timed_retries(failed, most=1_000_000)))
+
+
+@query()
+def size_or_time_batches(spark, d):
+    """Discoveries in batches of 50 items or 12 days of a slot: how many items each has and what closed it."""
+    items = P.stream(spark, d).select(F.col("event_id").cast("string").alias("item"), "at")
+    out = T.with_timers(spark, lambda: P.drain(T.timed_batches(items, most=50, wait_ms=12 * 86_400_000)))
+    return out.groupBy("slot", "batch", "why").agg(F.count("*").alias("n"), F.countDistinct("item").alias("n_distinct"))
+
+
 @query("SELECT node_id, seen_at, count(*) AS n, greatest(count(*) - 2, 0) AS over_limit FROM discoveries GROUP BY 1, 2", "discoveries")
 def keyed_rate_limit(spark, d):
     """Replay of a limit of two a second and key."""

@@ -132,6 +132,20 @@ def bloom_estimates(spark, d):
     return bits.select("c_nationkey", "bits", F.round(B.bloom_estimate(F.col("bits")), 6).alias("estimate"))
 
 
+@query(f"""WITH a AS (SELECT c_nationkey, c_custkey, sha1(unhex(lpad(lower(hex(c_custkey)), 8, '0'))) AS s FROM customer), p AS (SELECT c_nationkey, unnest([{PLACES.format('s')}, {PLACES.format('substr(s, 5)')}]) AS p FROM a), n AS (SELECT c_nationkey, count(DISTINCT p) AS bits FROM p GROUP BY 1),
+r AS (SELECT n_regionkey, count(DISTINCT p) AS bits FROM p JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
+SELECT n_regionkey, CAST(bits AS INTEGER) AS bits, round(ln(least(2048 - bits, 2047) / 2048) / (2 * ln(1 - 1.0::DOUBLE / 2048)), 6) AS estimate, (SELECT count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE nation.n_regionkey = r.n_regionkey) AS found FROM r""")
+def bloom_merge(spark, d):
+    """Filters of nations merged to filters of regions: bits and estimates are those of the union, and every member is found."""
+    rows = view(spark, d, "customer").select("c_nationkey", B.bloom_places(F.lpad(F.lower(F.hex("c_custkey")), 8, "0")).alias("places"))
+    own = rows.select("c_nationkey", F.explode("places").alias("p")).groupBy("c_nationkey").agg(B.bloom_filter(F.col("p")).alias("held"))
+    nations = view(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    merged = own.join(nations, "c_nationkey").groupBy("n_regionkey").agg(B.bloom_merged(F.col("held")).alias("held"))
+    members = rows.join(nations, "c_nationkey").join(merged, "n_regionkey").groupBy("n_regionkey").agg(F.count_if(B.bloom_has(F.col("held"), F.col("places"))).alias("found"))
+    bits = B.bloom_bits(F.col("held"))
+    return merged.select("n_regionkey", bits.alias("bits"), F.round(B.bloom_estimate(bits), 6).alias("estimate")).join(members, "n_regionkey")
+
+
 @query("SELECT c_custkey, md5('s3cret'::BLOB || unhex(sha1(CAST(c_custkey AS VARCHAR))) || unhex(sha1('h')) || unhex(sha1('p')) || '10.0.0.1:80'::BLOB) AS token FROM customer")
 def announce_tokens(spark, d):
     fixed = lambda s: F.sha1(F.lit(s).cast("binary"))

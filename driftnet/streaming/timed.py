@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -17,6 +17,17 @@ from pyspark.sql.streaming import StatefulProcessor
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def with_timers(spark: SparkSession, run):
+    """Runs a stream with the state store that timers need, and gives what run gives."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before)
+
+
 def now(values, clock: str) -> int:
     return values.getCurrentProcessingTimeInMs() if clock == "ProcessingTime" else values.getCurrentWatermarkInMs()
 

@@ -35,6 +35,13 @@ def test_values_without_a_twin(spark, small):
     assert max(room.values()) <= 80 and all(room[r["bucket"]] == 80 for r in told if r["verdict"] == "rejected")
 
 
+def test_batches_by_size_or_time(spark, small):
+    rows = QUERIES["size_or_time_batches"](spark, small).collect()
+    assert {r["why"] for r in rows} == {"size", "time"} and all((r["n"] == 50) == (r["why"] == "size") and r["n"] == r["n_distinct"] <= 50 for r in rows)
+    total = QUERIES["counters"](spark, small).agg({"n": "sum"}).first()[0]
+    assert total - 8 * 50 < sum(r["n"] for r in rows) <= total  # at most one open batch a slot
+
+
 def test_streams_equal_batches(spark, small):
     routes = lambda n: {tuple(r) for r in QUERIES[n](spark, small).select("info_hash", "route").collect()}
     assert routes("triage_stream") == routes("triage_route")
