@@ -1,9 +1,9 @@
 """Licence scans by a positional rare-token index.
 
-Licence templates are indexed by word and position. Of each file all licence words that are rare in the corpus are
-looked up, so that no template depends on what else the file holds; postings vote for (template, offset), so that words
-count only where they stand at the same relative positions as in the template. The best alignments are scored over the whole template, and a label is given
-when the score reaches a threshold and the template's mandatory phrases stand in the file.
+Licence templates are indexed by word and position. Of each template so many of its highest-IDF words are looked up that an alignment which
+reaches the threshold must hold VOTES of them (the prefix principle), however common the words are; no template depends on what else the file holds. Postings
+vote for (template, offset), so that words count only where they stand at the same relative positions as in the template. Alignments with the votes are scored
+over the whole template, and a label is given when the score reaches the threshold and one of the template's mandatory phrases stands in the file.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ TEMPLATES = [
 ]
 #: Share of a template's words that must stand at their places.
 THRESHOLD = 0.6
-#: A licence word is rare that stands in fewer than this share of all documents; each template's two rarest words count as rare always.
-RARE_SHARE = 0.2
+#: Looked up words that an alignment must hold.
+VOTES = 2
 
 #: ASCII bytes that are neither letters nor digits part words, A-Z become a-z; all other characters belong to words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -76,9 +76,17 @@ class TemplateIndex:
                 self.postings[w].append((t, k))
         frequency = frequency or {}
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
-        self.rare = {w for w in self.postings if frequency.get(w, 0) < RARE_SHARE * documents}
-        self.rare.update(w for words in self.words for w in sorted(set(words), key=lambda w: (-self.idf[w], w))[:2])
-        self.wanted = frozenset(self.rare | {p.words[-1] for keys in self.keys for p in keys} | {p.words[-1] for p, _ in self.base})
+        self.needed = [math.ceil(THRESHOLD * len(words)) for words in self.words]
+        self.probes: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, words in enumerate(self.words):
+            due = len(words) - self.needed[t] + min(VOTES, self.needed[t])
+            for w in sorted(set(words), key=lambda w: (-self.idf[w], w)):
+                if due <= 0:
+                    break
+                places = [(t, k) for k, own in enumerate(words) if own == w]
+                self.probes[w] += places
+                due -= len(places)
+        self.wanted = frozenset(self.probes.keys() | {p.words[-1] for keys in self.keys for p in keys} | {p.words[-1] for p, _ in self.base})
 
     def scan(self, text: str) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score of a whole text."""
@@ -97,24 +105,25 @@ class TemplateIndex:
         for t, own in self.aligned(words, where):
             if own > score:
                 score = own
-            if own >= THRESHOLD and any(p.places(words, where) for p in self.keys[t]):
+            if any(p.places(words, where) for p in self.keys[t]):
                 labels.add(self.labels[t])
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), round(score, 6)
 
     def aligned(self, words: list[bytes], where: dict[bytes, list[int]]) -> list[tuple[int, float]]:
-        """Templates with their best share of words in place, among the offsets that two or more rare words vote for (or all of a shorter template)."""
+        """Templates with their best share of words in place, where it is THRESHOLD or more."""
         votes: Counter = Counter()
-        for w in self.rare.intersection(where):
-            for t, k in self.postings[w]:
+        for w in self.probes.keys() & where.keys():
+            for t, k in self.probes[w]:
                 votes.update((t, p - k) for p in where[w])
         best: dict[int, float] = {}
         for (t, offset), n in votes.items():
-            own = self.words[t]
-            if n < min(2, len(own)):
+            own, needed = self.words[t], self.needed[t]
+            if n < min(VOTES, needed):
                 continue
             a = max(0, -offset)
-            share = sum(map(bytes.__eq__, own[a:], words[offset + a : offset + len(own)])) / len(own)
-            best[t] = max(best.get(t, 0.0), share)
+            placed = sum(map(bytes.__eq__, own[a:], words[offset + a : offset + len(own)]))
+            if placed >= needed:
+                best[t] = max(best.get(t, 0.0), placed / len(own))
         return sorted(best.items())
 
 
@@ -143,7 +152,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored, whatever their names. A null text counts as empty: no words, no labels, score 0.
     Whole texts of any length are scanned; repeated rows and null ids are scanned like any others. score is the best share of a template's words that stand in
-    place. Equal inverse document frequencies are ordered by the word itself.
+    place, 0 below THRESHOLD. Equal inverse document frequencies are ordered by the word itself.
     """
     frequency, total = frequencies(docs, frozenset(TemplateIndex(templates, base).postings))
     index = TemplateIndex(templates, base, frequency, total)
