@@ -2,10 +2,13 @@
 
 Hosts that rules allow are seeds of a personalised PageRank along the links, hosts that rules block are seeds of a
 distrust rank against the links. A host is blocked when its distrust outweighs its trust and lies above an even share.
+The walks go on until no rank moves by more than a residual, however far hosts lie from the seeds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ from driftnet.llm.common import spool
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING = 0.85
-ROUNDS = 10
+#: Walks end when no rank has moved by more than this in STRIDE rounds, and after as many rounds as leave no more mass to be walked.
+RESIDUAL, STRIDE = 1e-10, 5
 #: Absolute links in a page.
 LINK = r"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20<>\x22\x27]+"
 
@@ -44,12 +48,16 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str, str]], g
     return F.lit(None).cast("string") if out is None else out
 
 
-def host_scores(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def most_rounds(residual: float, damping: float) -> int:
+    return math.ceil(math.log(residual) / math.log(damping) / STRIDE) * STRIDE
+
+
+def host_scores(hosts: DataFrame, links: DataFrame, residual: float = RESIDUAL, damping: float = DAMPING) -> DataFrame:
     """host, trust, distrust, each of sum 1 (or 0 without seeds).
 
     hosts: host, n_pages, n_allow, n_block, one row per host; links: src, dst, n between such hosts. A host's seed
-    weight is the share of its pages that rules allow or block. After the rounds at most damping ** rounds of the mass is left to be walked on. Mass that meets a host without links goes out of the
-    walk; the end sums are scaled to 1.
+    weight is the share of its pages that rules allow or block. At most `residual` of the mass is left to be walked on at the end; the driver sees the largest
+    change every few rounds. Mass that meets a host without links goes out of the walk; the end sums are scaled to 1.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("out_n"))
     back = links.groupBy("dst").agg(F.sum("n").alias("in_n"))
@@ -62,18 +70,23 @@ def host_scores(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, dampin
     seeds = spool(raw.join(F.broadcast(total), "walk").select("walk", "host", (F.col("s") / F.col("all_s")).alias("r")), "host-seeds")
     rank = seeds
     jump = seeds.select("walk", "host", (F.lit(1 - damping) * F.col("r")).alias("r"))
-    for k in range(rounds):
+    last = seeds
+    for k in range(most_rounds(residual, damping)):
         moved = rank.join(steps, ["walk", "host"]).select("walk", F.col("to").alias("host"), (F.lit(damping) * F.col("r") * F.col("w")).alias("r"))
         rank = moved.unionByName(jump).groupBy("walk", "host").agg(F.sum("r").alias("r"))
-        if k % 5 == 4:
+        if k % STRIDE == STRIDE - 1:
             rank = spool(rank, "host-rank")
+            both = rank.unionByName(last.withColumn("r", -F.col("r"))).groupBy("walk", "host").agg(F.abs(F.sum("r")).alias("by"))
+            if (both.agg(F.max("by")).first()[0] or 0.0) <= residual:
+                break
+            last = rank
     ends = rank.groupBy("walk").agg(F.sum("r").alias("all_r"))  # two rows
     part = rank.join(F.broadcast(ends), "walk").withColumn("r", F.col("r") / F.col("all_r"))
     pick = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("r")).otherwise(0.0)).alias(walk)
     return part.groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
-def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, residual: float = RESIDUAL) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages.
 
     pages needs page_id, url and html; other columns are ignored, whatever their names. A null url and one without
@@ -93,7 +106,7 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rou
     links = spool(said.groupBy("src", "dst").agg(F.count("*").alias("n"), count("allow"), count("block")), "host-links")
     linked = links.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("n_pages"), F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block"))
     hosts = spool(hosts.unionByName(linked.join(hosts, "host", "left_anti")), "nodes")
-    scores = host_scores(hosts, links.select("src", "dst", "n"), rounds)
+    scores = host_scores(hosts, links.select("src", "dst", "n"), residual)
     n_hosts = hosts.agg(F.count("*").alias("n_hosts"))  # one row
     bad = F.round(F.col("distrust") - F.col("trust"), 9).__gt__(0) & (F.round(F.col("distrust") * F.col("n_hosts"), 9) > 1)
     judged = spool(scores.crossJoin(F.broadcast(n_hosts)).select("host", "trust", "distrust", bad.alias("bad")), "host-verdicts")
@@ -102,7 +115,7 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rou
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(F.coalesce("trust", F.lit(0.0)), 6).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 6).alias("distrust"))
 
 
-def judge_pages_sql(rules: list[tuple[str, str, str]] = RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
+def judge_pages_sql(rules: list[tuple[str, str, str]] = RULES, residual: float = RESIDUAL, damping: float = DAMPING) -> str:
     """The same for DuckDB, on a table pages."""
 
     def case(value):
@@ -110,7 +123,8 @@ def judge_pages_sql(rules: list[tuple[str, str, str]] = RULES, rounds: int = ROU
         return "CASE " + " ".join(parts) + " END"
 
     rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
-    sql = f"""WITH cut AS MATERIALIZED (SELECT page_id, html, coalesce({rest}, '') AS rest FROM pages),
+    rounds = most_rounds(residual, damping)
+    return f"""WITH RECURSIVE cut AS MATERIALIZED (SELECT page_id, html, coalesce({rest}, '') AS rest FROM pages),
 split AS MATERIALIZED (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 ruled AS MATERIALIZED (SELECT *, {case("rule")} AS rule, {case("verdict")} AS said FROM split),
@@ -122,13 +136,10 @@ hosts AS MATERIALIZED (SELECT * FROM paged UNION ALL SELECT dst, sum(n), sum(n_a
 steps AS MATERIALIZED (SELECT 'trust' AS walk, src AS host, dst AS "to", n / sum(n) OVER (PARTITION BY src) AS w FROM links
   UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
 raw AS MATERIALIZED (SELECT 'trust' AS walk, host, n_allow / n_pages AS s FROM hosts WHERE n_allow > 0 UNION ALL SELECT 'distrust', host, n_block / n_pages FROM hosts WHERE n_block > 0),
-r0 AS MATERIALIZED (SELECT walk, host, s / sum(s) OVER (PARTITION BY walk) AS r FROM raw)"""
-    for k in range(rounds):
-        sql += f""",
-r{k + 1} AS MATERIALIZED (SELECT walk, host, sum(r) AS r FROM (SELECT walk, s."to" AS host, {damping} * r * w AS r FROM r{k} JOIN steps s USING (walk, host)
-  UNION ALL SELECT walk, host, {1 - damping} * r FROM r0) GROUP BY 1, 2)"""
-    return sql + f""",
-scaled AS (SELECT walk, host, r / sum(r) OVER (PARTITION BY walk) AS r FROM r{rounds}),
+r0 AS MATERIALIZED (SELECT walk, host, s / sum(s) OVER (PARTITION BY walk) AS r FROM raw),
+walked AS (SELECT 0 AS k, walk, host, r FROM r0 UNION ALL SELECT k + 1, walk, host, sum(r) FROM (SELECT k, walk, s."to" AS host, {damping} * r * w AS r FROM walked JOIN steps s USING (walk, host)
+  UNION ALL SELECT k, walk, host, {1 - damping} * r0.r FROM r0, (SELECT DISTINCT k FROM walked)) WHERE k < {rounds} GROUP BY k, walk, host),
+scaled AS (SELECT walk, host, r / sum(r) OVER (PARTITION BY walk) AS r FROM walked WHERE k = {rounds}),
 scores AS MATERIALIZED (SELECT host, coalesce(sum(r) FILTER (walk = 'trust'), 0) AS trust, coalesce(sum(r) FILTER (walk = 'distrust'), 0) AS distrust FROM scaled GROUP BY host)
 SELECT page_id, ruled.host, path, rule,
   coalesce(said, CASE WHEN round(distrust - trust, 9) > 0 AND round(distrust * (SELECT count(*) FROM hosts), 9) > 1 THEN 'block' ELSE 'allow' END) AS verdict,
