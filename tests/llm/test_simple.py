@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -107,10 +108,19 @@ def test_sharding(docs):
     assert sharding.shard_documents(docs.limit(0), 7).count() == 0
 
 
-def test_communication_matrix():
-    m = sharding.communication_matrix([5, 0, 1000, 37, 2], 6, 1)
-    assert m.sum(axis=1).tolist() == [5, 0, 1000, 37, 2] and np.ptp(m.sum(axis=0)) <= 1
-    rng = np.random.default_rng(0)
+def test_communication_matrix(spark):
+    sizes = [5, 0, 1000, 37, 2]
+    lines = lambda held, seed: {r["part"]: r["line"] for r in sharding.communication_lines(spark.createDataFrame(held, "part int, n long"), 6, seed).collect()}
+    m = lines(list(enumerate(sizes)), 1)
+    assert [sum(m[p]) for p in range(5)] == sizes and sorted(map(sum, zip(*m.values(), strict=True))) == [174] * 6
+    assert m == lines(list(enumerate(sizes)), 1) != lines(list(enumerate(sizes)), 2)
+    far = lines([(3, 10), (70_000, 20), (70_001, 3)], 4)  # three levels, parts missing between
+    assert {p: sum(v) for p, v in far.items()} == {3: 10, 70_000: 20, 70_001: 3} and sorted(map(sum, zip(*far.values(), strict=True))) == [5, 5, 5, 6, 6, 6]
+    assert lines([], 1) == {}
+    large = sharding.deal(np.random.default_rng(2), sharding.shard_sizes(10**11 + 3, 7), [10**10, 0, 9 * 10**10 + 3])
+    assert [int(v.sum()) for v in large] == [10**10, 0, 9 * 10**10 + 3] and (sum(large) == sharding.shard_sizes(10**11 + 3, 7)).all()
+    assert abs(large[0] - 10**10 / 7).max() < 8 * (10**10 / 7) ** 0.5
+    rng = np.random.default_rng(3)
     drawn = np.array([sharding.hypergeometric(rng, 30, 70, 20) for _ in range(4000)])
     assert abs(drawn.mean() - 6) < 0.15 and abs(drawn.var() - 20 * 0.3 * 0.7 * 80 / 99) < 0.3
     big = sharding.hypergeometric(rng, 3 * 10**10, 7 * 10**10, 10**6)
@@ -166,6 +176,29 @@ def test_quality_keeps_clean(spark, small):
     assert sum(good) / len(good) > 0.97
 
 
+def test_matrix_of_many_partitions(spark):
+    counts = spark.range(100_000).select(F.col("id").cast("int").alias("part"), (F.col("id") % 900 + 50).alias("n"))
+    began = time.time()
+    out = sharding.communication_lines(counts, 40, 5).select("part", F.aggregate("line", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), *[F.col("line")[k].alias(f"c{k}") for k in range(40)])
+    sums = out.join(counts.withColumnRenamed("n", "due"), "part").agg(F.count("*"), F.count_if(F.col("n") != F.col("due")), *[F.sum(f"c{k}") for k in range(40)]).first()
+    assert sums[:2] == (100_000, 0) and max(sums[2:]) - min(sums[2:]) <= 1 and time.time() - began < 60
+
+
+def test_shuffle_is_uniform(spark):
+    """Where a row stood tells nothing of its shard and slot: tables of counts stay within what chance allows."""
+    n, shards = 24_000, 4
+    rows = spark.range(0, n, 1, 6).select(F.col("id"))
+    for seed in (1, 2, 3):
+        out = np.array([(r["id"], r["shard"], r["slot"]) for r in sharding.shuffle_rows(rows, shards, seed).collect()])
+        cells = np.zeros((12, shards, 6))
+        np.add.at(cells, (out[:, 0] * 12 // n, out[:, 1], out[:, 2] * 6 * shards // n), 1)
+        chi = ((cells - n / cells.size) ** 2 / (n / cells.size)).sum()
+        free = cells.size - 12 - 24 + 1
+        assert abs(chi - free) < 5 * (2 * free) ** 0.5
+    with pytest.raises(ValueError, match="clash"):
+        sharding.shuffle_rows(rows.withColumn("Slot", F.lit(1)), shards)
+
+
 def brute_license(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
