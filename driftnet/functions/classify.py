@@ -73,14 +73,20 @@ def extension(path: Column) -> Column:
 def file_sums(files: Column) -> Column:
     """One struct of sums over a file list: n_files, n_video, total, video, junk, audio, has_subtitles, n_episodes."""
     files = F.coalesce(files, F.array().cast("array<struct<path:string,size:bigint>>"))
-    of = lambda kind: F.filter(files, lambda f: extension(f["path"]).isin(kind))
-    add = lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda a, f: a + F.coalesce(f["size"], F.lit(0)))
-    video = of(R.VIDEO_EXTENSIONS)
-    return F.struct(
+    told = F.transform(files, lambda f: F.struct(extension(f["path"]).alias("extension"), f["path"].alias("path"), F.coalesce(f["size"], F.lit(0)).alias("size")))
+    return N.let(told, sums_of)
+
+
+def sums_of(files: Column) -> Column:
+    """The sums of file_sums over files whose extensions are known."""
+    of = lambda kind: F.filter(files, lambda f: f["extension"].isin(kind))
+    add = lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda a, f: a + f["size"])
+    pick = lambda video: F.struct(
         F.size(files).alias("n_files"), F.size(video).alias("n_video"), add(files).alias("total"), add(video).alias("video"), add(of(R.JUNK_EXTENSIONS)).alias("junk"),
-        add(of(R.AUDIO_EXTENSIONS)).alias("audio"), (F.size(of(R.SUBTITLE_EXTENSIONS)) > 0).alias("has_subtitles"),
+        add(of(R.AUDIO_EXTENSIONS)).alias("audio"), F.exists(files, lambda f: f["extension"].isin(R.SUBTITLE_EXTENSIONS)).alias("has_subtitles"),
         F.size(F.filter(video, lambda f: N.any_of(f["path"], R.EPISODE_FILE))).alias("n_episodes"),
     )
+    return N.let(of(R.VIDEO_EXTENSIONS), pick)
 
 
 def has_media_files(sums: Column) -> Column:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 #: External ids that may be searched, with the column of each.
 EXTERNAL_IDS = {"imdb": "imdb_id", "tmdb": "tmdb_id", "tvdb": "tvdb_id", "anilist": "anilist_id", "kitsu": "kitsu_id"}
 API_COLUMNS = ["info_hash", "name", "size", "category", "quality", "imdb_id", "tmdb_id", "tvdb_id", "media_year", "seeders", "leechers", "discovered_at"]
-#: Keys up to this many are written into the plan or broadcast; more come as a DataFrame and are joined by a shuffle.
-INLINE_KEYS = 10_000
 
 
 def total_order(column: str) -> list[Column]:
@@ -19,6 +17,13 @@ def total_order(column: str) -> list[Column]:
     return [F.desc(column), F.asc("info_hash")]
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deals rows by a key over as many tasks as a shuffle has, and at least one a core: parsing a name costs far more than moving it, and neither small
+    files nor adaptive coalescing, which go by bytes, may leave it to a few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def with_defaults(rows: DataFrame) -> DataFrame:
     """Null sizes and update times read as 0."""
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("size", "updated_at") if c in rows.columns})

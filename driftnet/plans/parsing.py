@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftnet.functions import classify as K
 from driftnet.functions import names as N
+from driftnet.operators.catalog import spread
 from driftnet.plans import name_sql as Q
 from driftnet.plans.registry import query
 from driftnet.sources.derived import view
@@ -18,7 +19,7 @@ PERFORMERS, STUDIOS, KEYWORDS = ["small ring", "green tin ring"], ["large box"],
 
 
 def names(spark, d):
-    return view(spark, d, "catalog").select("k", "name")
+    return spread(view(spark, d, "catalog").select("k", "name"), "k")
 
 
 def one(column, give):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftnet.operators.catalog import spread
 from driftnet.plans import name_sql as Q
 from driftnet.plans.parsing import FILED
 from driftnet.plans.registry import query
@@ -91,7 +92,7 @@ def counters(spark, d):
 @query(f"{FILED}, v AS (SELECT k, name, {Q.adult()} OR ({Q.any_of('name', Q.R.JUNK_NAME)} AND NOT {Q.signals()}) OR {Q.junk_files()} AS junk, {Q.category()} AS category, {Q.quality_words('name')} AS quality, title, year, name_imdb AS imdb_id, total > 0 AND coalesce(video / total > 0.80, FALSE) AS media FROM filed) SELECT k, CASE WHEN junk THEN 'junk' WHEN category = 'unknown' AND NOT media THEN 'no media' ELSE 'keep' END AS verdict, category, quality, title, year, imdb_id FROM v", "catalog files")
 def build_rows(spark, d):
     files = view(spark, d, "files").groupBy("k").agg(F.collect_list(F.struct("path", "size")).alias("files"))
-    rows = view(spark, d, "catalog").select("k", "info_hash", "name", "size").join(files, "k", "left")
+    rows = spread(view(spark, d, "catalog").select("k", "info_hash", "name", "size"), "k").join(files, "k", "left")
     return P.build_rows(rows).select("k", "verdict", "category", "quality", "title", "year", "imdb_id")
 
 
@@ -99,7 +100,7 @@ def build_rows(spark, d):
 def persist_batch(spark, d):
     """Each hash arrives twice; the first arrival decides whether it becomes a row or a reject."""
     files = view(spark, d, "files").groupBy("k").agg(F.collect_list(F.struct("path", "size")).alias("files"))
-    own = view(spark, d, "catalog").select("k", "info_hash", "name", "size").join(files, "k", "left").withColumn("arrival", F.lit(0))
+    own = spread(view(spark, d, "catalog").select("k", "info_hash", "name", "size"), "k").join(files, "k", "left").withColumn("arrival", F.lit(0))
     again = own.withColumns({"arrival": F.lit(1), "name": F.lit("later"), "files": F.lit(None).cast("array<struct<path:string,size:bigint>>")})
     rows, rejects = P.persist(own.unionByName(again))
     return rows.select("info_hash", F.lit(True).alias("kept")).unionByName(rejects.select("info_hash", F.lit(False).alias("kept")))
