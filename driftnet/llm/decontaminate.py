@@ -1,9 +1,12 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units and names (runs of capitalised words) become typed placeholders, so that a re-parameterised question keeps its template. Windows of
-template tokens are joined by hash to those of the benchmark; hits are put together by benchmark item and relative offset, and an
+Numbers (digits or words), units and names (runs of capitalised words) become typed placeholders, so that a re-parameterised question keeps its
+template. Windows of template tokens are joined by hash to those of the benchmark; hits are put together by benchmark item and relative offset, and an
 alignment counts only if its slots are consistent: each value of the item stands for one value of the document.
 
+A unit that stands without a number ("km per hour") and a number in words may be plain words as well. Such soft slots count as literal tokens of an
+item's window, and an alignment is also read with its windows that keep them, where they are words and no slots.
+
 Windows of the plain lower-case tokens are posted too, with their values and without marks. They find verbatim text whatever its case, line
 breaks or left neighbour, items without enough literal tokens, and long verbatim stretches of an alignment that is not consistent as a whole.
 """
@@ -25,16 +28,22 @@ COMMON_ITEMS = 64
 BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|mi|miles|mile|ft|feet|inch|inches|kg|g|mg|lb|lbs|oz|tons|l|ml|litres|liters|gallons|s|sec|seconds|min|minutes|h|hours|hour|days|day|weeks|months|years|year|mph|kmh|hz|khz|mhz|ghz|w|kw|v|j|kj|cal|usd|eur|gbp|dollars|euros|pounds|cents|percent|degrees"
+#: The words that numbers are made of, and those that "and" may follow in a number.
+DIGITS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
+SCALES = "hundred|thousand|million|billion"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
-#: Between the words of a name.
+#: Between the words of a name or of a number.
 JOIN = "\u0004"
+#: A unit without a number, and a number in words where it is told apart from one in digits.
+FREE, SPELLED = "\u0005", "\u0006"
 #: Characters of scripts that part no words by spaces; each is a token.
 UNSPACED = r"[^\x{0}-\x{DFF}](?<=[฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\x{20000}-\x{3FFFF}])"
 
 
 def plain_tokens(text: Column) -> Column:
     """Lower-case tokens parted by one space. A capitalised word has the name mark before it, wherever it stands, so that marks do not depend on what
-    is around a passage; capitalised words in a row, with nothing but a space between, make one token.
+    is around a passage; capitalised words in a row, with nothing but a space between, make one token. So do the words of a number, and a number with
+    its unit ("90km") makes two.
 
     Every pattern begins with the character that it is about and looks behind afterwards, so that a text is passed at the cost of one test a character.
     """
@@ -42,19 +51,25 @@ def plain_tokens(text: Column) -> Column:
     named = F.regexp_replace(marked, rf"({NAME}[\p{{L}}\p{{M}}]+) (?={NAME})", f"$1{JOIN}")
     loose = F.regexp_replace(F.lower(named), r"[.,](?:(?!\p{N})|(?<!\p{N}[.,]))", " ")  # points and commas that stand in no number
     parted = F.regexp_replace(loose, rf"{UNSPACED}", " $0 ")
-    return F.trim(F.regexp_replace(parted, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}{JOIN}]+", " "))
+    clean = F.trim(F.regexp_replace(parted, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}{JOIN}]+", " "))
+    unglued = F.regexp_replace(clean, rf"(\p{{N}}(?<=(?:^| )\p{{N}})\p{{N}}*(?:[.,]\p{{N}}+)*)({UNITS})(?![^ ])", "$1 $2")
+    unnamed = F.regexp_replace(unglued, rf"{NAME}(?<!{JOIN}{NAME})({DIGITS})(?![^ ])", "$1")  # a number at the start of a sentence
+    joined = F.regexp_replace(unnamed, rf" (?=(?:{DIGITS})(?![^ ]))(?<=(?<![^ ])(?:{DIGITS}|(?:{SCALES}) and) )", JOIN)
+    return F.regexp_replace(joined, rf" (?=and{JOIN}(?:{DIGITS}))", JOIN)
 
 
-def template(plain: Column) -> Column:
-    """The same tokens with placeholders for numbers, units after numbers, and names."""
+def template(plain: Column, spelled: str = NUMBER) -> Column:
+    """The same tokens with placeholders for numbers, units after numbers, other units, and names; spelled is that of numbers in words."""
     numbers = F.regexp_replace(plain, r"\p{N}(?<=(?:^| )\p{N})\p{N}*(?:[.,]\p{N}+)*(?![^ ])", NUMBER)
-    units = F.regexp_replace(numbers, rf"{NUMBER} (?:{UNITS})(?![^ ])", f"{NUMBER} {UNIT}")
-    return F.regexp_replace(units, rf"{NAME}[^ ]*", NAME)
+    in_words = F.regexp_replace(numbers, rf"(^| )(?:{DIGITS})(?:{JOIN}(?:and{JOIN})?(?:{DIGITS}))*(?![^ ])", f"$1{spelled}")
+    units = F.regexp_replace(in_words, rf"([{NUMBER}{SPELLED}]) (?:{UNITS})(?![^ ])", f"$1 {UNIT}")
+    free = F.regexp_replace(units, rf"(^| )(?:{UNITS})(?![^ ])", f"$1{FREE}")
+    return F.regexp_replace(free, rf"{NAME}[^ ]*", NAME)
 
 
 def spelled_template(plain: Column) -> Column:
-    """The template with a placeholder for each word of a name."""
-    return template(F.replace(plain, F.lit(JOIN), F.lit(" ")))
+    """The template with a placeholder for each word of a name or of a number."""
+    return template(F.replace(plain, F.lit(JOIN), F.lit(" ")), SPELLED)
 
 
 def values(plain: Column) -> Column:
@@ -63,7 +78,7 @@ def values(plain: Column) -> Column:
 
 
 def words(plain: Column) -> Column:
-    """The tokens of names one by one, without marks."""
+    """The tokens of names and numbers one by one, without marks."""
     return F.replace(values(plain), F.lit(JOIN), F.lit(" "))
 
 
@@ -81,8 +96,12 @@ def window_tokens(of: str, width: int) -> list[Column]:
     return [F.col(f"{of}.t{k}") for k in range(width)]
 
 
+def is_soft(token: Column) -> Column:
+    return token.isin(FREE, SPELLED)
+
+
 def is_slot(token: Column) -> Column:
-    return token.isin(NAME, NUMBER, UNIT)
+    return token.isin(NAME, NUMBER, UNIT) | is_soft(token)
 
 
 def best_run(spots: Column, width: Column) -> Column:
@@ -105,24 +124,25 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def both_kinds(rows: DataFrame, *keep: str) -> DataFrame:
+def both_kinds(rows: DataFrame, *keep: str, spelled: str = NUMBER) -> DataFrame:
     """The columns to keep, t (tokens of the template) and v (plain tokens) of a column text."""
     plain = rows.select(*keep, once(plain_tokens(F.col("text"))).alias("plain"))
-    lines = plain.select(*keep, "plain", once(template(F.col("plain"))).alias("t")).select(*keep, "t", once(words(F.col("plain"))).alias("v"))
+    lines = plain.select(*keep, "plain", once(template(F.col("plain"), spelled)).alias("t")).select(*keep, "t", once(words(F.col("plain"))).alias("v"))
     return lines.select(*keep, tokens(F.col("t")).alias("t"), tokens(F.col("v")).alias("v"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, plain, width, need, n, spot, h: the n windows of an item, with the first place of each distinct one, of its template (with enough literal tokens) and of its plain tokens."""
-    split = both_kinds(items, "item_id")
+    split = both_kinds(items, "item_id", spelled=SPELLED)
     every = None
     for width in range(1, WINDOW + 1):
         own = split.filter(F.size("t") >= WINDOW if width == WINDOW else F.size("t") == width)
         for plain in (False, True) if width >= LEAST_TOKENS else (True,):
             at = own.select("item_id", F.posexplode(windows(F.col("v" if plain else "t"), width)).alias("p", "w"))
-            literal = sum((F.when(is_slot(c), 0).otherwise(1) for c in window_tokens("w", width)), F.lit(0))
+            literal = sum((F.when(is_slot(c) & ~is_soft(c), 0).otherwise(1) for c in window_tokens("w", width)), F.lit(0))
+            hashed = F.xxhash64(*[F.when(c == SPELLED, NUMBER).otherwise(c) for c in window_tokens("w", width)])  # as in documents
             kept = at if plain else at.filter(literal >= LITERALS)
-            kept = kept.select("item_id", F.lit(plain).alias("plain"), F.lit(width).alias("width"), F.xxhash64(*window_tokens("w", width)).alias("h"), (F.col("p") + 1).cast("long").alias("spot"))
+            kept = kept.select("item_id", F.lit(plain).alias("plain"), F.lit(width).alias("width"), hashed.alias("h"), (F.col("p") + 1).cast("long").alias("spot"))
             every = kept if every is None else every.unionByName(kept)
     first = every.groupBy("item_id", "plain", "width", "h").agg(F.min("spot").alias("spot"))
     told = first.groupBy("item_id", "plain", "width").agg(F.count("*").alias("n"), F.collect_set("spot").alias("spots"))
@@ -178,21 +198,32 @@ def hits_of(keyed: DataFrame, bench: DataFrame, widths: list[int], small: bool)
     return hits.unionByName(all_widths(both_kinds(held, "doc_id", "text_key"), by_pair))
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, text_key, item_id, n_windows, n_slots, n_changed for each document that holds a benchmark item or a good part of it.
+def by_kind(text: Column) -> Column:
+    """The tokens that the places of an alignment count."""
+    plain = plain_tokens(text)
+    return tokens(F.when(F.col("plain"), words(plain)).otherwise(values(plain)))
 
-    A good part is an alignment of enough template windows with consistent slots, or a run of enough plain windows without a gap.
 
-    n_windows: windows in the best alignment; n_slots: placeholders there; n_changed: those whose value differs from the item's.
-    docs needs doc_id and text, items item_id and text; other columns are ignored, whatever their names. Null and empty texts match
-    nothing. Repeated rows give one row; an item of several texts is found
-    by any of them, items of equal texts by the same, and each id has one row for a document. A null doc_id or item_id is
-    carried along as null. Whole texts of any length are compared; among equally good alignments the one with fewer changed slots, then the first, is shown.
+def readings() -> Column:
+    """strict, n_windows, first, behind: an alignment with all its windows, and with those that keep the item's soft slots, where one changed.
+
+    Plain windows have no changed slot.
     """
-    ids = items.select("item_id", F.xxhash64("text").alias("item_key"), "text").dropDuplicates()
+    everything = F.struct(F.lit(False).alias("strict"), "n_windows", "first", "behind")
+    places = F.sequence(F.col("first"), F.col("behind") - 1)
+    at = lambda of, p: F.get(F.col(of), (p - 1).cast("int"))
+    changed = F.filter(places, lambda p: is_soft(at("item_template", p)) & (at("item_values", p) != at("doc_values", p + F.col("offset"))))
+    kept = F.filter("spots", lambda s: ~F.exists(changed, lambda p: (p >= s) & (p < s + F.col("width"))))
+    strict = F.struct(F.lit(True).alias("strict"), F.size(kept).cast("long").alias("n_windows"), F.array_min(kept).alias("first"), (F.array_max(kept) + F.col("width")).alias("behind"))
+    return F.when(~F.col("plain") & (F.size(changed) > 0), F.array(everything, strict)).otherwise(F.array(everything))
+
+
+def best_matches(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, bool, DataFrame]:
+    """doc_id, text_key, item_key, best (n_windows, same, place, n_slots) for each document and text of an item that it holds; if the benchmark
+    is small enough to be broadcast; and its windows. ids: item_id, item_key, text."""
     items = ids.select(F.col("item_key").alias("item_id"), "text").dropDuplicates(["item_id"])  # items of the same text are compared once
     bench = spool(with_late(benchmark_windows(items)), "benchmark-windows")
-    widths = [r["width"] for r in bench.select("width").distinct().collect()]  # WINDOW - LEAST_TOKENS + 1 values at most
+    widths = [r["width"] for r in bench.select("width").distinct().collect()]  # WINDOW values at most
     size = ids.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     small = size <= BROADCAST_BYTES and bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -201,32 +232,84 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     aligned = aligned.filter(F.size("spots") >= F.col("need"))
     whole = F.struct(F.size("spots").cast("long").alias("n"), F.array_min("spots").alias("first"), F.array_max("spots").alias("last"))
     told = aligned.withColumn("run", F.when(F.col("plain"), best_run(F.col("spots"), F.col("width"))).otherwise(whole)).filter("run.n >= need")
-    enough = told.select("doc_id", "text_key", "item_id", "plain", "offset", F.col("run.n").alias("n_windows"), F.col("run.first").alias("first"), (F.col("run.last") + F.col("width")).alias("behind"))
-    def by_kind(text: Column) -> Column:
-        """The tokens that the places of an alignment count."""
-        plain = plain_tokens(text)
-        return tokens(F.when(F.col("plain"), words(plain)).otherwise(values(plain)))
+    keep = ["doc_id", "text_key", "item_id", "plain", "offset", "spots", "width", "need"]
+    enough = told.select(*keep, F.col("run.n").alias("n_windows"), F.col("run.first").alias("first"), (F.col("run.last") + F.col("width")).alias("behind"))
 
     item_side = items.select(F.col("item_id").alias("own_item"), F.col("text").alias("item_text"))
     doc_side = keyed.withColumnRenamed("doc_id", "own_doc").withColumnRenamed("text_key", "own_key")
     both = doc_side.join(enough, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")))
-    both = both.select("doc_id", "text_key", "item_id", "plain", "offset", "n_windows", "first", "behind", by_kind(F.col("text")).alias("doc_values"))
+    both = both.select(*keep, "n_windows", "first", "behind", by_kind(F.col("text")).alias("doc_values"))
     both = both.join(F.broadcast(item_side) if small else item_side, F.col("own_item").eqNullSafe(F.col("item_id")))
     own = plain_tokens(F.col("item_text"))
-    both = both.withColumns({"item_values": by_kind(F.col("item_text")), "item_template": tokens(F.when(F.col("plain"), spelled_template(own)).otherwise(template(own)))})
+    both = both.withColumns({"item_values": by_kind(F.col("item_text")), "item_template": tokens(F.when(F.col("plain"), spelled_template(own)).otherwise(template(own, SPELLED)))})
+    each = both.withColumn("reading", F.explode(readings())).filter("reading.n_windows >= need")
+    each = each.withColumns({c: F.col(f"reading.{c}") for c in ("strict", "n_windows", "first", "behind")})
     length = (F.col("behind") - F.col("first")).cast("int")
     start = F.col("first").cast("int")
     zipped = F.arrays_zip(F.slice("item_template", start, length).alias("kind"), F.slice("item_values", start, length).alias("item"), F.slice("doc_values", (F.col("first") + F.col("offset")).cast("int"), length).alias("doc"))
-    slots = both.withColumn("slots", F.filter(zipped, lambda s: is_slot(s["kind"])))
+    slots = each.withColumn("slots", F.filter(zipped, lambda s: is_slot(s["kind"]) & ~(F.col("strict") & is_soft(s["kind"]))))
     pairs = F.array_distinct("slots")
     one_way = F.size(pairs) == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
     changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
     consistent = slots.filter(one_way | (changed == 0))
     best = consistent.select("doc_id", "text_key", F.col("item_id").alias("item_key"), F.struct("n_windows", (-changed).alias("same"), (-F.col("offset")).alias("place"), F.size("slots").alias("n_slots")).alias("best"))
-    best = best.groupBy("doc_id", "text_key", "item_key").agg(F.max("best").alias("best"))
+    return best.groupBy("doc_id", "text_key", "item_key").agg(F.max("best").alias("best")), small, bench
+
+
+def keyed_items(items: DataFrame) -> DataFrame:
+    return items.select("item_id", F.xxhash64("text").alias("item_key"), "text").dropDuplicates()
+
+
+def figures() -> list[Column]:
+    return [F.col("best.n_windows").alias("n_windows"), F.col("best.n_slots").cast("long").alias("n_slots"), (-F.col("best.same")).cast("long").alias("n_changed")]
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text_key, item_id, n_windows, n_slots, n_changed for each document that holds a benchmark item or a good part of it.
+
+    A good part is an alignment of enough template windows with consistent slots, or a run of enough plain windows without a gap.
+
+    n_windows: windows in the best alignment; n_slots: placeholders there; n_changed: those whose value differs from the item's.
+    docs needs doc_id and text, items item_id and text; other columns are ignored, whatever their names. Null and empty texts match
+    nothing. Repeated rows give one row; an item of several texts is found
+    by any of them, items of equal texts by the same, and each id has one row for a document. A null doc_id or item_id is
+    carried along as null. Whole texts of any length are compared; among equally good alignments the one with fewer changed slots, then the first, is shown.
+    """
+    ids = keyed_items(items)
+    best, small, _ = best_matches(docs, ids)
     named = ids.select("item_id", "item_key")
     told = best.join(F.broadcast(named) if small else named, "item_key").groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best"))
-    return told.select("doc_id", "text_key", "item_id", "best.n_windows", F.col("best.n_slots").cast("long").alias("n_slots"), (-F.col("best.same")).cast("long").alias("n_changed"))
+    return told.select("doc_id", "text_key", "item_id", *figures())
+
+
+def item_classes(items: DataFrame, bench: DataFrame | None = None) -> DataFrame:
+    """item_id, item_key, class_key, class_id: items of one template are one class, by its least item_id. Items without template windows are a class
+    with those of the same text. An item of several texts is in the class of each; class_id is null where no item of the class has an id. bench: the windows of the items, by item_key, if they are at hand."""
+    ids = keyed_items(items)
+    texts = ids.select(F.col("item_key").alias("item_id"), "text").dropDuplicates(["item_id"])
+    having = (benchmark_windows(texts) if bench is None else bench).filter("NOT plain").select(F.col("item_id").alias("item_key"), F.lit(True).alias("has")).distinct()
+    lines = both_kinds(texts.withColumnRenamed("item_id", "item_key"), "item_key").select("item_key", F.xxhash64("t").alias("line"))
+    keys = lines.join(having, "item_key", "left").select("item_key", F.when(F.col("has"), F.col("line")).otherwise(F.col("item_key")).alias("class_key"), F.coalesce("has", F.lit(False)).alias("by_line"))
+    placed = ids.select("item_id", "item_key").join(keys, "item_key")
+    least = placed.groupBy("class_key", "by_line").agg(F.min("item_id").alias("class_id"))
+    return placed.join(least, ["class_key", "by_line"]).select("item_id", "item_key", F.xxhash64("class_key", "by_line").alias("class_key"), "class_id")
+
+
+def leak_classes(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As `leaks`, with one row for a document and a class of items (`item_classes`), so that the variants of a template give one row and not a row each.
+
+    doc_id, text_key, class_id, item_id (of the best alignment, the least of equals), n_items (distinct ids of the class), n_windows, n_slots, n_changed.
+    """
+    ids = keyed_items(items)
+    best, small, bench = best_matches(docs, ids)
+    placed = spool(item_classes(items, bench), "item-classes")
+    of_text = placed.groupBy("item_key").agg(F.min("class_key").alias("class_key"), F.min("item_id").alias("item_id"))
+    of_class = placed.groupBy("class_key").agg(F.min("class_id").alias("class_id"), F.countDistinct("item_id").alias("n_items"))
+    named = of_text.join(of_class, "class_key")
+    met = best.join(F.broadcast(named) if small else named, "item_key")
+    order = F.struct("best", F.col("item_id").isNull().alias("last"), (-F.coalesce("item_id", F.lit(0))).alias("least"))
+    told = met.groupBy("doc_id", "text_key", "class_key").agg(F.max("best").alias("best"), F.max_by("item_id", order).alias("item_id"), F.first("class_id").alias("class_id"), F.first("n_items").alias("n_items"))
+    return told.select("doc_id", "text_key", "class_id", "item_id", "n_items", *figures())
 
 
 def verbatim_only(items: DataFrame) -> DataFrame:
@@ -238,5 +321,6 @@ def verbatim_only(items: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
     doc, key = free_names(docs, "gone_doc", "gone_key")
-    gone = leaks(docs, items).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    best, _, _ = best_matches(docs, keyed_items(items))
+    gone = best.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")

@@ -201,6 +201,39 @@ def test_names_at_the_start_and_of_more_words(spark):
     assert found(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
 
 
+SPEED = "A train travels 120 km in 2 hours. What is its average speed in km per hour?"
+
+
+def test_units_anywhere_glued_and_in_words(spark):
+    docs = [
+        SPEED.replace("120 km", "300 miles").replace("2 hours", "5 hours").replace("km per", "miles per"), SPEED.replace("120 km", "90km").replace("2 hours", "3h"), SPEED.replace("120 km", "one hundred km").replace("2 hours", "two hours"),
+        "Quiz. " + SPEED.replace("120", "two hundred and fifty-five").replace("2 hours", "3 days").replace("per hour", "per day"), SPEED, SPEED.replace("train travels", "ship sails").replace("average", "mean"), "How many miles per hour is that in km per second, and why is it so?",
+    ]
+    assert found(spark, docs, [SPEED]) == {(k, 0) for k in range(5)}
+
+
+def test_soft_slots_may_be_plain_words(spark):
+    """Where a unit or number word is not replaced alike, the windows that keep it still count."""
+    item = "Only one of the old clocks in the long hall of the castle shows the right hour, and not one of them ever shows the day of the month or the year"
+    changed = item.replace("not one of them", "not two of them")
+    assert found(spark, [item, changed, item.upper()], [item]) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_variants_of_a_template_are_a_class(spark):
+    text = "Alice buys {} red apples for {} dollars each at the market on Monday, how much money has Alice paid in total after {} days?"
+    items = spark.createDataFrame([(k, text.format(k + 2, 2 * k + 300, k + 900)) for k in range(200)] + [(500, "1 2 3"), (501, "1 2 3"), (502, "4 5 6"), (None, "7 8 9")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"Number {k}: " + text.format(k + 7001, 3 * k + 8000, k + 9000).replace("Alice", "Bob")) for k in range(50)] + [(90, text.format(5, 306, 903)), (91, "So 1 2 3"), (92, "7 8 9"), (93, None)], "doc_id long, text string")
+    rows = decontaminate.leak_classes(docs, items).collect()
+    out = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(out) == 53
+    assert all((out[k]["class_id"], out[k]["n_items"]) == (0, 200) and out[k]["n_changed"] > 0 for k in range(50))
+    assert tuple(out[90])[2:5] == (0, 3, 200) and out[90]["n_changed"] == 0
+    assert tuple(out[91])[2:5] == (500, 500, 2) and tuple(out[92])[2:5] == (None, None, 0)
+    classes = {(r["item_id"], r["class_id"]) for r in decontaminate.item_classes(items).collect()}
+    assert classes == {(k, 0) for k in range(200)} | {(500, 500), (501, 500), (502, 502), (None, None)}
+    assert decontaminate.leak_classes(docs, items.limit(0)).count() == 0
+
+
 def test_shuffled_benchmark_and_clashing_columns(spark, small, monkeypatch):
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     near = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))

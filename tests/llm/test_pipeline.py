@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import math
 
 import public_tokenizers
@@ -17,11 +18,13 @@ from driftnet.llm.common import table
 from tests.llm.test_groups import brute_components
 from tests.llm.test_simple import brute_base
 
-UNITS = set(decontaminate.UNITS.split("|"))
+UNITS, DIGITS, SCALES = (set(x.split("|")) for x in (decontaminate.UNITS, decontaminate.DIGITS, decontaminate.SCALES))
+GLUED = regex.compile(rf"(\p{{N}}+(?:[.,]\p{{N}}+)*)({decontaminate.UNITS})")
 
 
 def brute_tokens(text):
-    """(kind, value) of each token of a text without unspaced scripts: a name is a run of capitalised words with one space between."""
+    """(kind, value) of each token of a text without unspaced scripts: a name is a run of capitalised words with one space between, a spelled number
+    a run of number words, with "and" behind hundred and the like; units are bound to a number before them or free."""
     out, end, joins = [], None, False
     for m in regex.finditer(r"(?:[\p{L}\p{M}\p{N}]|(?<=\p{N})[.,](?=\p{N}))+", text or ""):
         w = m[0]
@@ -33,17 +36,54 @@ def brute_tokens(text):
             out.append(("name", low))
         elif regex.fullmatch(r"\p{N}+(?:[.,]\p{N}+)*", low):
             out.append(("number", low))
-        elif low in UNITS and out and out[-1][0] == "number":
-            out.append(("unit", low))
+        elif glued := GLUED.fullmatch(low):
+            out += [("number", glued[1]), ("word", glued[2])]
         else:
             out.append(("word", low))
         end, joins = m.end(), name and regex.fullmatch(r"[\p{L}\p{M}]+", w) is not None
+    return with_units(with_spelled(out))
+
+
+def with_spelled(tokens):
+    out, k = [], 0
+    digit = lambda j: j < len(tokens) and tokens[j][0] in ("word", "name") and tokens[j][1] in DIGITS
+    while k < len(tokens):
+        if not digit(k):
+            out.append(tokens[k])
+            k += 1
+            continue
+        run = [tokens[k][1]]
+        k += 1
+        while True:
+            if digit(k):
+                run, k = [*run, tokens[k][1]], k + 1
+            elif k < len(tokens) and tokens[k] == ("word", "and") and run[-1] in SCALES and digit(k + 1):
+                run, k = [*run, "and", tokens[k + 1][1]], k + 2
+            else:
+                break
+        out.append(("spelled", " ".join(run)))
+    return out
+
+
+def with_units(tokens):
+    out = []
+    for k, v in tokens:
+        if k == "word" and v in UNITS:
+            k = "unit" if out and out[-1][0] in ("number", "spelled") else "free"
+        out.append((k, v))
     return out
 
 
+def literal(token):
+    return token[0] in ("word", *SOFT)
+
+
+SOFT = ("spelled", "free")
+
+
 def by_word(tokens):
-    """The tokens with names word by word; only these kinds count as slots of plain windows."""
-    return [(k, w) for k, v in tokens for w in v.split(" ")]
+    """The tokens with names and numbers word by word; only these kinds count as slots of plain windows."""
+    return [("word" if k == "spelled" and w == "and" else k, w) for k, v in tokens for w in v.split(" ")]
 
 
 def longest_run(spots, width):
@@ -56,7 +96,7 @@ def longest_run(spots, width):
 
 def brute_windows(tokens, width, plain):
     """Places of each window; a token that is no slot is told apart from a placeholder of the same letters."""
-    kinds = [(v, True) if plain or k == "word" else (k, False) for k, v in tokens]
+    kinds = [(v, True) if plain or k == "word" else ("number" if k == "spelled" else k, False) for k, v in tokens]
     out = {}
     for k in range(len(kinds) - width + 1):
         out.setdefault(tuple(kinds[k : k + width]), []).append(k)
@@ -68,7 +108,9 @@ def brute_leak(doc, item, windows_of_doc):
     width, found = min(8, len(item)), []
     for plain in (False, True) if width else ():
         a, b = (by_word(item), by_word(doc)) if plain else (item, doc)
-        first = {w: places[0] for w, places in brute_windows(a, width, plain).items() if plain or (width >= 5 and sum(x[1] for x in w) >= 4)}
+        rich = lambda p, a=a: sum(map(literal, a[p : p + width])) >= 4
+        places = {w: [p for p in at if plain or (width >= 5 and rich(p))] for w, at in brute_windows(a, width, plain).items()}
+        first = {w: at[0] for w, at in places.items() if at}
         if not first:
             continue
         need = min(6, len(longest_run(first.values(), width)) if plain else len(first))
@@ -76,11 +118,12 @@ def brute_leak(doc, item, windows_of_doc):
         for w, spot in first.items():
             for k in windows_of_doc(width, plain).get(w, ()):
                 aligned.setdefault(k - spot, set()).add(spot)
-        for offset, spots in aligned.items():
-            run = longest_run(spots, width) if plain else sorted(spots)
+        for (offset, spots), strict in itertools.product(aligned.items(), (False, True)):
+            kept = {s for s in spots if not strict or all(a[k][0] not in SOFT or a[k][1] == b[k + offset][1] for k in range(s, s + width))}
+            run = longest_run(kept, width) if plain else sorted(kept)
             if len(run) < need:
                 continue
-            slots = [(a[k], b[k + offset][1]) for k in range(run[0], run[-1] + width) if a[k][0] != "word"]
+            slots = [(a[k], b[k + offset][1]) for k in range(run[0], run[-1] + width) if a[k][0] != "word" and not (strict and a[k][0] in SOFT)]
             changed = sum(x[1] != y for x, y in slots)
             if changed == 0 or len(set(slots)) == len({x for x, _ in slots}):
                 found.append((len(run), -changed, -offset, len(slots)))
@@ -99,6 +142,8 @@ def brute_leaks(docs, items):
     return told
 
 
+SPEED = "A train travels 120 km in 2 hours. What is its average speed in km per hour?"
+COUNT = "Nobody knows which one of the three old keys opens the door of the hut, so one by one all of the keys are tried in a day or one hour."
 STEM = "Read the passage below with care and then answer the question that follows it in one short sentence. "
 TAILS = [
     "How many apples does Alice Smith have after 5 days if she buys 12 of them each morning?", "Which river flows through the old town of Verona before it meets the sea?", "What does the writer think of the new bridge over the harbour and why?",
@@ -111,15 +156,16 @@ def test_leaks_against_plain_python(spark, small, monkeypatch, common, near):
     """All items share a long stem: its windows are late where few items may share a window, and results are the same."""
     monkeypatch.setattr(decontaminate, "COMMON_ITEMS", common)
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", near)
-    items = [(k, STEM + t) for k, t in enumerate(TAILS)] + [(10, STEM.strip()), (11, "Answer in one short sentence."), (12, "3 + 4 = 7"), (13, STEM + TAILS[0])]
+    items = [(k, STEM + t) for k, t in enumerate(TAILS)] + [(10, STEM.strip()), (11, "Answer in one short sentence."), (12, "3 + 4 = 7"), (13, STEM + TAILS[0]), (14, SPEED), (15, COUNT)]
     items += [(100 + r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     texts = [STEM + TAILS[3].replace("300", "80").replace("9", "10"), "Bob says: " + TAILS[0].replace("Alice Smith", "Bob").replace("12", "44"), STEM + "Nothing else.", (STEM + TAILS[1]).upper(), " ".join(reversed(TAILS)), STEM[:60] + TAILS[4], None, "", "x 3 4 7 y"]
+    texts += [SPEED.replace("120 km", "300 miles").replace("2 hours", "5 hours").replace("km per", "miles per"), SPEED.replace("120 km", "90km").replace("2 hours", "3h"), SPEED.replace("120 km", "One hundred and twenty-five km").replace("2", "two"), COUNT, COUNT.replace("three", "5"), COUNT.replace("one of the", "two of the")]
     docs = list(enumerate(texts)) + [(50 + k, f"Intro words here. {t} And more.") for k, (_, t) in enumerate(items)]
     docs += [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").filter("doc_id % 4 = 0").collect()]
     want = brute_leaks(docs, items)
     out = decontaminate.leaks(spark.createDataFrame([*docs, docs[0]], "doc_id long, text string"), spark.createDataFrame([*items, items[0]], "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_slots"], r["n_changed"]) for r in out} == want
-    assert len(out) == len(want) and {(0, 3), (1, 0), (3, 1), (4, 4), (2, 10)} <= set(want) and (5, 0) not in want and any(k[0] >= 1000 for k in want)
+    assert len(out) == len(want) and {(0, 3), (1, 0), (3, 1), (4, 4), (2, 10), (9, 14), (10, 14), (11, 14), (12, 15), (13, 15)} <= set(want) and (5, 0) not in want and any(k[0] >= 1000 for k in want)
 
 
 #: Columns of an operator's own that documents may have as well.
