@@ -46,14 +46,16 @@ def coerce(settings: DataFrame, kinds: DataFrame) -> DataFrame:
     """key, kind, fits, flag, number, lines, level: the settings that have a kind, with the value in the column of the kind.
 
     kinds: key, kind (flag, number, duration, lines or level), least, most (bounds of a number; null for none). Unknown keys are left out; a value that is null or
-    does not fit has fits = false and nulls, so that `F.coalesce` with a default keeps the default. A duration is a number of nanoseconds.
+    does not fit has fits = false and nulls, so that `F.coalesce` with a default keeps the default. A duration is a number of nanoseconds. Other columns
+    of the settings are carried along; they may not have the names of these.
     """
-    rows = settings.select("key", "value").join(kinds.select("key", "kind", "least", "most"), "key")
+    others = [c for c in settings.columns if c not in ("key", "value")]
+    rows = settings.join(kinds.select("key", "kind", "least", "most"), "key")
     value, of = F.col("value"), lambda kind: F.col("kind") == kind
     whole = as_number(value, -(2**63), None)
     bounded = F.when((whole >= F.coalesce("least", whole)) & (whole <= F.coalesce("most", whole)), whole)
     typed = rows.select(
-        "key", "kind", F.when(of("flag"), as_flag(value)).alias("flag"), F.when(of("number"), bounded).when(of("duration"), as_nanoseconds(value)).alias("number"),
+        *others, "key", "kind", F.when(of("flag"), as_flag(value)).alias("flag"), F.when(of("number"), bounded).when(of("duration"), as_nanoseconds(value)).alias("number"),
         F.when(of("lines"), as_lines(value)).alias("lines"), F.when(of("level"), as_level(value)).alias("level"),
     )
     return typed.withColumn("fits", F.col("number").isNotNull() | F.col("flag").isNotNull() | F.col("lines").isNotNull() | F.col("level").isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftnet.operators import mutate as M
+from driftnet.operators import settings as C
 from driftnet.plans.registry import query
 from driftnet.session import shared_dir
 from driftnet.sources.derived import view
@@ -159,3 +160,20 @@ def refresh_on_arrival(spark, d):
 def announce_peers(spark, d):
     seen = view(spark, d, "discoveries").select(F.col("info_hash").alias("hash_key"), (F.col("node_id") % 50).cast("string").alias("addr"), "seen_at")
     return seen.groupBy("hash_key", "addr").agg(F.max("seen_at").alias("seen_at"))
+
+
+KINDS = "VALUES ('f', 'flag', NULL, NULL), ('n', 'number', 1L, 10L), ('d', 'duration', NULL, NULL), ('l', 'lines', NULL, NULL), ('v', 'level', NULL, NULL) AS t(key, kind, least, most)"
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderkey % 5 AS r, o_custkey AS c, o_orderstatus AS st, trim(o_orderpriority) AS pr FROM orders),
+t AS (SELECT o_orderkey, CASE r WHEN 0 THEN 'flag' WHEN 1 THEN 'number' WHEN 2 THEN 'duration' WHEN 3 THEN 'lines' ELSE 'level' END AS kind, CASE WHEN r = 0 AND c % 3 < 2 THEN c % 3 = 0 END AS flag,
+CAST(CASE WHEN r = 1 AND c % 20 - 5 BETWEEN 1 AND 10 THEN c % 20 - 5 WHEN r = 2 AND c % 7 > 0 THEN ((c % 30) * 3600 + (c % 60) * 60) * 1000000000 + 500000 END AS BIGINT) AS number,
+CASE WHEN r = 3 THEN concat(pr, ',', st) END AS lines, CASE WHEN r = 4 THEN CASE st WHEN 'F' THEN 'warn' WHEN 'O' THEN 'info' END END AS level FROM s)
+SELECT *, flag IS NOT NULL OR number IS NOT NULL OR lines IS NOT NULL OR level IS NOT NULL AS fits FROM t""")
+def settings_coerced(spark, d):
+    """Texts of settings, one for each order, in the types of their kinds; texts that do not fit have none."""
+    text = """CASE o_orderkey % 5 WHEN 0 THEN element_at(array('true', 'F', 'yes'), CAST(o_custkey % 3 + 1 AS INT)) WHEN 1 THEN CAST(o_custkey % 20 - 5 AS STRING)
+    WHEN 2 THEN IF(o_custkey % 7 = 0, '90', concat(o_custkey % 30, 'h', o_custkey % 60, 'm.5ms')) WHEN 3 THEN concat(' ', o_orderpriority, ' \n\n', o_orderstatus) ELSE CASE o_orderstatus WHEN 'F' THEN 'WARN' WHEN 'O' THEN 'info' ELSE 'loud' END END"""
+    key = F.element_at(F.array(*map(F.lit, "fndlv")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = view(spark, d, "orders").select("o_orderkey", key.alias("key"), F.expr(text).alias("value"))
+    return C.coerce(rows, spark.sql(f"SELECT * FROM {KINDS}")).drop("key").withColumn("lines", F.array_join("lines", ","))

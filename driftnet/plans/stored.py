@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from driftnet.operators import enrich as E
 from driftnet.operators import mutate as M
 from driftnet.operators import stored as S
 from driftnet.plans import mutations as Q
@@ -16,6 +17,7 @@ from driftnet.plans.search import HIT, WORDS
 from driftnet.session import shared_dir
 from driftnet.sources.derived import view
 from driftnet.streaming import persist as P
+from driftnet.streaming import refresh as R
 
 
 #: Sixteen parts and buckets suit tables of this size; a table of 100 TB takes four digits, 65,536 parts.
@@ -107,3 +109,23 @@ def persist_stream(spark, d):
     kept = catalog.read().select("info_hash", F.lit(True).alias("kept"), "category", "quality", "title")
     none = F.lit(None).cast("string")
     return kept.unionByName(rejects.read().select("info_hash", F.lit(False).alias("kept"), none.alias("category"), none.alias("quality"), none.alias("title")))
+
+
+TITLES = "regexp_replace(lower(p_name), '[^a-z0-9\\p{L}\\p{N}]+', '', 'g')"
+
+
+@query(f"""WITH r AS (SELECT c_custkey, {TITLES} AS norm FROM customer JOIN part ON p_partkey = c_custkey % 150), e AS (SELECT {TITLES} AS norm, min(p_partkey) AS later, min(CASE WHEN p_partkey % 3 > 0 THEN p_partkey END) AS sooner FROM part GROUP BY 1)
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN sooner ELSE later END AS entry_id, CAST(1 + c_custkey % 2 AS INTEGER) AS version FROM r LEFT JOIN e ON e.norm = r.norm""")
+def dimension_refresh_stream(spark, d):
+    """Titles of customers as a stream over a title table that is exchanged half-way: even customers meet its first version, odd ones its second."""
+    at, part = root(spark, "refresh"), view(spark, d, "part")
+    titles = part.select("p_partkey", E.normalize_key(F.col("p_name")).alias("norm"))
+    arrivals = view(spark, d, "customer").join(titles, F.col("p_partkey") == F.col("c_custkey") % 150).select("c_custkey", "norm")
+    dimension = R.Dimension(spark, f"{at}/titles", "norm string, entry_id long", "norm")
+    entries = lambda rows: rows.groupBy("norm").agg(F.min("p_partkey").cast("long").alias("entry_id"))
+    for k, rows in enumerate((titles.filter("p_partkey % 3 > 0"), titles)):
+        dimension.refresh(lambda rows=rows: entries(rows), k * R.EVERY)
+        arrivals.filter(f"c_custkey % 2 = {k}").write.mode("append").parquet(f"{at}/arrivals")
+        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 16).parquet(f"{at}/arrivals")
+        R.lookup_stream(stream, dimension, "norm", f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").select("c_custkey", "entry_id", "version")
