@@ -131,9 +131,9 @@ def bloom_bits(held: Column) -> Column:
 
 
 def bloom_estimate(bits_set: Column) -> Column:
-    """Distinct addresses behind a filter in which so many bits are set."""
+    """Distinct addresses behind a filter in which so many bits are set; a full filter sets no bound, its estimate is infinite."""
     zeros = F.least(F.lit(BLOOM_BITS) - bits_set, F.lit(BLOOM_BITS - 1))
-    return F.log(zeros / BLOOM_BITS) / (BLOOM_HASHES * math.log(1 - 1 / BLOOM_BITS))
+    return F.when(zeros == 0, F.lit(math.inf)).otherwise(F.log(zeros / BLOOM_BITS) / (BLOOM_HASHES * math.log(1 - 1 / BLOOM_BITS)))
 
 
 def announce_token(secret: str, node: Column, info_hash: Column, peer: Column, addr: Column) -> Column:
