@@ -130,13 +130,20 @@ def sliding_counts(df: DataFrame, length: str = "60 seconds", step: str = "10 se
 
 
 def correlate(requests: DataFrame, answers: DataFrame, seconds: int = 4, late: str = "1 minute") -> DataFrame:
-    """Requests with the answers that carry their transaction id within the time-out; both have txn, at, event_id."""
-    q = requests.select("txn", F.col("at").alias("asked_at"), F.col("event_id").alias("request_id"))
-    a = answers.select(F.col("txn").alias("answer_txn"), F.col("at").alias("answered_at"), F.col("event_id").alias("answer_id"))
+    """Requests with the answers that carry their transaction id within the time-out; both have txn, at, event_id.
+
+    Ids are few and come again, so rows meet by id and span: time is cut into spans of a time-out, and an answer lies in its request's span or the next.
+    """
+    span = lambda at: F.floor(F.unix_micros(at) / (max(seconds, 1) * 1_000_000))
+    spans = F.explode(F.array(span(F.col("at")), span(F.col("at")) + 1)).alias("span")
+    q = requests.select("txn", spans, F.col("at").alias("asked_at"), F.col("event_id").alias("request_id"))
+    a = answers.select(F.col("txn").alias("answer_txn"), span(F.col("at")).alias("answer_span"), F.col("at").alias("answered_at"), F.col("event_id").alias("answer_id"))
     if requests.isStreaming:
         q, a = q.withWatermark("asked_at", late), a.withWatermark("answered_at", late)
+    else:
+        q = q.hint("merge")  # pairs outnumber rows: broadcast, they would come from as few tasks as the answers have splits
     in_time = (F.col("answered_at") >= F.col("asked_at")) & (F.col("answered_at") <= F.col("asked_at") + F.expr(f"INTERVAL {seconds} SECONDS"))
-    return q.join(a, (F.col("txn") == F.col("answer_txn")) & in_time).select("request_id", "answer_id")
+    return q.join(a, (F.col("txn") == F.col("answer_txn")) & (F.col("span") == F.col("answer_span")) & in_time).select("request_id", "answer_id")
 
 
 def retries(failed: DataFrame) -> DataFrame:

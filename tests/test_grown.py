@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftnet.functions import binary as B
 from driftnet.plans import registry
+from driftnet.streaming import pipeline as P
 from tests.compare import connection, same
 
 
@@ -36,3 +37,23 @@ def test_full_filters(spark, small, grown):
     assert matches(spark, "bloom_merge", where) == 5 and matches(spark, "bloom_estimates", where) == 25
     full = spark.range(1).select(B.bloom_estimate(F.lit(2048)).alias("n"), B.bloom_estimate(F.lit(0)).alias("none")).first()
     assert full["n"] == float("inf") and full["none"] < 1
+
+
+def test_answers_of_an_id_that_comes_again(spark, tmp_path):
+    """All requests and answers carry one id: none may meet all the others."""
+    rows = spark.range(40_000).select(F.lit(0).alias("txn"), F.timestamp_seconds(F.floor(F.col("id") / 2) * 10 + F.col("id") % 2 * 4 + 10).alias("at"), F.col("id").alias("event_id"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/rows")
+    own = [(i, i + 1) for i in range(0, 40_000, 2)]
+    for source, run in ((rows, lambda df: df), (stream, P.drain)):
+        began = time.time()
+        pairs = run(P.correlate(source.filter("event_id % 2 = 0"), source.filter("event_id % 2 = 1"))).collect()
+        assert sorted(map(tuple, pairs)) == own and time.time() - began < 60
+
+
+def test_answers_at_the_edges_of_the_timeout(spark):
+    micros = [0, 1, 3_999_999, 4_000_000, 4_000_001, 7_999_999, 8_000_000, 8_000_001, -1, -4_000_000, -4_000_001]
+    rows = spark.createDataFrame([(t, m) for t in range(2) for m in micros], "txn int, event_id long").withColumn("at", F.timestamp_micros("event_id"))
+    for seconds in (0, 4):
+        found = sorted(map(tuple, P.correlate(rows.filter("txn = 0").withColumn("txn", F.lit(1)), rows.filter("txn = 1"), seconds).collect()))
+        assert found == sorted((q, a) for q in micros for a in micros if q <= a <= q + seconds * 1_000_000)
