@@ -7,6 +7,7 @@ default: timers fire as the watermark passes, so a replay gives the same. With c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,34 +34,48 @@ def now(values, clock: str) -> int:
 
 
 class Retries(StatefulProcessor):
-    """Holds a failed request until its delay is over; what finds the slot full, or has failed before, has failed for good."""
+    """Holds a failed request until its delay is over; what finds the slot full, or has failed before, has failed for good.
+
+    What waits in a slot is read once a micro-batch, and one timer, of the earliest, sends back all whose time has come.
+    """
 
     def __init__(self, delay_ms: int, most: int, clock: str):
         self.delay_ms, self.most, self.clock = delay_ms, most, clock
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "item string", "due long")
+        self.held = handle.getListState("held", "item string, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        waiting, out = {k[0]: v[0] for k, v in self.held.iterator()}, []
+        waiting = dict(self.held.get())
+        before, again, out = len(waiting), False, []
         for frame in rows:
             for item, tries, at in frame.sort_values(["at_ms", "item"])[["item", "n_retries", "at_ms"]].itertuples(index=False):
-                if tries > 0 or (item not in waiting and len(waiting) >= self.most):
+                known = item in waiting
+                if tries > 0 or (not known and len(waiting) >= self.most):
                     out.append((item, "failed", int(at)))
                     continue
-                due = (now(timerValues, self.clock) if self.clock == "ProcessingTime" else int(at)) + self.delay_ms
-                waiting[item] = due
-                self.held.updateValue((item,), (due,))
-                self.handle.registerTimer(due)
+                waiting[item] = (now(timerValues, self.clock) if self.clock == "ProcessingTime" else int(at)) + self.delay_ms
+                again |= known
+        if again:
+            self.held.put(list(waiting.items()))
+        elif len(waiting) > before:
+            self.held.appendList(list(islice(waiting.items(), before, None)))
+        if waiting:
+            self.handle.registerTimer(min(waiting.values()))
         yield pd.DataFrame(out, columns=["item", "what", "at_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        ready = [k[0] for k, v in self.held.iterator() if v[0] == due]
-        for item in ready:
-            self.held.removeKey((item,))
-        yield pd.DataFrame([(item, "retry", due) for item in sorted(ready)], columns=["item", "what", "at_ms"])
+        come = max(now(timerValues, self.clock), expiredTimerInfo.getExpiryTimeInMs())
+        held = list(self.held.get())
+        left = [h for h in held if h[1] > come]
+        if left:
+            self.held.put(left)
+            self.handle.registerTimer(min(due for _, due in left))
+        else:
+            self.held.clear()
+        ready = sorted((due, item) for item, due in held if due <= come)
+        yield pd.DataFrame([(item, "retry", due) for due, item in ready], columns=["item", "what", "at_ms"])
 
 
 class Batches(StatefulProcessor):

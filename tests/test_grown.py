@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from driftnet.functions import binary as B
 from driftnet.plans import registry
 from driftnet.streaming import pipeline as P
+from driftnet.streaming import timed as T
 from tests.compare import connection, same
 
 
@@ -57,3 +58,14 @@ def test_answers_at_the_edges_of_the_timeout(spark):
     for seconds in (0, 4):
         found = sorted(map(tuple, P.correlate(rows.filter("txn = 0").withColumn("txn", F.lit(1)), rows.filter("txn = 1"), seconds).collect()))
         assert found == sorted((q, a) for q in micros for a in micros if q <= a <= q + seconds * 1_000_000)
+
+
+def test_retries_of_many_times(spark, tmp_path):
+    """One slot holds requests of thousands of times at once; each goes back by its own."""
+    rows = spark.range(30_000).select(F.col("id").cast("string").alias("item"), F.lit(0).alias("n_retries"), F.timestamp_seconds(F.col("id") + 1).alias("at"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/rows")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/rows")
+    began = time.time()
+    told = T.with_timers(spark, lambda: P.drain(T.timed_retries(stream, most=1_000_000, slots=1))).collect()
+    assert sorted((r["at_ms"], r["item"], r["what"]) for r in told) == [((i + 31) * 1000, str(i), "retry") for i in range(30_000 - 31)]
+    assert time.time() - began < 60
