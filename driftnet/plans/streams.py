@@ -79,9 +79,9 @@ def txn_interval_join_stream(spark, d):
 
 @query()
 def routing_table_stream(spark, d):
-    """Admissions into a routing table, kept as state."""
+    """Admissions into a routing table, kept from micro-batch to micro-batch."""
     nodes = P.stream(spark, d).select(F.sha1(F.col("node_id").cast("string")).alias("id"), "at")
-    return P.drain(P.admissions(nodes, "0" * 40))
+    return P.admissions(nodes, "0" * 40)
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(value > 50 AS INTEGER)) AS BIGINT) AS big FROM discoveries GROUP BY 1", "discoveries")

@@ -6,12 +6,10 @@ Each stage is an ordinary DataFrame function that also runs on a batch; the stre
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftnet.functions import binary as B
 from driftnet.functions import classify as K
@@ -114,8 +112,6 @@ def persist(batch: DataFrame, filters: K.Filters = K.Filters()) -> tuple[DataFra
 
 def trailing_rate(events: DataFrame, seconds: int = 60) -> DataFrame:
     """at (epoch seconds), rate: events of the last `seconds` one-second buckets divided by seconds, wherever something happened."""
-    from pyspark.sql import Window
-
     per_second = events.groupBy("at").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("at") / 3600))
     # each hour is summed by itself; its first minute also needs the last one of the hour before
     tail = per_second.filter(F.col("at") % 3600 >= 3600 - seconds).withColumn("part", F.col("part") + 1).withColumn("own", F.lit(False))
@@ -151,27 +147,44 @@ def retries(failed: DataFrame) -> DataFrame:
     return failed.filter("n_retries = 0").withColumns({"n_retries": F.lit(1), "at": F.col("at") + F.expr(f"INTERVAL {RETRY_SECONDS} SECONDS")})
 
 
+def admitted(batch: DataFrame, members: DataFrame) -> DataFrame:
+    """bucket, id, first: the nodes of a batch that find room beside members (bucket, id); of each bucket the first to come, as many as there is room for."""
+    new = batch.filter("id IS NOT NULL").join(F.broadcast(members), ["bucket", "id"], "left_anti").groupBy("bucket", "id").agg(F.min("at").alias("first"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.asc_nulls_last("first"), "id"))
+    best = new.withColumn("place", place).filter(F.col("place") <= BUCKET)
+    held = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    return best.join(F.broadcast(held), "bucket", "left").filter(F.col("place") + F.coalesce("n", F.lit(0)) <= BUCKET).select("bucket", "id", "first")
+
+
+def verdicts(batch: DataFrame, members: DataFrame, new: DataFrame) -> DataFrame:
+    """bucket, id, verdict for each row of a batch: the first row of a new node is `accepted`, its others and those of members `exists`, the rest `rejected`."""
+    inside = members.select("bucket", "id", F.lit(False).alias("new"), F.lit(None).cast("timestamp").alias("first")).unionByName(new.select("bucket", "id", F.lit(True).alias("new"), "first"))
+    met = batch.join(F.broadcast(inside), ["bucket", "id"], "left")
+    opens = F.coalesce(F.col("new") & F.col("at").eqNullSafe(F.col("first")), F.lit(False))
+    others = met.filter(~opens).select("bucket", "id", F.when(F.col("new").isNull(), "rejected").otherwise("exists").alias("verdict"))
+    turn = F.row_number().over(Window.partitionBy("bucket", "id").orderBy("at"))
+    firsts = met.filter(opens).withColumn("turn", turn).select("bucket", "id", F.when(F.col("turn") == 1, "accepted").otherwise("exists").alias("verdict"))
+    return others.unionByName(firsts)
+
+
 def admissions(nodes: DataFrame, origin: str) -> DataFrame:
-    """bucket, id, verdict: a routing table with buckets of at most 80 nodes, kept as state by bucket. nodes: id, at.
+    """bucket, id, verdict of a stream of nodes (id, at): a routing table with buckets of at most 80 nodes.
 
-    A node that is in already is `exists`, one that finds room is `accepted`, others are `rejected`; within a
-    micro-batch nodes come in the order of their times.
+    A node that is in already is `exists`, one that finds room is `accepted`, others and those without an id are `rejected`; within a
+    micro-batch nodes come in the order of their times. The table has at most 80 nodes a bucket, so it goes to every task; each
+    micro-batch writes it anew from the one before, and one that is repeated after a failure overwrites its own.
     """
+    spark, root = nodes.sparkSession, work_dir(nodes.sparkSession)
+    table = "bucket int, id string, first timestamp, since long"
+
+    def put(batch: DataFrame, k: int) -> DataFrame:
+        keyed = batch.withColumn("bucket", B.leading_zeros(B.xor(F.col("id"), F.lit(origin))).cast("int"))
+        members = spark.read.schema(table).parquet(f"{root}/members/{k - 1}") if k else spark.createDataFrame([], table)
+        new = admitted(keyed, members.select("bucket", "id")).withColumn("since", F.lit(k).cast("long"))
+        members.unionByName(new).coalesce(1).write.mode("overwrite").parquet(f"{root}/members/{k}")
+        return verdicts(keyed, members, spark.read.schema(table).parquet(f"{root}/members/{k}").filter(F.col("since") == k))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        members = set((state.get[0] or "").split()) if state.exists else set()
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        told = []
-        for node in rows["id"]:
-            verdict = "exists" if node in members else "accepted" if len(members) < BUCKET else "rejected"
-            if verdict == "accepted":
-                members.add(node)
-            told.append((key[0], node, verdict))
-        state.update((" ".join(sorted(members)),))
-        yield pd.DataFrame(told, columns=["bucket", "id", "verdict"])
-
-    keyed = nodes.withColumn("bucket", B.leading_zeros(B.xor(F.col("id"), F.lit(origin))))
-    return keyed.groupBy("bucket").applyInPandasWithState(run, "bucket int, id string, verdict string", "members string", "append", GroupStateTimeout.NoTimeout)
+    return drain_batches(nodes, put)
 
 
 def responses(queries: DataFrame, peers: DataFrame, nearest: DataFrame, secret: str) -> DataFrame:

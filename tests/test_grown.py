@@ -69,3 +69,22 @@ def test_retries_of_many_times(spark, tmp_path):
     told = T.with_timers(spark, lambda: P.drain(T.timed_retries(stream, most=1_000_000, slots=1))).collect()
     assert sorted((r["at_ms"], r["item"], r["what"]) for r in told) == [((i + 31) * 1000, str(i), "retry") for i in range(30_000 - 31)]
     assert time.time() - began < 60
+
+
+def test_admissions_by_rule(spark, tmp_path):
+    """Two micro-batches, repeated nodes and times, one full bucket, a node without an id: as a plain walk in the order of times."""
+    rows = [[(f"{k % 150 if k % 3 else k:040x}"[::-1], k // 2) for k in range(600)] + [(None, 5)], [(f"{k:040x}"[::-1], k) for k in range(900)]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "id string, s long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        time.sleep(1.1)  # files come by their times
+    stream = spark.readStream.schema("id string, s long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    told = P.admissions(stream.select("id", F.timestamp_seconds("s").alias("at")), "0" * 40).collect()
+    held, want = {}, []
+    for part in rows:
+        for i, _ in sorted((r for r in part if r[0]), key=lambda r: (r[1], r[0])):
+            bucket = 160 - int(i, 16).bit_length()
+            own = held.setdefault(bucket, set())
+            want.append((bucket, i, "exists" if i in own else "accepted" if len(own) < 80 else "rejected"))
+            own |= {i} if len(own) < 80 else set()
+    assert sorted(tuple(r) for r in told if r["id"]) == sorted(want) and {v for _, _, v in want} == {"exists", "accepted", "rejected"}
+    assert [tuple(r) for r in told if not r["id"]] == [(None, None, "rejected")]
