@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import free_names, living, ragged, spool, words_of
+from driftnet.llm.common import LIVING, free_names, give_back, living, ragged, spool, trimmed, words_of
 
 COORDINATES, AGREE, HEAD = 128, 77, 64
 #: Shingles of one block of a leader's group; a task holds two blocks.
 BLOCK = 3_000_000
+#: Bytes of a group after which a worker gives freed memory back.
+LARGE_GROUP = 8_000_000
 #: Members of a group that sit in all its blocks, on average.
 GUESTS = 8
 #: Keys with more than one in LARGE of all rows are broadcast; there are fewer than LARGE of them.
@@ -93,25 +95,25 @@ def signing(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = multipliers(COORDINATES)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for a in range(0, len(texts), 1024):
-                sets = [shingle_set(t, width) for t in texts[a : a + 1024]]
+                sets = [shingle_set(t, width) for t in texts[a : a + 1024].to_pylist()]
                 marks = [fingerprint(s) if len(s) else None for s in sets]
                 signs = [signature(s, by) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([ids[a : a + 1024], pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(signs, pa.list_(pa.int32())), *(c[a : a + 1024] for c in batch.columns[2:])], names=["doc_id", "n_shingles", "mark", "sig", *batch.schema.names[2:]])
 
-    return run
+    return trimmed(run)
 
 
 def full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(0)
             for a in range(0, len(texts), 256):
-                sets = [s for s in (shingle_set(t, width) for t in texts[a : a + 256]) if len(s)]
+                sets = [s for s in (shingle_set(t, width) for t in texts[a : a + 256].to_pylist()) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["mark", "shingles"])
 
-    return run
+    return trimmed(run)
 
 
 def linking(marks: list[bytes], signs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, agree: int, percent: int, roots: list[bytes] | None = None) -> list[tuple[bytes, bytes]]:
@@ -157,11 +159,15 @@ def linking(marks: list[bytes], signs: np.ndarray, sets: list[np.ndarray], side:
 
 def link_groups(agree: int, percent: int):
     def run(key, held):
+        LIVING.clear()  # word hashes are of no more use
         marks = held.column("mark").to_pylist()
         sets = [np.frombuffer(s, dtype=np.uint64) for s in held.column("shingles").to_pylist()]
         signs = np.array(held.column("sig").to_pylist(), dtype=np.int32)
         side = held.column("side").to_numpy()
         links = linking(marks, signs, sets, side, agree, percent, held.column("root").to_pylist())
+        if held.nbytes > LARGE_GROUP:
+            del sets, signs, marks
+            give_back()
         return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
     return run

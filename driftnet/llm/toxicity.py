@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.common import spool, table
+from driftnet.llm.common import spool, table, trimmed
 from driftnet.llm.license_scan import split_words
 from driftnet.llm.near_dup import multipliers, shingle_set, signature
 
@@ -206,7 +206,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, toxic_from: float = TOX
     of such a text. Whole texts count, whatever their length; repeated rows and null ids are scored like any others.
     """
     narrow = docs.select("doc_id", "text")
-    return narrow.mapInArrow(scoring(model, toxic_from), f"doc_id {dict(narrow.dtypes)['doc_id']}, severity double, grade int, toxic boolean")
+    return narrow.mapInArrow(trimmed(scoring(model, toxic_from)), f"doc_id {dict(narrow.dtypes)['doc_id']}, severity double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, toxic_from: float = TOXIC_FROM) -> DataFrame:
@@ -219,7 +219,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, toxic_from: float = TOXIC_F
             for told in score(iter([text])):
                 yield batch.filter(pa.compute.invert(told.column(told.schema.names.index("toxic"))))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def judge_documents(spark, sf_dir: str) -> DataFrame:

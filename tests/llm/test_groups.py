@@ -292,3 +292,20 @@ def test_pipeline(spark, small):
     items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     assert not any(i in t for t in left.values() for i in items)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, small).collect()} == set(left)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Once its batches are through, a task gives freed memory back, and groups drop the word hashes that nothing reads any more."""
+    import pyarrow as pa
+
+    from driftnet.llm import common, near_dup
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(len(calls)))
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e f", None])], names=["doc_id", "text"])
+    signed = [b.to_pydict() for b in near_dup.signing(5)(iter([texts, texts]))]
+    assert len(signed) == 2 and signed[0] == signed[1] and signed[0]["n_shingles"] == [2, 0] and calls == [0]
+    sets = [b.to_pydict() for b in near_dup.full_sets(5)(iter([texts.select(["text"])]))]
+    assert sets[0]["mark"] == signed[0]["mark"][:1] and calls == [0, 1] and common.LIVING
+    held = pa.table({"mark": pa.array([b"a", b"b"]), "shingles": pa.array([sets[0]["shingles"][0]] * 2), "sig": [signed[0]["sig"][0]] * 2, "side": [0, 0], "root": pa.array([b"a", b"b"])})
+    assert near_dup.link_groups(near_dup.AGREE, 80)(None, held).num_rows == 1 and not common.LIVING
