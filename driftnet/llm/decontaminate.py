@@ -86,14 +86,15 @@ def tokens(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " ", -1))
 
 
-def windows(of: Column, width: int) -> Column:
-    """For posexplode: structs of the width tokens from each place on. Zipped slices and the hash of their fields stay in generated code."""
+def windows(of: Column, width: Column) -> Column:
+    """For posexplode: structs of the width tokens from each place on, with nulls up to WINDOW. Zipped slices and the hash of their fields stay in generated code."""
     n = F.greatest(F.size(of) - (width - 1), F.lit(0))
-    return F.arrays_zip(*[F.slice(of, F.lit(k + 1), n).alias(f"t{k}") for k in range(width)])
+    return F.arrays_zip(*[F.slice(of, F.lit(k + 1), F.when(width > k, n).otherwise(0)).alias(f"t{k}") for k in range(WINDOW)])
 
 
-def window_tokens(of: str, width: int) -> list[Column]:
-    return [F.col(f"{of}.t{k}") for k in range(width)]
+def window_tokens(of: str) -> list[Column]:
+    """The fields of a window. xxhash64 passes over nulls, so that their hash is that of the tokens alone."""
+    return [F.col(f"{of}.t{k}") for k in range(WINDOW)]
 
 
 def is_soft(token: Column) -> Column:
@@ -131,20 +132,24 @@ def both_kinds(rows: DataFrame, *keep: str, spelled: str = NUMBER) -> DataFrame:
     return lines.select(*keep, tokens(F.col("t")).alias("t"), tokens(F.col("v")).alias("v"))
 
 
+def sides(split: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, plain, of: a row for the tokens of the template and one for the plain tokens."""
+    kinds = F.array(F.struct(F.lit(False).alias("plain"), F.col("t").alias("of")), F.struct(F.lit(True).alias("plain"), F.col("v").alias("of")))
+    return split.select(*keep, F.explode(kinds).alias("k")).select(*keep, "k.plain", "k.of")
+
+
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, plain, width, need, n, spot, h: the n windows of an item, with the first place of each distinct one, of its template (with enough literal tokens) and of its plain tokens."""
-    split = both_kinds(items, "item_id", spelled=SPELLED)
-    every = None
-    for width in range(1, WINDOW + 1):
-        own = split.filter(F.size("t") >= WINDOW if width == WINDOW else F.size("t") == width)
-        for plain in (False, True) if width >= LEAST_TOKENS else (True,):
-            at = own.select("item_id", F.posexplode(windows(F.col("v" if plain else "t"), width)).alias("p", "w"))
-            literal = sum((F.when(is_slot(c) & ~is_soft(c), 0).otherwise(1) for c in window_tokens("w", width)), F.lit(0))
-            hashed = F.xxhash64(*[F.when(c == SPELLED, NUMBER).otherwise(c) for c in window_tokens("w", width)])  # as in documents
-            kept = at if plain else at.filter(literal >= LITERALS)
-            kept = kept.select("item_id", F.lit(plain).alias("plain"), F.lit(width).alias("width"), hashed.alias("h"), (F.col("p") + 1).cast("long").alias("spot"))
-            every = kept if every is None else every.unionByName(kept)
-    first = every.groupBy("item_id", "plain", "width", "h").agg(F.min("spot").alias("spot"))
+    """item_id, plain, width, need, n, spot, h: the n windows of an item, with the first place of each distinct one, of its template (with enough literal tokens) and of its plain tokens.
+
+    All widths go through one plan, and it is read from the shared folder afterwards: what stands above would repeat it, and the driver compiles each copy.
+    """
+    split = both_kinds(items, "item_id", spelled=SPELLED).withColumn("width", F.least(F.size("t"), F.lit(WINDOW))).filter("width > 0")
+    own = sides(split, "item_id", "width").filter(F.col("plain") | (F.col("width") >= LEAST_TOKENS))
+    at = own.select("item_id", "plain", "width", F.posexplode(windows(F.col("of"), F.col("width"))).alias("p", "w"))
+    literal = sum((F.when(c.isNull() | (is_slot(c) & ~is_soft(c)), 0).otherwise(1) for c in window_tokens("w")), F.lit(0))
+    hashed = F.xxhash64(*[F.when(c == SPELLED, NUMBER).otherwise(c) for c in window_tokens("w")])  # as in documents
+    kept = at.filter(F.col("plain") | (literal >= LITERALS)).select("item_id", "plain", "width", hashed.alias("h"), (F.col("p") + 1).cast("long").alias("spot"))
+    first = spool(kept.groupBy("item_id", "plain", "width", "h").agg(F.min("spot").alias("spot")), "benchmark-places")
     told = first.groupBy("item_id", "plain", "width").agg(F.count("*").alias("n"), F.collect_set("spot").alias("spots"))
     most = F.when(F.col("plain"), best_run(F.col("spots"), F.col("width"))["n"]).otherwise(F.col("n"))
     need = told.select(F.col("item_id").alias("own_item"), F.col("plain").alias("own_kind"), F.least(F.lit(HITS), most).cast("long").alias("need"), "n")
@@ -160,12 +165,14 @@ def with_late(bench: DataFrame) -> DataFrame:
     return counted.withColumn("late", (F.col("items") > COMMON_ITEMS) & (rank > F.col("n") - F.col("need") + 1)).drop("items", "n")
 
 
-def document_windows(split: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, plain, p, h, width of every window of both kinds."""
-    kinds = F.array(F.struct(F.lit(False).alias("plain"), F.col("t").alias("of")), F.struct(F.lit(True).alias("plain"), F.col("v").alias("of")))
-    sides = split.select("doc_id", "text_key", F.explode(kinds).alias("k")).select("doc_id", "text_key", "k.plain", "k.of")
-    placed = sides.select("doc_id", "text_key", "plain", F.posexplode(windows(F.col("of"), width)).alias("p", "w"))
-    return placed.select("doc_id", "text_key", "plain", "p", F.xxhash64(*window_tokens("w", width)).alias("h"), F.lit(width).alias("width"))
+def document_windows(split: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_key, plain, p, h, width of every window of both kinds and of these widths."""
+    own = sides(split, "doc_id", "text_key")
+    width = F.lit(widths[0])
+    if len(widths) > 1:
+        own, width = own.withColumn("width", F.explode(F.array(*map(F.lit, widths)))), F.col("width")
+    placed = own.select("doc_id", "text_key", "plain", width.alias("width"), F.posexplode(windows(F.col("of"), width)).alias("p", "w"))
+    return placed.select("doc_id", "text_key", "plain", "p", F.xxhash64(*window_tokens("w")).alias("h"), "width")
 
 
 def hits_of(keyed: DataFrame, bench: DataFrame, widths: list[int], small: bool) -> DataFrame:
@@ -175,16 +182,14 @@ def hits_of(keyed: DataFrame, bench: DataFrame, widths: list[int], small: bool)
     """
     near = lambda df: F.broadcast(df) if small else df
 
-    def all_widths(split: DataFrame, meet) -> DataFrame:
-        out = None
-        for width in sorted(widths) or [WINDOW]:
-            met = meet(document_windows(split, width))
-            met = met.select("doc_id", "text_key", "item_id", "plain", "need", (F.col("p") + 1 - F.col("spot")).alias("offset"), "spot", "width")
-            out = met if out is None else out.unionByName(met)
-        return out
+    def placed(docs: DataFrame) -> DataFrame:
+        return document_windows(both_kinds(docs, "doc_id", "text_key"), sorted(widths) or [WINDOW])
+
+    def put(met: DataFrame) -> DataFrame:
+        return met.select("doc_id", "text_key", "item_id", "plain", "need", (F.col("p") + 1 - F.col("spot")).alias("offset"), "spot", "width")
 
     early, late = bench.filter("NOT late").drop("late"), bench.filter("late").drop("late")
-    hits = all_widths(both_kinds(keyed, "doc_id", "text_key"), lambda own: own.join(near(early), ["h", "width", "plain"]))
+    hits = put(placed(keyed).join(near(early), ["h", "width", "plain"]))
     if late.limit(1).count() == 0:
         return hits
     hits = spool(hits, "hits")
@@ -194,8 +199,8 @@ def hits_of(keyed: DataFrame, bench: DataFrame, widths: list[int], small: bool)
     held = keyed.join(holders, F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("text_key") == F.col("own_key")), "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("own_doc"))
     again = ["text_key", "plain", "width", "h"]
-    by_pair = lambda own: own.alias("o").join(wanted.alias("w"), same & F.expr(" AND ".join(f"o.{c} = w.{c}" for c in again))).select("o.*", "w.item_id", "w.need", "w.spot")
-    return hits.unionByName(all_widths(both_kinds(held, "doc_id", "text_key"), by_pair))
+    by_pair = placed(held).alias("o").join(wanted.alias("w"), same & F.expr(" AND ".join(f"o.{c} = w.{c}" for c in again))).select("o.*", "w.item_id", "w.need", "w.spot")
+    return hits.unionByName(put(by_pair))
 
 
 def by_kind(text: Column) -> Column:

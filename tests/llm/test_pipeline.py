@@ -168,6 +168,26 @@ def test_leaks_against_plain_python(spark, small, monkeypatch, common, near):
     assert len(out) == len(want) and {(0, 3), (1, 0), (3, 1), (4, 4), (2, 10), (9, 14), (10, 14), (11, 14), (12, 15), (13, 15)} <= set(want) and (5, 0) not in want and any(k[0] >= 1000 for k in want)
 
 
+@pytest.mark.parametrize("common", [64, 0])
+def test_items_of_all_lengths_in_small_plans(spark, monkeypatch, common):
+    """Items of 1 to 12 tokens have windows of all widths; no plan has a copy of the tokens for each, as the driver compiles every copy."""
+    monkeypatch.setattr(decontaminate, "COMMON_ITEMS", common)
+    generates, spooled = [], decontaminate.spool
+
+    def seen(df):
+        generates.append(df._jdf.queryExecution().optimizedPlan().toString().count("Generate "))
+        return df
+
+    monkeypatch.setattr(decontaminate, "spool", lambda df, name: spooled(seen(df), name))
+    line = "how many red apples does Alice Smith carry over 12 km each two days when it rains".split()
+    items = [(n, " ".join(line[:n])) for n in range(len(line) + 1)] + [(100 + n, " ".join(f"w{k}" for k in range(n))) for n in range(1, 13)] + [(200, None), (201, "Bob Jones")]
+    docs = [(k, f"see here {text} and so on") for k, (_, text) in enumerate(items) if text] + [(300, None), (301, ""), (302, "how many red w0 w1 w2 days"), (303, items[15][1].replace("12", "40").replace("Alice", "Bob"))]
+    out = seen(decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))).collect()
+    want = brute_leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_slots"], r["n_changed"]) for r in out} == want and len(out) == len(want)
+    assert {i for _, i in want} == {i for i, t in items if t} and max(generates) <= 16
+
+
 #: Columns of an operator's own that documents may have as well.
 CLASHES = "mark sig n n_shingles text_key kept toxic severity grade gone_doc gone_key own_id own_key n_rows own_row h width item_id n_tokens word_chars band key chunk ids".split()
 
