@@ -13,6 +13,8 @@ breaks or left neighbour, items without enough literal tokens, and long verbatim
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,19 @@ FREE, SPELLED = "\u0005", "\u0006"
 UNSPACED = r"[^\x{0}-\x{DFF}](?<=[฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\x{20000}-\x{3FFFF}])"
 
 
+def any_of(words: str) -> str:
+    """The pattern of words parted by bars, told apart letter by letter: a token meets few letters instead of all words."""
+    by = {}
+    for w in words.split("|"):
+        by.setdefault(w[:1], []).append(w[1:])
+    tails = {c: any_of("|".join(rest)) for c, rest in by.items() if c}
+    every = "|".join(re.escape(c) + tail for c, tail in tails.items())
+    return every if len(by) == 1 else f"(?:{every}){'?' * ('' in by)}"
+
+
+ANY_UNIT, ANY_DIGIT = any_of(UNITS), any_of(DIGITS)
+
+
 def plain_tokens(text: Column) -> Column:
     """Lower-case tokens parted by one space. A capitalised word has the name mark before it, wherever it stands, so that marks do not depend on what
     is around a passage; capitalised words in a row, with nothing but a space between, make one token. So do the words of a number, and a number with
@@ -52,19 +67,20 @@ def plain_tokens(text: Column) -> Column:
     loose = F.regexp_replace(F.lower(named), r"[.,](?:(?!\p{N})|(?<!\p{N}[.,]))", " ")  # points and commas that stand in no number
     parted = F.regexp_replace(loose, rf"{UNSPACED}", " $0 ")
     clean = F.trim(F.regexp_replace(parted, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{NAME}{JOIN}]+", " "))
-    unglued = F.regexp_replace(clean, rf"(\p{{N}}(?<=(?:^| )\p{{N}})\p{{N}}*(?:[.,]\p{{N}}+)*)({UNITS})(?![^ ])", "$1 $2")
-    unnamed = F.regexp_replace(unglued, rf"{NAME}(?<!{JOIN}{NAME})({DIGITS})(?![^ ])", "$1")  # a number at the start of a sentence
-    joined = F.regexp_replace(unnamed, rf" (?=(?:{DIGITS})(?![^ ]))(?<=(?<![^ ])(?:{DIGITS}|(?:{SCALES}) and) )", JOIN)
-    return F.regexp_replace(joined, rf" (?=and{JOIN}(?:{DIGITS}))", JOIN)
+    unglued = F.regexp_replace(clean, rf"(\p{{N}}(?<=(?:^| )\p{{N}})\p{{N}}*(?:[.,]\p{{N}}+)*)({ANY_UNIT})(?![^ ])", "$1 $2")
+    unnamed = F.regexp_replace(unglued, rf"{NAME}(?<!{JOIN}{NAME})({ANY_DIGIT})(?![^ ])", "$1")  # a number at the start of a sentence
+    joined = F.regexp_replace(unnamed, rf" (?={ANY_DIGIT}(?![^ ]))(?<=(?<![^ ])(?:{ANY_DIGIT}|(?:{SCALES}) and) )", JOIN)
+    return F.regexp_replace(joined, rf" (?=and{JOIN}{ANY_DIGIT})", JOIN)
 
 
 def template(plain: Column, spelled: str = NUMBER) -> Column:
     """The same tokens with placeholders for numbers, units after numbers, other units, and names; spelled is that of numbers in words."""
-    numbers = F.regexp_replace(plain, r"\p{N}(?<=(?:^| )\p{N})\p{N}*(?:[.,]\p{N}+)*(?![^ ])", NUMBER)
-    in_words = F.regexp_replace(numbers, rf"(^| )(?:{DIGITS})(?:{JOIN}(?:and{JOIN})?(?:{DIGITS}))*(?![^ ])", f"$1{spelled}")
-    units = F.regexp_replace(in_words, rf"([{NUMBER}{SPELLED}]) (?:{UNITS})(?![^ ])", f"$1 {UNIT}")
-    free = F.regexp_replace(units, rf"(^| )(?:{UNITS})(?![^ ])", f"$1{FREE}")
-    return F.regexp_replace(free, rf"{NAME}[^ ]*", NAME)
+    spaced = F.concat(F.lit(" "), plain)  # so that each pattern of words begins with a space
+    numbers = F.regexp_replace(spaced, r"\p{N}(?<= \p{N})\p{N}*(?:[.,]\p{N}+)*(?![^ ])", NUMBER)
+    in_words = F.regexp_replace(numbers, rf" {ANY_DIGIT}(?:{JOIN}(?:and{JOIN})?{ANY_DIGIT})*(?![^ ])", f" {spelled}")
+    units = F.regexp_replace(in_words, rf"([{NUMBER}{SPELLED}]) {ANY_UNIT}(?![^ ])", f"$1 {UNIT}")
+    free = F.regexp_replace(units, rf" {ANY_UNIT}(?![^ ])", f" {FREE}")
+    return F.ltrim(F.regexp_replace(free, rf"{NAME}[^ ]*", NAME))
 
 
 def spelled_template(plain: Column) -> Column:
@@ -93,7 +109,7 @@ def windows(of: Column, width: Column) -> Column:
 
 
 def window_tokens(of: str) -> list[Column]:
-    """The fields of a window. xxhash64 passes over nulls, so that their hash is that of the tokens alone."""
+    """The fields of a window. xxhash64 passes over nulls, so that their hash is that of the tokens alone, and tells the widths apart."""
     return [F.col(f"{of}.t{k}") for k in range(WINDOW)]
 
 
@@ -147,7 +163,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     own = sides(split, "item_id", "width").filter(F.col("plain") | (F.col("width") >= LEAST_TOKENS))
     at = own.select("item_id", "plain", "width", F.posexplode(windows(F.col("of"), F.col("width"))).alias("p", "w"))
     literal = sum((F.when(c.isNull() | (is_slot(c) & ~is_soft(c)), 0).otherwise(1) for c in window_tokens("w")), F.lit(0))
-    hashed = F.xxhash64(*[F.when(c == SPELLED, NUMBER).otherwise(c) for c in window_tokens("w")])  # as in documents
+    hashed = F.xxhash64("plain", *[F.when(c == SPELLED, NUMBER).otherwise(c) for c in window_tokens("w")])  # as in documents
     kept = at.filter(F.col("plain") | (literal >= LITERALS)).select("item_id", "plain", "width", hashed.alias("h"), (F.col("p") + 1).cast("long").alias("spot"))
     first = spool(kept.groupBy("item_id", "plain", "width", "h").agg(F.min("spot").alias("spot")), "benchmark-places")
     told = first.groupBy("item_id", "plain", "width").agg(F.count("*").alias("n"), F.collect_set("spot").alias("spots"))
@@ -159,20 +175,19 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 def with_late(bench: DataFrame) -> DataFrame:
     """Marks windows that more than COMMON_ITEMS items share as late, but for the n - need + 1 rarest of each item: whatever holds `need` windows
     of an item holds one of those."""
-    key = ["h", "width", "plain"]
-    counted = bench.join(bench.groupBy(*key).agg(F.count("*").alias("items")), key)
+    counted = bench.join(bench.groupBy("h").agg(F.count("*").alias("items")), "h")
     rank = F.row_number().over(Window.partitionBy("item_id", "plain").orderBy("items", "h"))
     return counted.withColumn("late", (F.col("items") > COMMON_ITEMS) & (rank > F.col("n") - F.col("need") + 1)).drop("items", "n")
 
 
 def document_windows(split: DataFrame, widths: list[int]) -> DataFrame:
-    """doc_id, text_key, plain, p, h, width of every window of both kinds and of these widths."""
+    """doc_id, text_key, p, h of every window of both kinds and of these widths. The hash tells kinds and widths apart: a join on one long is the quickest."""
     own = sides(split, "doc_id", "text_key")
     width = F.lit(widths[0])
     if len(widths) > 1:
         own, width = own.withColumn("width", F.explode(F.array(*map(F.lit, widths)))), F.col("width")
-    placed = own.select("doc_id", "text_key", "plain", width.alias("width"), F.posexplode(windows(F.col("of"), width)).alias("p", "w"))
-    return placed.select("doc_id", "text_key", "plain", "p", F.xxhash64(*window_tokens("w")).alias("h"), "width")
+    placed = own.select("doc_id", "text_key", "plain", F.posexplode(windows(F.col("of"), width)).alias("p", "w"))
+    return placed.select("doc_id", "text_key", "p", F.xxhash64("plain", *window_tokens("w")).alias("h"))
 
 
 def hits_of(keyed: DataFrame, bench: DataFrame, widths: list[int], small: bool) -> DataFrame:
@@ -189,7 +204,7 @@ def hits_of(keyed: DataFrame, bench: DataFrame, widths: list[int], small: bool)
         return met.select("doc_id", "text_key", "item_id", "plain", "need", (F.col("p") + 1 - F.col("spot")).alias("offset"), "spot", "width")
 
     early, late = bench.filter("NOT late").drop("late"), bench.filter("late").drop("late")
-    hits = put(placed(keyed).join(near(early), ["h", "width", "plain"]))
+    hits = put(placed(keyed).join(near(early), "h"))
     if late.limit(1).count() == 0:
         return hits
     hits = spool(hits, "hits")
@@ -198,8 +213,8 @@ def hits_of(keyed: DataFrame, bench: DataFrame, widths: list[int], small: bool)
     holders = pairs.select(F.col("doc_id").alias("own_doc"), F.col("text_key").alias("own_key")).distinct()
     held = keyed.join(holders, F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("text_key") == F.col("own_key")), "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("own_doc"))
-    again = ["text_key", "plain", "width", "h"]
-    by_pair = placed(held).alias("o").join(wanted.alias("w"), same & F.expr(" AND ".join(f"o.{c} = w.{c}" for c in again))).select("o.*", "w.item_id", "w.need", "w.spot")
+    again = ["text_key", "h"]
+    by_pair = placed(held).alias("o").join(wanted.alias("w"), same & F.expr(" AND ".join(f"o.{c} = w.{c}" for c in again))).select("o.*", "w.item_id", "w.plain", "w.need", "w.spot", "w.width")
     return hits.unionByName(put(by_pair))
 
 

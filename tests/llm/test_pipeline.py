@@ -188,6 +188,13 @@ def test_items_of_all_lengths_in_small_plans(spark, monkeypatch, common):
     assert {i for _, i in want} == {i for i, t in items if t} and max(generates) <= 16
 
 
+@pytest.mark.parametrize("words", [decontaminate.UNITS, decontaminate.DIGITS])
+def test_patterns_hold_just_their_words(words):
+    every = set(words.split("|"))
+    near = {w[:k] for w in every for k in range(len(w) + 1)} | {w + c for w in every for c in "aesnty"}
+    assert {w for w in near if regex.fullmatch(decontaminate.any_of(words), w)} == every
+
+
 #: Columns of an operator's own that documents may have as well.
 CLASHES = "mark sig n n_shingles text_key kept toxic severity grade gone_doc gone_key own_id own_key n_rows own_row h width item_id n_tokens word_chars band key chunk ids".split()
 
